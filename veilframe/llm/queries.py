@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.llm import bpe, decontam, quality_rules, token_counts
+from veilframe.llm import bpe, decontam, near_dedup, quality_rules, substring_dedup, token_counts
 from veilframe.llm.common import arrow_map, field
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,11 +68,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
+
+
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
     "op6_quality_rules": op6_quality_rules,
+    "op7_substring_dedup": op7_substring_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 
 ORACLE: dict[str, str] = {}
