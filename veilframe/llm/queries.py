@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.llm import bpe, decontam, near_dedup, quality_rules, substring_dedup, token_counts
+from veilframe.llm import bpe, byte_cnn, decontam, html_text, near_dedup, quality_rules, substring_dedup, token_counts, url_rules, zstd_quality
 from veilframe.llm.common import arrow_map, field
 
 TOKENIZER = "word_bpe_49k.json"
@@ -46,6 +46,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_map(docs, ["doc_id"], "text", kernel, fields)
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=2048)
 
@@ -63,6 +67,13 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = zstd_quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = zstd_quality.score(docs, model)
+    return scored.select("doc_id", zstd_quality.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "difference")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.fit(docs))
@@ -73,17 +84,35 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_words", 256).alias("kept_sha256"))
 
 
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_rules.judge(pages, url_rules.mine(pages, table(spark, sf_dir, "labels")))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = byte_cnn.identify(docs, byte_cnn.fit(docs))
+    return found.select("doc_id", byte_cnn.held_out(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_bpe": op1_bpe,
-    "op3_token_counts": op3_token_counts,
-    "op4_decontamination": op4_decontamination,
-    "op6_quality_rules": op6_quality_rules,
-    "op7_substring_dedup": op7_substring_dedup,
-    "op10_near_dedup": op10_near_dedup,
+    f.__name__: f
+    for f in (
+        op1_bpe,
+        op2_html_text,
+        op3_token_counts,
+        op4_decontamination,
+        op5_quality_classifier,
+        op6_quality_rules,
+        op7_substring_dedup,
+        op8_url_rules,
+        op9_language,
+        op10_near_dedup,
+    )
 }
 
 ORACLE: dict[str, str] = {}
