@@ -1,0 +1 @@
+"""Detection, redaction and verification of declared personal data over DataFrames."""
