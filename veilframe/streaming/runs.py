@@ -36,7 +36,7 @@ def redact_documents(spark: SparkSession, path: str, schema, profile: Profile, o
 
 def hits_by_window(events: DataFrame, window: str = "5 minutes", delay: str = "10 minutes") -> DataFrame:
     """Counts of audit events by time and subject; late ones are dropped after the delay."""
-    return events.withWatermark("ts", delay).groupBy(F.window("ts", window), "user_id").agg(F.count("*").alias("runs"))
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).groupBy(F.window("ts", window), "user_id").agg(F.count("*").alias("runs"))
 
 
 __all__ = ["detect_stream", "hits_by_window", "redact_documents"]
