@@ -52,7 +52,7 @@ PLACE = 1 << 40
 
 _WORDS = WordHashes()
 _MOST = np.iinfo(np.uint64).max
-_LETTERS = 0x10F000
+DIGITS = 3
 
 
 def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,18 +142,24 @@ def numbers(ids: list) -> np.ndarray:
 def located(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, phrases: np.ndarray) -> np.ndarray:
     """For each place, whether one of the phrases that begin at `phrases` occurs there.
 
-    Words are letters here; words beyond the number of letters share some, which only adds candidates.
+    A word is three letters, the digits of its number, each place with letters of its own: an automaton's
+    node looks through its branches one by one, so their number has to be small.
     """
-    words = np.unique(flat, return_inverse=True)[1] % (_LETTERS - 1) + 1
-    words = (words + np.where(words >= 0xD800, 0x800, 0)).astype(np.uint32)
-    text = np.insert(words, starts, 0).tobytes().decode("utf-32-le")
-    shift = np.repeat(np.arange(len(counts)), counts) + 1  # a letter 0 before each text
+    distinct, words = np.unique(flat, return_inverse=True)
+    base = int(np.ceil((len(distinct) + 1) ** (1 / DIGITS))) + 1
+    shift = np.repeat(np.arange(len(counts)), counts) + 1  # letters 0 before each text
+    letters = np.zeros((len(flat) + len(counts) + 1, DIGITS), np.uint32)
+    for i in range(DIGITS):
+        letters[np.arange(len(flat)) + shift, i] = words // base**i % base + 1 + i * base
+    text = letters.tobytes().decode("utf-32-le", "surrogatepass")
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for at in (phrases + shift[phrases]).tolist():
-        automaton.add_word(text[at : at + PHRASE])
+    size = PHRASE * DIGITS
+    for at in (DIGITS * (phrases + shift[phrases])).tolist():
+        automaton.add_word(text[at : at + size])
     automaton.make_automaton()
-    hit = np.zeros(len(text), bool)
-    hit[np.fromiter((end for end, _ in automaton.iter(text)), np.int64) - PHRASE + 1] = True
+    hit = np.zeros(len(letters), bool)
+    ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
+    hit[(ends + 1) // DIGITS - PHRASE] = True
     return hit[np.arange(len(flat)) + shift]
 
 
@@ -184,7 +190,6 @@ def candidates(left: pa.Table, right: pa.Table) -> tuple | None:
 def window_rows(packed: DataFrame, recurring: DataFrame) -> DataFrame:
     """(k, shard, id, at, length): a shard's first windows by their hash, and its later ones as spans (k by chance)."""
     schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("shard", T.LongType()), packed.schema["id"], T.StructField("at", T.LongType()), T.StructField("length", T.LongType())])
-    kind = None
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         found = candidates(left, right) if left.num_rows and right.num_rows else None
@@ -237,7 +242,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     packed = arrow_map(seen, ["id", "rest"], "text", packing, [field("packed", T.BinaryType())]).select(shard, "id", "rest", "packed")
     counted = seeds(seen.select("id", "text")).withColumn("total", F.sum("n").over(W.partitionBy("k")))
     recurring = counted.where("total > 1 AND at >= 0").select(shard, "id", "at")
-    windowed = window_rows(packed.select("shard", "id", "packed"), recurring)
+    windowed = window_rows(packed, recurring)
     ranked = windowed.withColumn("rank", F.rank().over(W.partitionBy("k").orderBy("id", "at")))
     spans = ranked.where("length > 0 OR rank > 1").select("shard", "id", "at", F.when(F.col("length") > 0, F.col("length")).otherwise(WIDTH).alias("length"))
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_words", T.StringType()), T.StructField("text", T.StringType())]
