@@ -8,16 +8,18 @@ sketches is concentrated about the Jaccard similarity as with one independent
 hash a coordinate.
 
 Documents of one shingle set form a class, whose least document stands for it.
-Bands of `ROWS` coordinates are the buckets. Each member of a bucket is paired
-with the bucket's least one and verified on both full sets; pairs that pass
-are links. Where a bucket then still spans several components, every pair of
-its members in different components, at least one of them outside the
-bucket's largest component, is verified too unless the sketches already
-disagree by more than `SLACK`. So copies and near copies cost one pair each,
-no bucket is cut short, and no link between components within a bucket is lost.
+Bands of `ROWS` of the first coordinates are the buckets. Each member of a
+bucket is paired with the bucket's least one and verified on both full sets;
+pairs that pass are links. Where a bucket then still spans several components,
+its members outside the bucket's largest component meet all its members, in
+blocks of bounded size that compare whole sketches: pairs of different
+components that the sketches put no more than `SLACK` under the threshold are
+verified too. So copies and near copies cost one pair each, no bucket is cut
+short, blocks emit no pair that has no chance, and no link between components
+within a bucket is lost.
 
 A pair of similarity 0.75 misses all 32 bands of 4 with a chance of about
-(1 - 0.75**4)**32 = 5e-6.
+(1 - 0.75**4)**32 = 5e-6, and `SLACK` is four deviations of the estimate.
 
 Components come from alternating large-star and small-star steps over links,
 each step a grouped minimum and a join, checkpointed.
@@ -41,13 +43,16 @@ from pyspark.sql import types as T_
 from veilframe.llm.common import arrow_map, checkpoint, col, field, ship, text_bytes
 from veilframe.llm.shingles import LOWER, WordHashes, mix, shingle_sets
 
-T = 128
+T = 512
 ROWS = 4
-BANDS = T // ROWS
+BANDS = 32
 SHINGLE = 5
 PERCENT = 75
-#: Sketches estimate similarity with a deviation of at most 0.044; this is over five of them.
-SLACK = 0.24
+#: Sketches estimate a similarity of 0.75 with a deviation of (0.75 * 0.25 / T) ** 0.5 = 0.019.
+SLACK = 0.077
+#: Members of a bucket that a block compares, on either side, and rows that a task gets to build blocks from.
+BLOCK = 1024
+SLOT_ROWS = 4096
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -79,23 +84,27 @@ def sets_of(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
 
 
 def describe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, set_id, bands): set_id is a 128-bit hash of the whole set, bands is null without one."""
+    """(doc_id, n_shingles, set_id, bands, fine): set_id is a 128-bit hash of the whole set; bands, the first coordinates, and
+    fine, a byte of each other one, are null without a set."""
 
     def kernel():
         def work(part):
             sets = sets_of(text_bytes(part.column(text_col)))
-            bands = np.ascontiguousarray(sketches(sets)).view(np.int64)
+            sketch = sketches(sets)
+            bands = np.ascontiguousarray(sketch[:, : BANDS * ROWS]).view(np.int64)
+            fine = sketch[:, BANDS * ROWS :].astype(np.uint8)
             full = [len(s) > 0 for s in sets]
             return [
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                 pa.array([b.tolist() if x else None for b, x in zip(bands, full, strict=True)], pa.list_(pa.int64())),
+                pa.array([f.tobytes() if x else None for f, x in zip(fine, full, strict=True)], pa.binary()),
             ]
 
         return work
 
-    fields = [field("n_shingles", T_.LongType()), field("set_id", T_.BinaryType()), field("bands", T_.ArrayType(T_.LongType()))]
-    return arrow_map(docs, [id_col], text_col, kernel, fields, limit=2 << 20).withColumnRenamed(id_col, "doc_id")
+    fields = [field("n_shingles", T_.LongType()), field("set_id", T_.BinaryType()), field("bands", T_.ArrayType(T_.LongType())), field("fine", T_.BinaryType())]
+    return arrow_map(docs, [id_col], text_col, kernel, fields, limit=4 << 20).withColumnRenamed(id_col, "doc_id")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,15 +150,57 @@ def components(links: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
-def agreement(x: str, y: str) -> str:
-    """SQL for the share of equal coordinates of two band arrays."""
-    lanes = " + ".join(f"IF((shiftright(z, {16 * i}) & 65535) = 0, 1, 0)" for i in range(ROWS))
-    return f"aggregate(zip_with({x}, {y}, (p, q) -> p ^ q), 0, (s, z) -> s + {lanes}) / {T}D"
+def agreement(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The share of equal coordinates of every sketch (bands, fine) of x with every one of y."""
+    out = np.zeros((len(x[0]), len(y[0])), np.int32)
+    for a, b in zip(x, y, strict=True):
+        step = max(1, (32 << 20) // max(1, b.nbytes))
+        for i in range(0, len(a), step):
+            out[i : i + step] += np.count_nonzero(a[i : i + step, None, :] == b[None], axis=2)
+    return out / T
+
+
+def chances(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) worth a verification from rows (slot, band, key, i, j, few, doc_id, part, bands, fine): blocks of a bucket.
+
+    A pair is emitted in the first band that it shares only.
+    """
+    ship(rows.sparkSession)
+    schema = T_.StructType([T_.StructField("a", rows.schema["doc_id"].dataType), T_.StructField("b", rows.schema["doc_id"].dataType)])
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in ("band", "key", "i", "j")])
+        n = table.num_rows
+        where = np.stack([table.column(c).to_numpy() for c in ("band", "key", "i", "j")])
+        cuts = np.concatenate([[0], np.nonzero((np.diff(where, axis=1) != 0).any(axis=0))[0] + 1, [n]])
+        few = np.array(table.column("few").to_pylist(), bool)
+        ids, part = table.column("doc_id").to_pylist(), np.unique(np.array(table.column("part").to_pylist()), return_inverse=True)[1]
+        bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(n, BANDS)
+        fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(n, T - BANDS * ROWS)
+        coarse = bands.view(np.uint16).reshape(n, BANDS * ROWS)
+        left, right = [], []
+        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = np.arange(start, end)
+            x, y = own[few[start:end]], own[~few[start:end]]
+            if not len(x) or not len(y):
+                continue
+            share = agreement((coarse[x], fine[x]), (coarse[y], fine[y]))
+            p, q = np.nonzero((share >= PERCENT / 100 - SLACK) & (part[x][:, None] != part[y][None]))
+            same = bands[x[p]] == bands[y[q]]
+            new = same.argmax(axis=1) == where[0, start] if len(p) else np.zeros(0, bool)
+            for u, v in zip(x[p[new]].tolist(), y[q[new]].tolist(), strict=True):
+                u, v = sorted((ids[u], ids[v]))
+                left.append(u)
+                right.append(v)
+        kind = table.schema.field("doc_id").type
+        return pa.Table.from_arrays([pa.array(left, kind), pa.array(right, kind)], names=["a", "b"])
+
+    return rows.groupBy("slot").applyInArrow(work, schema)
 
 
 def links(docs: DataFrame, described: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(classes, components): set_id to its least document, and the component of each class that has links."""
-    classes = checkpoint(described.where("bands IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")))
+    classes = checkpoint(described.where("bands IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("fine").alias("fine")))
     members = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("band", "key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
     shared = checkpoint(members.join(buckets, ["band", "key"]))
@@ -160,13 +211,16 @@ def links(docs: DataFrame, described: DataFrame, *, id_col: str = "doc_id", text
     placed = shared.where("n > 2").join(parts, F.col("doc_id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc_id"))
     sizes = placed.groupBy("band", "key", "part").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("size", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    placed = checkpoint(placed.join(mixed, ["band", "key"]).select("band", "key", "head", "doc_id", "part", "main"))
-    few = placed.where("part <> main").select("band", "key", F.col("doc_id").alias("x"), F.col("part").alias("px"))
-    rest = few.join(placed.withColumnRenamed("doc_id", "y"), ["band", "key"]).where("px <> part AND x <> head AND y <> head")
-    rest = rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    sketch = classes.select("doc_id", "bands")
-    rest = rest.join(sketch.withColumnsRenamed({"doc_id": "a", "bands": "ba"}), "a").join(sketch.withColumnsRenamed({"doc_id": "b", "bands": "bb"}), "b")
-    rest = checkpoint(rest.where(F.expr(agreement("ba", "bb")) >= PERCENT / 100 - SLACK).select("a", "b").distinct())
+    placed = checkpoint(placed.join(mixed, ["band", "key"]).select("band", "key", "n", "doc_id", "part", "main"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1))
+    few = placed.where("part <> main").select("band", "key", own.alias("i"), every.alias("j"), F.lit(True).alias("few"), "doc_id", "part")
+    full = placed.select("band", "key", every.alias("i"), own.alias("j"), F.lit(False).alias("few"), "doc_id", "part")
+    slots = max(1, -(-2 * placed.count() // SLOT_ROWS))
+    rows = few.unionByName(full).join(classes.select("doc_id", "bands", "fine"), "doc_id")
+    rows = rows.withColumn("slot", F.pmod(F.xxhash64("band", "key", "i", "j"), F.lit(slots)))
+    rest = checkpoint(chances(rows).distinct().join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
         found = found.unionByName(verify(rest, docs, id_col=id_col, text_col=text_col))
         parts = components(found)
@@ -185,5 +239,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all columns, that stay."""
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where("NOT kept").select(col(id_col).alias("__gone_id")).distinct()
-    return docs.join(gone, col(id_col) == F.col("__gone_id"), "left_anti")
+    name = "gone_id"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where("NOT kept").select(col(id_col).alias(name)).distinct()
+    return docs.join(gone, col(id_col) == F.col(name), "left_anti")
