@@ -189,3 +189,16 @@ def test_queries(spark, sf):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows} == {d: (n, g, hashlib.sha256(k.encode()).hexdigest()) for d, (n, g, k) in want.items()}
     rows = queries.op10_near_dedup(spark, sf).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == groups(docs)
+
+
+def test_sql_of_exact_operators(spark, sf):
+    duckdb = pytest.importorskip("duckdb")
+    c = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        c.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name, sql in queries.ORACLE.items():
+        df = queries.QUERIES[name](spark, sf)
+        found = c.execute(sql)
+        columns = [d[0] for d in found.description]
+        assert sorted(columns) == sorted(df.columns)
+        assert sorted(map(tuple, df.select(*columns).collect())) == sorted(map(tuple, found.fetchall()))
