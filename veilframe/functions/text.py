@@ -113,6 +113,16 @@ def mask_name(name: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.when(F.length(p) > 1, F.concat(F.left(p, F.lit(1)), F.lit("***"))).otherwise(p)), " ")
 
 
+def mask_subject(subject: Column) -> Column:
+    """A subject struct for display: names to initials, other values to their last four characters."""
+    tails = lambda c: F.transform(subject[c], lambda v: mask_tail(v))
+    account = lambda a: F.struct(mask_tail(a["value"]).alias("value"), a["preserve_last"].alias("preserve_last"))
+    return F.struct(
+        mask_name(subject["display_name"]).alias("display_name"), F.transform(subject["aliases"], lambda a: mask_name(a)).alias("aliases"), tails("addresses").alias("addresses"), tails("phones").alias("phones"),
+        tails("emails").alias("emails"), tails("ssns").alias("ssns"), F.transform(subject["account_numbers"], account).alias("account_numbers"), subject["custom_patterns"].alias("custom_patterns"),
+    )
+
+
 #: Error classes, what their messages hold, and the way out.
 ERROR_CLASSES = (
     ("no_text", None, "OCR_REQUIRED", "Re-run without --no-ocr (OCR is on by default)"),

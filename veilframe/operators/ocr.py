@@ -62,6 +62,14 @@ def matches(words: DataFrame, profile: Profile) -> DataFrame:
     return words.where(F.lower("text").isin(terms) if terms else F.lit(False))
 
 
+def term_set(profiles: DataFrame) -> DataFrame:
+    """(term) of rows in the profile schema: words of names, and phones, e-mails, SSNs and accounts whole, each once in lower case."""
+    s = F.col("subject")
+    words = F.flatten(F.transform(F.concat(F.array(s["display_name"]), s["aliases"]), lambda n: F.split(n, r"\s+")))
+    values = F.concat(words, s["phones"], s["emails"], s["ssns"], F.transform(s["account_numbers"], lambda a: a["value"]))
+    return profiles.select(F.explode(values).alias("v")).select(F.lower(F.trim("v")).alias("term")).where("term <> ''").distinct()
+
+
 def match_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
     """Words equal to any of a table of terms (term), in either case: an equi-join that Spark plans by size."""
     return words.join(terms.select(F.lower("term").alias("_term")).distinct(), F.lower("text") == F.col("_term"), "left_semi")

@@ -620,6 +620,103 @@ def vault_round_trip(spark, sf):
     return blobs.select("c_custkey", payload.alias("opened"), error.alias("error"), F.octet_length("blob").alias("size"))
 
 
+@query("SELECT c_custkey, client, name FROM customer, (VALUES ('a'), ('b')) v(client), LATERAL (SELECT CASE WHEN client = 'a' THEN c_name ELSE c_mktsegment END AS name)")
+def vault_list(spark, sf):
+    m = F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(entry(F.col("c_name"), "t0"), entry(F.col("c_mktsegment"), "t0")))
+    df = table(spark, sf, "customer").select("c_custkey", m.alias("m"))
+    return df.select("c_custkey", F.explode(F.map_entries("m")).alias("e")).select("c_custkey", F.col("e.key").alias("client"), F.col("e.value.display_name").alias("name"))
+
+
+@query("SELECT c_custkey, c_name AS display_name, CASE WHEN c_custkey % 2 = 0 THEN '{}' END AS body FROM customer")
+def vault_lookup(spark, sf):
+    """A sealed payload a customer, opened, parsed and searched for one client."""
+    key, nonce = F.unhex(F.lit("0f" * 32)), F.unhex(F.substring(F.sha2(F.col("c_custkey").cast("string"), 256), 1, 24))
+    name = F.when(F.col("c_custkey") % 2 == 0, "me").otherwise("other")
+    payload = F.to_json(F.struct(F.lit(1).alias("version"), F.create_map(name, entry(F.col("c_name"), "t0")).alias("profiles")))
+    sealed = table(spark, sf, "customer").select("c_custkey", "c_name", vault.encrypt(payload, key, nonce).alias("blob"))
+    opened = sealed.select("c_custkey", "c_name", vault.parse(vault.decrypt(F.col("blob"), key)[0])["profiles"].alias("m"))
+    return opened.select("c_custkey", F.col("c_name").alias("display_name"), vault.get_entry(F.col("m"), "me")["profile_json"].alias("body"))
+
+
+# Profiles as rows: a customer stands for a subject.
+
+
+def profiles(spark, sf) -> DataFrame:
+    c = table(spark, sf, "customer")
+    strings = lambda *v: F.array(*v).cast("array<string>")
+    subject = F.struct(
+        F.concat("c_mktsegment", F.lit(" "), F.regexp_replace("c_name", "#", " ")).alias("display_name"), strings(F.col("c_mktsegment")).alias("aliases"), strings().alias("addresses"), strings(F.concat(F.lit("+1 "), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))).alias("phones"),
+        strings(F.concat("c_mktsegment", F.lit("@x.org"))).alias("emails"), strings().alias("ssns"), F.array(F.struct(F.lpad(F.col("c_custkey").cast("string"), 12, "7").alias("value"), F.lit(4).alias("preserve_last"))).alias("account_numbers"),
+        F.array().cast("array<struct<name:string,regex:string>>").alias("custom_patterns"),
+    )
+    return c.select("c_custkey", subject.alias("subject"))
+
+
+@query("""WITH v AS (SELECT unnest(string_split(c_mktsegment || ' ' || replace(c_name, '#', ' '), ' ')) AS v FROM customer UNION ALL SELECT '+1 ' || lpad(c_custkey::VARCHAR, 9, '0') FROM customer
+UNION ALL SELECT c_mktsegment || '@x.org' FROM customer UNION ALL SELECT lpad(c_custkey::VARCHAR, 12, '7') FROM customer) SELECT DISTINCT lower(v) AS term FROM v WHERE v <> ''""")
+def ocr_terms(spark, sf):
+    return ocr.term_set(profiles(spark, sf))
+
+
+@query("""SELECT c_custkey, left(c_mktsegment, 1) || '*** C*** 0***' AS name, left(c_mktsegment, 1) || '***' AS alias, repeat('*', 8) || right(lpad(c_custkey::VARCHAR, 9, '0'), 4) AS phone,
+repeat('*', length(c_mktsegment) + 2) || '.org' AS email, repeat('*', 8) || right(lpad(c_custkey::VARCHAR, 12, '7'), 4) AS account FROM customer""")
+def profile_mask(spark, sf):
+    m = profiles(spark, sf).select("c_custkey", X.mask_subject(F.col("subject")).alias("m"))
+    return m.select("c_custkey", F.col("m.display_name").alias("name"), F.col("m.aliases")[0].alias("alias"), F.col("m.phones")[0].alias("phone"), F.col("m.emails")[0].alias("email"), F.col("m.account_numbers")[0]["value"].alias("account"))
+
+
+# Small surfaces of the command line.
+
+
+@query(rf"""WITH {SPANS}, h AS (SELECT doc_id, ord, unnest(regexp_extract_all(text, '{NUMBER}')) AS m FROM spans)
+SELECT doc_id, '{{"file":' || doc_id || ',"page":0,"entity_type":"NUMBER","text":"' || m || '","score":1.0}}' AS line FROM h""")
+def dry_run_json(spark, sf):
+    found = Engine(ONLY_PATTERN).dry_run(spans(spark, sf))
+    return found.select(F.col("file").alias("doc_id"), F.to_json(F.struct("file", "page", "entity_type", "text", "score")).alias("line"))
+
+
+@query(f"WITH {SPANS}, f AS (SELECT doc_id, list(left(text, 40) ORDER BY ord)[1:5] AS t FROM spans GROUP BY doc_id) SELECT doc_id, array_to_string(t, '|') AS preview FROM f")
+def survivor_preview(spark, sf):
+    lines = spans(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("s"))
+    return lines.select("doc_id", F.array_join(verify.preview(F.col("s")), "|").alias("preview"))
+
+
+@query("SELECT event_id AS id, event_type FROM events WHERE event_id = 77")
+def audit_lookup(spark, sf):
+    return runs(spark, sf).where("id = 77").select("id", F.col("profile_name").alias("event_type"))
+
+
+@query(f"{UPSERT} SELECT id, CASE WHEN id = '9' THEN 'Renamed' ELSE id END AS display_name, document_count FROM u UNION ALL SELECT 'new', 'New one', 0")
+def subject_add(spark, sf):
+    named = spark.createDataFrame([("9", "Renamed"), ("new", "New one")], "id string, display_name string").withColumn("now", F.lit("2030-01-01").cast("timestamp"))
+    return audit.add_subjects(upserted(spark, sf), named).select("id", "display_name", "document_count")
+
+
+@query(f"{UPSERT} SELECT id, document_count FROM u WHERE id = '9'")
+def subject_show(spark, sf):
+    return upserted(spark, sf).where("id = '9'").select("id", "document_count")
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus <> 'F' THEN '{"input":"/in/' || o_orderpriority || '/' || o_orderkey || '.pdf","output":"/in/' || o_orderpriority || '/redacted/' || o_orderkey || '_redacted.pdf","detections":' || floor(o_totalprice / 100000)::BIGINT || ',"verification":' || CASE o_orderstatus WHEN 'O' THEN '{"passed":true,"survivors":0}' ELSE 'null' END || '}'
+ELSE '{"path":"/in/' || o_orderpriority || '/' || o_orderkey || '.pdf","category":"ENCRYPTED","message":"is encrypted","mitigation":"Decrypt the PDF first, then re-run"}' END AS line FROM orders""")
+def batch_json(spark, sf):
+    return report.batch_json(*batch(spark, sf))
+
+
+@query("""SELECT '/in/' || o_orderpriority || '/' || o_orderkey || '.pdf' AS path, 'ENCRYPTED' AS category, 'is encrypted' AS message, 'Decrypt the PDF first, then re-run' AS mitigation FROM orders WHERE o_orderstatus = 'F'""")
+def batch_failures(spark, sf):
+    return batch(spark, sf)[1].drop("doc_id")
+
+
+@query("""WITH w AS (SELECT DISTINCT p_name FROM part), s AS (SELECT p_name, list_distinct(string_split(p_name, ' ')) AS a, ['red', 'widget', 'small'] AS b FROM w)
+SELECT p_name, len(list_intersect(a, b))::INT AS shared, (len(a) - len(list_intersect(a, b)))::INT AS own, len(list_intersect(a, b)) > 0 AND (len(a) = len(list_intersect(a, b)) OR len(list_intersect(a, b)) = 3) AS subset FROM s""")
+def token_sets(spark, sf):
+    a, b = F.array_distinct(F.split("p_name", " ")), F.array(F.lit("red"), F.lit("widget"), F.lit("small"))
+    shared = F.size(F.array_intersect(a, b))
+    names = table(spark, sf, "part").select("p_name").distinct()
+    return names.select("p_name", shared.alias("shared"), F.size(F.array_except(a, b)).alias("own"), ((shared > 0) & ((F.size(F.array_except(a, b)) == 0) | (shared == 3))).alias("subset"))
+
+
 # The flagship.
 
 
