@@ -217,6 +217,22 @@ def test_main_text_without_article():
     assert len(lines) == 7 and lines[-1] == "Short."
 
 
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ('<div class="article-header"><h1>Head</h1></div><p>Text goes here.</p>', "Head\nText goes here."),
+        ('<p>Text <span class="ad">buy <span>more</span> now</span> goes on.</p>', "Text\ngoes on."),
+        ('<p class="notice">Site notice.<p>Text goes here.</p>', "Text goes here."),
+        ('<div class="comments"><p>Nice one.</p></div><p>A<br>B &lt;c&gt;</p>', "A B <c>"),
+        ('<div class="has-sidebar"><p>Text goes here.</p></div><ins class="adsbygoogle">x</ins>', "Text goes here."),
+        ('<noscript><p>Turn scripts on.</p></noscript><table><tr><td>one</td><td>two</td></tr></table>', "one\ntwo"),
+        ('<p hidden>Not seen.</p><p style="display: none">Nor this.</p><p>Seen.</p>', "Seen."),
+    ],
+)
+def test_parts_inside_articles(inner, text):
+    assert html_text.main_text(f"<body><div role=navigation>Menu</div><article>{inner}</article></body>") == text
+
+
 @pytest.mark.parametrize("page", ["", "<p", "<!--", "<div><<<>", "&#x;&bogus;", "<article>", "<script>x", "</p></div>"])
 def test_broken_pages_do_not_crash(page):
     assert isinstance(html_text.main_text(page), str)
