@@ -49,6 +49,14 @@ def test_scan_loses_no_hit(term, text, threshold):
         assert found == pytest.approx(exact)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab ", min_size=1, max_size=9), st.text("abc ", max_size=20), st.sampled_from([0.6, 0.85, 1.0]))
+def test_same_words_is_the_token_set_ratio(term, text, threshold):
+    score = fuzzy.token_set_ratio(term, text)
+    if abs(score - 100 * threshold) > 1e-6:
+        assert fuzzy.Needle(term, threshold).same_words(text) == (score >= 100 * threshold)
+
+
 def test_condition_before_scoring_is_lossless(spark):
     r = random.Random(3)
     terms, texts = ["jane corpus", "o neil"], []

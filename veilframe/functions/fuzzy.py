@@ -54,8 +54,18 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(best, ratio(both, one), ratio(both, two)) if both else best
 
 
+def pieces(term: str, k: int) -> list[tuple[int, str]]:
+    """(offset, piece): k + 1 pieces that make up the term; none if it is too short for them."""
+    size = len(term) // (k + 1)
+    return [(i * size, term[i * size : (i + 1) * size if i < k else len(term)]) for i in range(k + 1)] if size else []
+
+
 class Needle:
-    """A term, scanned for with at most k letters inserted or left out."""
+    """A term, scanned for with at most k letters inserted or left out.
+
+    Of k + 1 pieces of the term one stands verbatim in every window that fits, so only the surroundings of
+    pieces are scanned.
+    """
 
     def __init__(self, term: str, threshold: float):
         self.term, self.threshold = term, threshold
@@ -64,6 +74,24 @@ class Needle:
         for i, c in enumerate(term):
             self.place[c] = self.place.get(c, 0) | 1 << i
         self.words = set(term.split())
+        self.pieces = pieces(term, self.k)
+
+    def near(self, text: str) -> list[tuple[int, int]]:
+        """Ranges of text around pieces, merged."""
+        m, k, found = len(self.term), self.k, []
+        for offset, piece in self.pieces:
+            at = text.find(piece)
+            while at >= 0:
+                found.append(at - offset - k)
+                at = text.find(piece, at + 1)
+        out: list[tuple[int, int]] = []
+        for start in sorted(found):
+            start, end = max(0, start), start + m + 2 * k
+            if out and start <= out[-1][1]:
+                out[-1] = (out[-1][0], max(end, out[-1][1]))
+            else:
+                out.append((start, end))
+        return out
 
     def ends(self, text: str) -> list[int]:
         """Where the scan ends a match."""
@@ -87,19 +115,34 @@ class Needle:
         m, n = len(self.term), len(text)
         if n <= m:
             return partial_ratio(self.term, text)
-        best, done = 0.0, -1
+        best = 0.0
         starts: set[int] = set()
-        for end in self.ends(text):
-            starts.update(range(max(1 - m, end - m - self.k), min(n - 1, end + self.k) + 1))
+        for begin, stop in self.near(text) if self.pieces else [(0, n)]:
+            for end in self.ends(text[begin:stop]):
+                starts.update(range(max(1 - m, begin + end - m - self.k), min(n - 1, begin + end + self.k) + 1))
         for i in starts:
             best = max(best, ratio(self.term, text[max(0, i) : min(n, i + m)]))
             if best >= 100:
                 break
         return best
 
+    def same_words(self, text: str) -> bool:
+        """Whether token_set_ratio reaches the threshold; only strings of like lengths are compared letter by letter."""
+        words = set(text.split())
+        if not words or not self.words:
+            return False
+        both = self.words & words
+        if both and (len(both) == len(words) or len(both) == len(self.words)):
+            return True
+        base = " ".join(sorted(both))
+        one, two = (f"{base} {' '.join(sorted(w - both))}".strip() for w in (self.words, words))
+        t, size = self.threshold, len(base)
+        if both and max(2 * size / (size + len(one)), 2 * size / (size + len(two))) >= t:
+            return True
+        return 2 * min(len(one), len(two)) >= t * (len(one) + len(two)) and ratio(one, two) >= 100 * t
+
     def fits(self, text: str) -> bool:
-        bound = 100 * self.threshold
-        return token_set_ratio(self.term, text) >= bound or self.partial(text) >= bound
+        return self.same_words(text) or self.partial(text) >= 100 * self.threshold
 
 
 def fuzzy_hit(text: Column, terms: list[str], threshold: float) -> Column:
@@ -119,12 +162,10 @@ def may_fit(text: Column, terms: list[str], threshold: float) -> Column:
     any_ = F.lit(False)
     for t in terms:
         k = min(len(t), floor(2 * len(t) * (1 - threshold) + 1e-9))
-        size = max(1, len(t) // (k + 1))
-        pieces = {t[i * size : (i + 1) * size if i < k else len(t)] for i in range(k + 1)} - {""}
         longest = floor(len(t) * (2 - threshold) / max(threshold, 1e-9)) + 1
         words = F.split(F.trim(text), r"\s+")
         any_ = any_ | (F.length(text) <= max(longest, len(t))) | F.arrays_overlap(words, F.array(*[F.lit(w) for w in t.split()]))
-        for p in pieces:
+        for _, p in pieces(t, k) or [(0, "")]:
             any_ = any_ | text.contains(p)
     return any_
 

@@ -186,15 +186,16 @@ def score_groups(rows: list[tuple[str, float, float]], addresses: list[str], win
 def detect_addresses(spans: DataFrame, profile: Profile) -> DataFrame:
     """LOCATION for each line of a group that fits an address.
 
-    The lines of a document are gathered, at most one document a task at a time, and only of documents
-    with a candidate line: a condition on built-ins drops the others first.
+    Documents with a candidate line, found by built-ins alone, are few: only their lines are gathered, a
+    document at a time.
     """
     addresses = [a for a in profile.subject.addresses if a.strip()]
     if not addresses:
         return empty(spans)
     d = profile.detection
     line = F.struct("page_num", "ord", "text", F.col("bbox.x0").alias("x0"), F.col("bbox.x1").alias("x1"))
-    docs = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(line)).alias("lines"), F.bool_or(A.is_candidate(F.col("text"))).alias("able"))
+    able = spans.where(A.is_candidate(F.col("text"))).select("doc_id").distinct()
+    docs = spans.join(able, "doc_id", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
 
     @F.pandas_udf("array<struct<line:int,score:double>>")
     def hits(lines: pd.Series) -> pd.Series:
@@ -203,7 +204,7 @@ def detect_addresses(spans: DataFrame, profile: Profile) -> DataFrame:
             for rows in lines
         ])
 
-    found = docs.where("able").select("doc_id", "lines", F.explode(hits("lines")).alias("hit"))
+    found = docs.select("doc_id", "lines", F.explode(hits("lines")).alias("hit"))
     found = found.select("doc_id", F.col("lines")[F.col("hit.line")].alias("s"), F.col("hit.score").alias("_score"))
     found = found.select("doc_id", F.col("s.page_num").alias("page_num"), F.col("s.ord").alias("ord"), "_score")
     return spans.join(found, ["doc_id", "page_num", "ord"]).select(*detection("LOCATION", score=F.col("_score")))
