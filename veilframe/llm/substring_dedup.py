@@ -34,14 +34,15 @@ import re
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from veilframe.llm.common import arrow_map, col, field, ship, text_bytes
+from veilframe.llm.common import arrow_map, col, field, ship, slices, text_bytes
 from veilframe.llm.shingles import WordHashes, mix, sliding, windows
 
 WIDTH = 20
@@ -103,14 +104,10 @@ def seeds(docs: DataFrame) -> DataFrame:
 
 def xor_of(part: pa.RecordBatch) -> np.uint64:
     """A number of the slice's own, so that keys of different slices differ."""
-    import xxhash
-
     return np.uint64(xxhash.xxh3_64_intdigest(str(part.column("id")[0].as_py()).encode()))
 
 
 def emit(df: DataFrame, kernel, fields) -> DataFrame:
-    from veilframe.llm.common import slices
-
     ship(df.sparkSession)
     schema = T.StructType(fields)
 
@@ -182,7 +179,6 @@ def candidates(left: pa.Table, right: pa.Table) -> tuple | None:
     keys = windows(flat, WIDTH)[at]
     first = np.zeros(len(at), bool)
     first[np.unique(keys, return_index=True)[1]] = True
-    doc = np.searchsorted(starts, at, side="right") - 1
     doc = np.repeat(np.arange(len(counts)), counts)[at]
     return ids, doc, numbers(ids)[doc] * PLACE + at - starts[doc], keys, first
 
@@ -215,12 +211,12 @@ def window_rows(packed: DataFrame, recurring: DataFrame) -> DataFrame:
     return packed.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(work, schema)
 
 
-_SPACES = re.compile(rb"[\x20\x09-\x0D]+")
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
 
 
 def cut(text: bytes, gone: np.ndarray) -> bytes:
     """The text without the words marked, each taken with the blanks after it."""
-    parts = re.findall(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text)
+    parts = _WORD.findall(text)
     return b"".join(p for p, g in zip(parts, gone.tolist(), strict=True) if not g)
 
 
@@ -276,14 +272,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         out = result([texts[i] for i in rows], [marks[i] for i in rows])
         return pa.Table.from_arrays([left.column("id"), left.column("rest"), *out], names=schema.names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
     rest_type = to_arrow_type(packed.schema["rest"].dataType)
     out = packed.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(finish, schema)
 
     def untouched():
         return lambda part: result(t := text_bytes(part.column("text")), [np.zeros(len(x.split()), bool) for x in t])
 
-    loose = arrow_map(named.where("id IS NULL").withColumnRenamed("text", "whole"), ["id", "rest"], "whole", lambda: (lambda part: untouched()(part.rename_columns(["id", "rest", "text"]))), [field(f.name, f.dataType) for f in fields])
+    loose = arrow_map(named.where("id IS NULL"), ["id", "rest"], "text", untouched, [field(f.name, f.dataType) for f in fields])
     every = out.unionByName(loose)
     return every.select(F.col("id").alias(id_col), *[F.col("rest").getField(c).alias(c) for c in carry], "n_words", "n_removed", "kept_words", "text")
