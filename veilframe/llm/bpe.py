@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from veilframe.llm.common import arrow_map, col, field, ship
 
 #: Pre-tokens that a worker keeps; a full cache is emptied, which costs time only.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 
 _LETTERS = "a-zªµºß-öø-ſ"
 _NUMBERS = "0-9²³¹¼-¾"

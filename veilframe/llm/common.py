@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 def col(name: str) -> Column:
@@ -97,6 +97,7 @@ def arrow_map(
         for batch in batches:
             for part in slices(batch, text, limit):
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *work(part)], names=names)
+        pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
 
     return chosen.mapInArrow(run, schema)
 

@@ -36,7 +36,7 @@ from veilframe.llm.common import arrow_map, col, field, text_bytes
 WIDTH = 10
 SLOP = 2
 BLOCK_WORDS = 1_000_000
-SLICE = 16 << 20
+SLICE = 6 << 20
 
 #: For each byte: A-Z to a-z; digits, letters and bytes from 0x80 on stay; others become a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
 from veilframe.llm.common import arrow_map, checkpoint, col, field, ship, text_bytes
-from veilframe.llm.shingles import LOWER, WordHashes, mix, shingle_sets
+from veilframe.llm.shingles import LOWER, WORDS, mix, shingle_sets
 
 T = 512
 ROWS = 4
@@ -76,11 +76,8 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-_WORDS = WordHashes()
-
-
 def sets_of(texts: list[bytes], width: int = SHINGLE) -> list[np.ndarray]:
-    return shingle_sets(*_WORDS.of([t.translate(LOWER).split() for t in texts]), width)
+    return shingle_sets(*WORDS.of([t.translate(LOWER).split() for t in texts]), width)
 
 
 def describe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -104,7 +101,7 @@ def describe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         return work
 
     fields = [field("n_shingles", T_.LongType()), field("set_id", T_.BinaryType()), field("bands", T_.ArrayType(T_.LongType())), field("fine", T_.BinaryType())]
-    return arrow_map(docs, [id_col], text_col, kernel, fields, limit=4 << 20).withColumnRenamed(id_col, "doc_id")
+    return arrow_map(docs, [id_col], text_col, kernel, fields, limit=2 << 20).withColumnRenamed(id_col, "doc_id")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Words that a worker remembers; a full cache is emptied, which costs time only.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 FACTORS = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(64)], np.uint64)
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -29,6 +29,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.uint64, int(counts.sum())), counts
 
 
+#: One cache a worker process, whichever operator runs in it.
+WORDS = WordHashes()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from veilframe.llm.common import arrow_map, col, field, ship, slices, text_bytes
-from veilframe.llm.shingles import WordHashes, mix, sliding, windows
+from veilframe.llm.shingles import WORDS, mix, sliding, windows
 
 WIDTH = 20
 PHRASE = 8
@@ -51,14 +51,13 @@ SHARD_BYTES = 2 << 20
 #: A place is text number * PLACE + word number among the texts of one id.
 PLACE = 1 << 40
 
-_WORDS = WordHashes()
 _MOST = np.iinfo(np.uint64).max
 DIGITS = 3
 
 
 def layout(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of all texts on end, each text's first place and its number of words."""
-    flat, counts = _WORDS.of([t.split() for t in texts])
+    flat, counts = WORDS.of([t.split() for t in texts])
     return flat, np.cumsum(counts) - counts, counts
 
 
