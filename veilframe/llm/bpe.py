@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from veilframe.llm.common import arrow_map, col, field, ship
+from veilframe.llm.shingles import WORDS
 
 #: Pre-tokens that a worker keeps; a full cache is emptied, which costs time only.
 CACHE_WORDS = 200_000
@@ -203,6 +204,7 @@ def codec_for(spec: str) -> Codec:
     """One codec a worker process and file, so the cache outlives a task."""
     if (key := hash(spec)) not in _CODECS:
         _CODECS.clear()
+        WORDS.clear()  # another operator's cache in this worker
         _CODECS[key] = Codec(spec)
     return _CODECS[key]
 
