@@ -119,6 +119,22 @@ def test_bands_are_found_at_the_threshold():
     assert (1 - 0.75**near_dedup.ROWS) ** near_dedup.BANDS < 1e-5
 
 
+def test_small_unequal_sets_share_bands():
+    """Rounds from 512 on have keys of their own: sets of few shingles reach them, and one of two near copies may stop before."""
+    r = np.random.default_rng(7)
+    for common, union in ((3, 4), (4, 5), (6, 7), (6, 8), (9, 10), (9, 12)):
+        sets = []
+        for _ in range(500):
+            v = r.integers(0, 2**63, union).astype(np.uint64)
+            k = r.integers(common, union + 1)
+            sets += [np.unique(v[:k]), np.unique(np.concatenate([v[:common], v[k:]]))]
+        s = near_dedup.sketches(sets)
+        bands = np.ascontiguousarray(s[:, : near_dedup.BANDS * near_dedup.ROWS]).view(np.int64)
+        assert (bands[0::2] == bands[1::2]).any(axis=1).all()
+        share = (s[0::2] == s[1::2]).mean(axis=1)
+        assert abs(share.mean() - common / union) < 0.004 and (share >= common / union - near_dedup.SLACK).all()
+
+
 def removed(rows):
     """Brute force: (n_words, n_removed, kept words) of each document."""
     seen, out = set(), {}

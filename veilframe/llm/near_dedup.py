@@ -67,7 +67,7 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
             break
         h = mix(values ^ np.uint64((i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
         at = h % np.uint64(T) if i < T else np.full(len(h), i - T, np.uint64)
-        offer = (np.uint64(i) << np.uint64(55)) | (h >> np.uint64(9))
+        offer = (np.uint64(i) << np.uint64(54)) | (h >> np.uint64(10))  # 10 bits for rounds up to 2 * T - 1
         np.minimum.at(bins.reshape(-1), owner * T + at.astype(np.int64), offer)
         open_ = (bins == none).any(axis=1)[owner]
         values, owner = values[open_], owner[open_]
