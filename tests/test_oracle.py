@@ -47,6 +47,14 @@ def test_gives_rows(spark, sf, name):
     assert q.QUERIES[name](spark, sf).count() >= 0
 
 
+def test_every_subject_in_order_of_use(spark):
+    sf = "/root/testdata/sf0.01"  # the smallest with more than ten subjects
+    users = spark.read.parquet(f"{sf}/events.parquet").where("user_id > 5").select("user_id").distinct().count()
+    found = q.QUERIES["subjects_by_use"](spark, sf).collect()
+    assert len(found) == users > 10
+    assert [r["id"] for r in found] == [r["id"] for r in sorted(found, key=lambda r: (-r["used_us"], r["id"]))]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

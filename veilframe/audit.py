@@ -70,7 +70,7 @@ class AuditLog:
         return self.runs().where(F.col("id") == id_)
 
     def subjects_by_use(self) -> DataFrame:
-        return self.subjects().orderBy(F.col("last_used_at").desc_nulls_last(), "id")
+        return subjects_by_use(self.subjects())
 
     def subject(self, id_: str) -> DataFrame:
         return self.subjects().where(F.col("id") == id_)
@@ -82,6 +82,11 @@ def recent_runs(runs: DataFrame, subject: str | None = None, limit: int = 20) ->
     return rows.orderBy(F.col("id").desc()).limit(limit)
 
 
+def subjects_by_use(subjects: DataFrame) -> DataFrame:
+    """Every subject, the one used last first."""
+    return subjects.orderBy(F.col("last_used_at").desc_nulls_last(), "id")
+
+
 def upsert_subjects(subjects: DataFrame, runs: DataFrame) -> DataFrame:
     """Subjects after the runs: counts go up by one a run, new ones begin with the first. Runs without subject are left out."""
     new = runs.where("subject_id <> ''").groupBy(F.col("subject_id").alias("id")).agg(F.count("*").alias("n"), F.min("processed_at").alias("first"), F.max("processed_at").alias("last"))

@@ -575,6 +575,13 @@ def subjects_ranked(spark, sf):
     return upserted(spark, sf).orderBy(*order).limit(10).select("id", "document_count", F.row_number().over(W.orderBy(*order)).alias("pos"))
 
 
+@query(f"{UPSERT} SELECT id, id AS display_name, epoch_us(created_at) AS created_us, epoch_us(last_used_at) AS used_us, document_count FROM u ORDER BY last_used_at DESC, u.id")
+def subjects_by_use(spark, sf):
+    """Every subject in the order of last use; subjects_ranked reports the first ten only."""
+    rows = audit.subjects_by_use(upserted(spark, sf))
+    return rows.select("id", "display_name", F.unix_micros("created_at").alias("created_us"), F.unix_micros("last_used_at").alias("used_us"), "document_count")
+
+
 @query(f"""WITH {RUNS} SELECT id, '# Redaction Report' || chr(10) || chr(10) || '**File:** ' || f || chr(10) || '**Output:** ' || o || chr(10) || '**Profile:** ' || p || chr(10) || CASE WHEN s <> '' THEN '**Subject:** ' || s ELSE '' END || chr(10) || '**Processed:** ' || iso || chr(10) || '**Duration:** 7 ms' || chr(10) || chr(10)
 || '## Summary' || chr(10) || chr(10) || '| Metric | Value |' || chr(10) || '|--------|-------|' || chr(10) || '| Pages processed | 1 |' || chr(10) || '| Items detected | ' || n || ' |' || chr(10) || '| Items redacted | ' || n || ' |' || chr(10) || '| Verification | '
 || CASE WHEN v IS NULL THEN 'N/A (skipped)' WHEN v THEN '✅ Passed — no PII survivors detected' ELSE '❌ Failed — 1 PII item(s) survived redaction' END || ' |' || chr(10) || CASE WHEN left_ IS NOT NULL THEN chr(10) || '## Survivors' || chr(10) || chr(10) || '- `' || left_ || '`' || chr(10) ELSE '' END || chr(10) || '---' || chr(10) || '*Generated by veilframe*' AS report FROM runs""")
