@@ -44,10 +44,10 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, token_ids) of each text."""
+    """(doc_id, lang, source, n_tokens, token_ids, decoded) of each text."""
     row = docs.select(F.struct("doc_id", "lang", "source").alias("row"), "text")
-    out = bpe.encode(row, public_tokenizers.path(TOKENIZER), id_col="row")
-    return out.select("row.doc_id", "row.lang", "row.source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+    out = bpe.encode(row, public_tokenizers.path(TOKENIZER), id_col="row", decoded="decoded")
+    return out.select("row.doc_id", "row.lang", "row.source", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "decoded")
 
 
 STAGES = [

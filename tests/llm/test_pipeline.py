@@ -59,6 +59,15 @@ def test_run_is_the_stages(spark, planted):
     assert {r["doc_id"] for r in cp.run(spark, top).collect()} == {i for i in range(60) if i % 6 != 5} | {102, 103}
 
 
+def test_last_stage_decodes(spark):
+    texts = ["The planted words, 12 of them.", "", None, "thorin reath " * 300]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = cp.tokenise(spark, docs, "").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["decoded"] == LIBRARY.decode(LIBRARY.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, skip_special_tokens=False)
+
+
 def test_five_stages_in_order():
     assert [n for n, _ in cp.STAGES] == ["quality", "near_dedup", "substring_dedup", "decontamination", "bpe"]
     assert cp.ORACLE_SQL is None

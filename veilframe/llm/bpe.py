@@ -214,8 +214,8 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", out: str = "token_ids") -> DataFrame:
-    """(id, token_ids array<int>) of every whole text."""
+def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", out: str = "token_ids", decoded: str | None = None) -> DataFrame:
+    """(id, token_ids array<int>) of every whole text, and under the name `decoded`, if given, what the ids decode to."""
     spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer_path))
 
     def kernel():
@@ -223,11 +223,15 @@ def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
 
         def work(part):
             ids, bounds = codec.encode([t or "" for t in part.column(text_col).to_pylist()])
-            return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
+            arrays = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
+            if decoded:
+                arrays.append(pa.array((codec.decode(ids[a:b].tolist()) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)), pa.string()))
+            return arrays
 
         return work
 
-    return arrow_map(docs, [id_col], text_col, kernel, [field(out, T.ArrayType(T.IntegerType()))])
+    fields = [field(out, T.ArrayType(T.IntegerType()))] + ([field(decoded, T.StringType())] if decoded else [])
+    return arrow_map(docs, [id_col], text_col, kernel, fields)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", ids_col: str = "token_ids", out: str = "text") -> DataFrame:
