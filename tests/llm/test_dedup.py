@@ -105,6 +105,21 @@ def test_near_edge_cases(spark):
     assert near_dedup.keep_one(frame(spark, rows)).count() == len(rows) - 1
 
 
+def test_keep_one_by_text_where_ids_repeat(spark, monkeypatch):
+    """A clean text stays though its id also has a copy; a group linked through one text of an id keeps a row of the other; copies go."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(1, a), (5, a), (5, b), (6, c), (6, d), (3, c + " more"), (7, d), (8, None), (8, None), (9, b), (9, b), (None, a), (2, "x y"), (2, "x y")]
+    base = ["g%d" % i for i in range(120)]
+    r = random.Random(5)
+    group = [(100 + i, " ".join("y%d" % r.randrange(10**6) if r.random() < 0.04 else w for w in base)) for i in range(30)]
+    out = sorted((x["doc_id"] or 0, x["text"] or "") for x in near_dedup.keep_one(frame(spark, rows + group), repeats=False).collect())
+    small = [x for x in out if x[0] < 100]
+    assert small == sorted([(1, a), (5, b), (3, c + " more"), (6, d), (8, ""), (0, a), (2, "x y")])
+    assert [x[0] for x in out if x[0] >= 100] == sorted(i for i, (_, g) in groups(group).items() if g == i)
+    assert near_dedup.keep_one(frame(spark, rows)).where("doc_id = 2").count() == 2
+
+
 def test_sketches_fill_and_concentrate():
     r = np.random.default_rng(1)
     sets = [np.unique(r.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 3, 50, 900)]

@@ -27,8 +27,9 @@ each step a grouped minimum and a join, checkpointed.
 Defined results: rows without words or text have 0 shingles and a component of
 their own; a row without id has component null, links to nothing and is kept;
 rows that repeat an id get the component of their own text's class each, and
-count as one document where links are concerned; an empty table gives an empty
-table; other columns are ignored.
+count as one document where links are concerned (`keep_one` takes each text of a
+repeated id as a document of its own); an empty table gives an empty table;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -157,6 +158,17 @@ def agreement(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]
     return out / T
 
 
+def order(id_):
+    """What an id is sorted by: of a struct, its fields."""
+    return tuple(id_.values()) if isinstance(id_, dict) else id_
+
+
+def numbered(ids: list) -> np.ndarray:
+    """A number for each distinct id."""
+    seen: dict = {}
+    return np.array([seen.setdefault(order(x), len(seen)) for x in ids], np.int64)
+
+
 def chances(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) worth a verification from rows (slot, band, key, i, j, few, doc_id, part, bands, fine): blocks of a bucket.
 
@@ -171,7 +183,7 @@ def chances(rows: DataFrame) -> DataFrame:
         where = np.stack([table.column(c).to_numpy() for c in ("band", "key", "i", "j")])
         cuts = np.concatenate([[0], np.nonzero((np.diff(where, axis=1) != 0).any(axis=0))[0] + 1, [n]])
         few = np.array(table.column("few").to_pylist(), bool)
-        ids, part = table.column("doc_id").to_pylist(), np.unique(np.array(table.column("part").to_pylist()), return_inverse=True)[1]
+        ids, part = table.column("doc_id").to_pylist(), numbered(table.column("part").to_pylist())
         bands = np.array(table.column("bands").to_pylist(), np.int64).reshape(n, BANDS)
         fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(n, T - BANDS * ROWS)
         coarse = bands.view(np.uint16).reshape(n, BANDS * ROWS)
@@ -186,7 +198,7 @@ def chances(rows: DataFrame) -> DataFrame:
             same = bands[x[p]] == bands[y[q]]
             new = same.argmax(axis=1) == where[0, start] if len(p) else np.zeros(0, bool)
             for u, v in zip(x[p[new]].tolist(), y[q[new]].tolist(), strict=True):
-                u, v = sorted((ids[u], ids[v]))
+                u, v = sorted((ids[u], ids[v]), key=order)
                 left.append(u)
                 right.append(v)
         kind = table.schema.field("doc_id").type
@@ -234,10 +246,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all columns, that stay."""
-    name = "gone_id"
-    while name in map(str.lower, docs.columns):
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
+    """The rows of `docs`, all columns, that stay. Where an id repeats, each of its texts is a document of its own;
+    of rows equal in id and text all stay, or one if `repeats` is false."""
+    taken = set(map(str.lower, docs.columns))
+    name, key = "gone_id", "row_key"
+    while name in taken:
         name += "_"
-    gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where("NOT kept").select(col(id_col).alias(name)).distinct()
-    return docs.join(gone, col(id_col) == F.col(name), "left_anti")
+    while key in taken:
+        key += "_"
+    again = checkpoint(docs.select(col(id_col).alias(name)).where(F.col(name).isNotNull()).groupBy(name).count().where("count > 1").select(name))
+    if again.isEmpty():
+        gone = near_duplicates(docs, id_col=id_col, text_col=text_col).where("NOT kept").select(col(id_col).alias(name)).distinct()
+        return docs.join(gone, col(id_col) == F.col(name), "left_anti")
+    mark = F.when(F.col(name).isNotNull(), F.xxhash64(F.coalesce(col(text_col), F.lit("")))).otherwise(F.lit(0).cast("long"))
+    keyed = docs.join(again, col(id_col) == F.col(name), "left")
+    keyed = keyed.withColumn(key, F.when(col(id_col).isNotNull(), F.struct(col(id_col).alias("id"), mark.alias("mark")))).drop(name)
+    gone = near_duplicates(keyed, id_col=key, text_col=text_col).where("NOT kept").select(F.col(key).alias(name)).distinct()
+    kept = keyed.join(gone, F.col(key) == F.col(name), "left_anti")
+    if not repeats:
+        many = F.coalesce(F.col(key)["mark"] != 0, F.lit(False))
+        kept = kept.where(~many).unionByName(kept.where(many).dropDuplicates([key]))
+    return kept.select(*[col(c) for c in docs.columns])
