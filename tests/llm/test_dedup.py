@@ -5,7 +5,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 
 from veilframe.llm import near_dedup, queries, substring_dedup
 
@@ -82,6 +84,7 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     """Members that the least document of a bucket doesn't link are still found, over several blocks."""
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     monkeypatch.setattr(near_dedup, "SLOT_ROWS", 64)
+    monkeypatch.setattr(near_dedup, "HEAD_PAIRS", 16)
     r = random.Random(5)
     base = ["b%d" % i for i in range(120)]
     rows = []
@@ -130,8 +133,20 @@ def test_sketches_fill_and_concentrate():
     assert abs((a == b).mean() - 500 / 700) < 4 * (0.2 / near_dedup.T) ** 0.5
 
 
-def test_bands_are_found_at_the_threshold():
-    assert (1 - 0.75**near_dedup.ROWS) ** near_dedup.BANDS < 1e-5
+def test_recall_at_the_threshold():
+    """Planted pairs of similarity 0.75 to 0.78 all share a band, and sketches put next to none of them further under the threshold than SLACK."""
+    r = np.random.default_rng(3)
+    for union in (12, 40, 200, 600):
+        pairs = []
+        for _ in range(1500 if union < 600 else 300):
+            common = int(np.ceil(r.uniform(0.75, 0.78) * union))
+            v = r.integers(0, 2**63, union).astype(np.uint64)
+            k = r.integers(common, union + 1)
+            pairs += [np.unique(v[:k]), np.unique(np.concatenate([v[:common], v[k:]]))]
+        s = near_dedup.sketches(pairs)
+        bands = np.ascontiguousarray(s[:, : near_dedup.BANDS * near_dedup.ROWS]).view(np.int64)
+        assert (bands[0::2] == bands[1::2]).any(axis=1).mean() == 1
+        assert ((s[0::2] == s[1::2]).mean(axis=1) >= 0.75 - near_dedup.SLACK).mean() > 0.9995
 
 
 def test_small_unequal_sets_share_bands():
@@ -183,10 +198,10 @@ def passages(seed):
     return rows + [(200, rows[0][1]), (201, rows[0][1])]
 
 
-@pytest.mark.parametrize(("seed", "shard_bytes"), [(1, 1 << 20), (2, 2000), (3, 300)])
-def test_substrings(spark, seed, shard_bytes):
+@pytest.mark.parametrize(("seed", "shard_bytes", "slot_bytes"), [(1, 1 << 20, 1 << 20), (2, 2000, 1000), (3, 300, 300), (4, 1 << 20, 600)])
+def test_substrings(spark, seed, shard_bytes, slot_bytes):
     rows = passages(seed)
-    out = substring_dedup.remove_repeats(frame(spark, rows), carry=("rest", "id"), shard_bytes=shard_bytes)
+    out = substring_dedup.remove_repeats(frame(spark, rows), carry=("rest", "id"), shard_bytes=shard_bytes, slot_bytes=slot_bytes)
     assert out.columns == ["doc_id", "rest", "id", "n_words", "n_removed", "kept_words", "text"]
     found = out.collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_words"]) for r in found} == removed(rows)
@@ -207,6 +222,28 @@ def test_substring_edge_cases(spark):
     assert substring_dedup.remove_repeats(frame(spark, rows).where("false")).count() == 0
 
 
+def test_the_automaton_decides(monkeypatch):
+    """Occurrences come from the automaton only: without its finds, and without any one phrase, windows are missing."""
+    words = ["p%d" % i for i in range(40)]
+    texts = [" ".join(words).encode(), " ".join(["x", *words, "y"]).encode()]
+    flat, starts, counts = substring_dedup.layout(texts)
+    g, least, _ = substring_dedup.least_seeds(flat, starts, counts)
+    ks = np.unique(least[:21]).view(np.int64)
+
+    def slot(ks):
+        zip_ = zstandard.ZstdCompressor().compress
+        table = pa.table({"id": [1, 2], "mark": [0, 0], "packed": [zip_(t) for t in texts], "ks": pa.array([ks, None], pa.list_(pa.int64())), "stream": [True, True]})
+        return substring_dedup.windows_of(table)
+
+    doc, at, _, first = slot(ks.tolist())
+    assert doc.tolist() == [0] * 21 + [1] * 23 and at.tolist() == [*range(21), *range(23)] and first.tolist() == [True] * 22 + [False] * 21 + [True]
+    assert len(ks) > 1 and len(slot(ks[1:].tolist())[0]) < 44
+    monkeypatch.setattr(substring_dedup, "located", lambda flat, starts, counts, phrases: np.isin(np.arange(len(flat)), phrases))
+    assert slot(ks.tolist())[0].tolist() == [0] * 21
+    monkeypatch.setattr(substring_dedup, "located", lambda flat, starts, counts, phrases: np.zeros(len(flat), bool))
+    assert not len(slot(ks.tolist())[0])
+
+
 def test_located_phrases():
     texts = [b"a b c d e f g h i", b"", b"x a b c d e f g h"]
     flat, starts, counts = substring_dedup.layout(texts)

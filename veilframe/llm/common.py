@@ -1,14 +1,20 @@
 """What the operators of this subpackage share.
 
-Python runs over Arrow batches only. A batch is cut into slices of a bounded
-number of text bytes, so a worker's memory does not follow the batch size;
-one very long text makes a slice of its own and is never cut.
+Python runs over Arrow batches only, of at most `BATCH_ROWS` rows: the session's
+bound is lowered to that before a plan is made. A batch is cut into slices of a
+bounded number of text bytes; one very long text makes a slice of its own and
+is never cut. Workers live through many tasks, so what an operator remembers in
+one is dropped when another operator starts there, and free memory is given
+back at the end of each task.
 """
 
 from __future__ import annotations
 
+import ctypes
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
@@ -20,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 4 << 20
+BATCH_ROWS = 1_000
 
 
 def col(name: str) -> Column:
@@ -28,7 +35,7 @@ def col(name: str) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each context."""
+    """Send this package to the executors, once for each context, and bound what reaches Python at once."""
     sc = spark.sparkContext
     if getattr(sc, "_veilframe_shipped", False):
         return
@@ -41,19 +48,70 @@ def ship(spark: SparkSession) -> None:
     sc._veilframe_shipped = True
 
 
-def set_checkpoint_dir(spark: SparkSession) -> None:
-    """Checkpoints go to spark.checkpoint.dir; a temporary folder only where it is unset."""
+def bound_batches(spark: SparkSession) -> None:
+    """No Arrow batch of this session holds more than BATCH_ROWS rows; a lower bound of its own stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one in local mode only."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp()
+    sc.setCheckpointDir(named)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage; the copy lies where every executor can read it."""
-    set_checkpoint_dir(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the checkpoint folder, deleted when the driver ends: smaller than a checkpoint."""
+    spark = df.sparkSession
+    name = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(name)
+
+
+#: What operators remember in a worker process: the owner, and how to forget it.
+_MEMORIES: list[tuple[str, Callable[[], None]]] = []
+
+
+def remembers(owner: str, forget: Callable[[], None]) -> None:
+    _MEMORIES.append((owner, forget))
+
+
+def begin(owner: str = "") -> None:
+    """A task of this owner starts: all other owners forget."""
+    if pa.default_memory_pool().backend_name != "system":
+        pa.set_memory_pool(pa.system_memory_pool())
+    for name, forget in _MEMORIES:
+        if name != owner:
+            forget()
+
+
+def end() -> None:
+    """Give free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """Each text in UTF-8; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -81,10 +139,11 @@ def arrow_map(
     *,
     limit: int = SLICE_BYTES,
     more: Iterable[str] = (),
+    owner: str = "",
 ) -> DataFrame:
     """`keep` unchanged and, for each row, what the kernel makes of `text` and `more`.
 
-    The kernel is built once a task and called for each slice.
+    The kernel is built once a task and called for each slice; `owner` names whose memory it uses.
     """
     ship(df.sparkSession)
     keep = list(keep)
@@ -93,11 +152,12 @@ def arrow_map(
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(owner)
         work = kernel()
         for batch in batches:
             for part in slices(batch, text, limit):
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *work(part)], names=names)
-        pa.default_memory_pool().release_unused()  # the worker lives on for other tasks
+        end()
 
     return chosen.mapInArrow(run, schema)
 

@@ -15,8 +15,8 @@ its members outside the bucket's largest component meet all its members, in
 blocks of bounded size that compare whole sketches: pairs of different
 components that the sketches put no more than `SLACK` under the threshold are
 verified too. So copies and near copies cost one pair each, no bucket is cut
-short, blocks emit no pair that has no chance, and no link between components
-within a bucket is lost.
+short and blocks emit no pair that has no chance. What a bucket can lose is a
+link that its sketches put further under the threshold than `SLACK`.
 
 A pair of similarity 0.75 misses all 32 bands of 4 with a chance of about
 (1 - 0.75**4)**32 = 5e-6, and `SLACK` is four deviations of the estimate.
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
-from veilframe.llm.common import arrow_map, checkpoint, col, field, ship, text_bytes
+from veilframe.llm.common import arrow_map, begin, checkpoint, col, end, field, ship, text_bytes
 from veilframe.llm.shingles import LOWER, WORDS, mix, shingle_sets
 
 T = 512
@@ -54,6 +54,9 @@ SLACK = 0.077
 #: Members of a bucket that a block compares, on either side, and rows that a task gets to build blocks from.
 BLOCK = 1024
 SLOT_ROWS = 4096
+#: Pairs of one least document that a part gets, and parts into which they are dealt while that is looked up.
+HEAD_PAIRS = 512
+FAN = 64
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -102,18 +105,33 @@ def describe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
         return work
 
     fields = [field("n_shingles", T_.LongType()), field("set_id", T_.BinaryType()), field("bands", T_.ArrayType(T_.LongType())), field("fine", T_.BinaryType())]
-    return arrow_map(docs, [id_col], text_col, kernel, fields, limit=2 << 20).withColumnRenamed(id_col, "doc_id")
+    return arrow_map(docs, [id_col], text_col, kernel, fields, limit=2 << 20, owner="words").withColumnRenamed(id_col, "doc_id")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Those pairs (a, b) whose full sets reach the threshold. The text of one side joins at a time."""
+    """Those pairs (a, b) whose full sets reach the threshold. The text of one side joins at a time.
+
+    The least document of a large group is in most of its pairs as `a`: beyond `HEAD_PAIRS` its pairs are dealt into
+    parts, each with a copy of its text, so no task gets the texts of a whole group.
+    """
     ship(docs.sparkSession)
     texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).where(F.col("id").isNotNull())
-    one = pairs.join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
-    both = one.join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").select("a", "b", "ta", "tb")
+    many = pairs.groupBy("a").count().where(F.col("count") > HEAD_PAIRS)
+    many = checkpoint(many.select(F.col("a").alias("many"), F.ceil(F.col("count") / HEAD_PAIRS).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(FAN - 1))).alias("fan")))
+    if many.isEmpty():
+        split, heads = pairs.withColumn("part", F.lit(0)), texts.withColumn("part", F.lit(0))
+    else:
+        fan = F.pmod(F.xxhash64("b"), F.lit(FAN)).cast("int")
+        split = pairs.join(many, (F.col("a") == F.col("many")) & (fan == F.col("fan")), "left")
+        split = split.select("a", "b", F.pmod(F.xxhash64(F.lit(1), "b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
+        heads = texts.join(many.where("fan = 0").select("many", "parts"), F.col("id") == F.col("many"), "left")
+        heads = heads.select("id", "text", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    one = split.join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
+    both = one.join(heads.withColumnsRenamed({"id": "a", "text": "ta"}), ["a", "part"]).select("a", "b", "ta", "tb")
     schema = T_.StructType([pairs.schema["a"], pairs.schema["b"]])
 
     def run(batches):
+        begin("words")
         last, own = None, None
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -126,6 +144,7 @@ def verify(pairs: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_co
                     common = len(np.intersect1d(own, s, assume_unique=True))
                     keep.append(100 * common >= PERCENT * (len(own) + len(s) - common) > 0)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        end()
 
     return both.mapInArrow(run, schema).distinct()
 

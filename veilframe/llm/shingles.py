@@ -7,6 +7,8 @@ from itertools import chain
 import numpy as np
 import xxhash
 
+from veilframe.llm.common import remembers
+
 #: Words that a worker remembers; a full cache is emptied, which costs time only.
 CACHE_WORDS = 150_000
 
@@ -31,6 +33,7 @@ class WordHashes(dict):
 
 #: One cache a worker process, whichever operator runs in it.
 WORDS = WordHashes()
+remembers("words", WORDS.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

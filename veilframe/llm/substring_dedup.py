@@ -2,29 +2,32 @@
 
 Confirm: every text gives its seeds, the least of each run of `WIDTH - PHRASE +
 1` hashes of `PHRASE` consecutive words, so two equal windows of `WIDTH` words
-hold the same seed. A seed phrase counts as recurring if it occurs twice in all
-documents. Slices add up their own seeds first, so a phrase has a row a slice
-at most to be counted by.
-
-Compile: documents and the recurring phrases that their seeds point to meet in
-shards by document id. Each shard turns its words into letters and compiles one
-Aho-Corasick automaton of its phrases. Shards hold about `SHARD_BYTES` of text,
-so automata have a bounded size and no document meets a foreign one.
-
-Locate: every document of the shard is streamed through the automaton; each
-window around a located phrase is a candidate. Candidates are compared by the
-hash of all their words: the first in (document, start) order stays, the others
-cover words to remove. A shard keeps its first occurrence of a window only, so a
-window has a row a shard at most. Spans go back to the shards, which cut them.
+hold the same seed. A seed that occurs twice in all documents is a recurring
+phrase; it is owned by the least document that has it, found by a grouped
+minimum that is combined on the map side.
+
+Compile: phrases are dealt into shards by their owner, so the phrases of one
+passage, or of one copied document, share a shard. A shard's Aho-Corasick
+automaton is compiled from the words of its owners, whatever documents it will
+read; shards follow `SHARD_BYTES` of text.
+
+Locate: every document that has a phrase of a shard is streamed whole through
+that shard's automaton, which finds all occurrences: no position is carried to
+it. A shard that very many documents stream through is split into slots, each
+with the automaton and a bounded part of the documents. A window of `WIDTH`
+words belongs to the shard of its least seed, so all of its occurrences meet
+there; the first in (document, start) order stays, the others cover words to
+remove. Slots of a split shard agree on the first by a grouped minimum, to which
+a slot gives a window once.
 
 Windows are compared by 64 bits of hash, so of n candidates about n * n / 2**65
 pairs agree by chance.
 
 Defined results: null and wordless texts have no words and lose none; rows
 without id are passed through whole and count as no earlier occurrence; rows
-that repeat an id are taken as one document after another in byte order of
-their texts, rows equal in both share one result; an empty table gives an empty
-table; columns other than those carried are ignored.
+that repeat an id are taken as one document after another in the order of a
+hash of their texts, rows equal in both share one result; an empty table gives
+an empty table; columns other than those carried are ignored.
 """
 
 from __future__ import annotations
@@ -34,22 +37,21 @@ import re
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
-from veilframe.llm.common import arrow_map, col, field, ship, slices, text_bytes
-from veilframe.llm.shingles import WORDS, mix, sliding, windows
+from veilframe.llm.common import arrow_map, begin, checkpoint, col, end, field, ship, slices, stored, text_bytes
+from veilframe.llm.shingles import WORDS, sliding, windows
 
 WIDTH = 20
 PHRASE = 8
 SHARD_BYTES = 2 << 20
-#: A place is text number * PLACE + word number among the texts of one id.
-PLACE = 1 << 40
+#: Text that a slot of a split shard reads, as far as documents are of like length.
+SLOT_BYTES = 4 << 20
+#: Parts into which a shard's rows are dealt while the split shards are looked up.
+FAN = 64
 
 _MOST = np.iinfo(np.uint64).max
 DIGITS = 3
@@ -75,64 +77,37 @@ def least_seeds(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tup
 
 
 def seeds(docs: DataFrame) -> DataFrame:
-    """(k, id, at, n) from rows (id, text): seeds to be counted by k.
-
-    A seed that recurs within the slice is sure, and its rows (n = 2) go under keys of their own;
-    one row more lends its number to the others of its key, with at = -1.
-    """
+    """(k, id, mark, n) from rows (id, mark, text): each seed of a text once, n = 2 if it occurs there again."""
+    schema = T.StructType([T.StructField("k", T.LongType()), docs.schema["id"], docs.schema["mark"], T.StructField("n", T.IntegerType())])
 
     def kernel(part):
-        texts = text_bytes(part.column("text"))
-        flat, starts, counts = layout(texts)
+        flat, starts, counts = layout(text_bytes(part.column("text")))
         g, least, ok = least_seeds(flat, starts, counts)
         if not ok.any():
             return None
         span = WIDTH - PHRASE + 1
         most = sliding(np.concatenate([np.zeros(span - 1, np.uint64), np.where(ok, least, 0), np.zeros(span - 1, np.uint64)]), span, np.maximum)
         at = np.nonzero(most == g[: len(most)])[0]
-        keys, inverse, n = np.unique(g[at], return_inverse=True, return_counts=True)
-        sure = n[inverse] > 1
         doc = np.searchsorted(starts, at, side="right") - 1
-        k = np.concatenate([np.where(sure, mix(g[at] ^ mix(at.astype(np.uint64) + xor_of(part))), g[at]), keys[n > 1]])
-        ids = part.column("id").take(pa.array(np.concatenate([doc, np.zeros(len(k) - len(at), np.int64)])))
-        place = np.concatenate([at - starts[doc], np.full(len(k) - len(at), -1)])
-        return [pa.array(k.view(np.int64)), ids, pa.array(place), pa.array(np.concatenate([1 + sure, np.full(len(k) - len(at), 2)]).astype(np.int64))]
-
-    return emit(docs, kernel, [T.StructField("k", T.LongType()), docs.schema["id"], T.StructField("at", T.LongType()), T.StructField("n", T.LongType())])
-
-
-def xor_of(part: pa.RecordBatch) -> np.uint64:
-    """A number of the slice's own, so that keys of different slices differ."""
-    return np.uint64(xxhash.xxh3_64_intdigest(str(part.column("id")[0].as_py()).encode()))
+        order = np.lexsort((g[at], doc))
+        k, doc = g[at][order], doc[order]
+        new = np.concatenate([[True], (np.diff(k) != 0) | (np.diff(doc) != 0)])
+        first = np.nonzero(new)[0]
+        n = np.minimum(np.diff(np.concatenate([first, [len(k)]])), 2)
+        owner = pa.array(doc[first])
+        return [pa.array(k[first].view(np.int64)), part.column("id").take(owner), part.column("mark").take(owner), pa.array(n.astype(np.int32))]
 
-
-def emit(df: DataFrame, kernel, fields) -> DataFrame:
-    ship(df.sparkSession)
-    schema = T.StructType(fields)
+    ship(docs.sparkSession)
 
     def run(batches):
+        begin("words")
         for batch in batches:
             for part in slices(batch, "text"):
                 if (out := kernel(part)) is not None:
                     yield pa.RecordBatch.from_arrays(out, names=schema.names)
+        end()
 
-    return df.mapInArrow(run, schema)
-
-
-def unpack(table: pa.Table) -> tuple[list, list[bytes]]:
-    """Ids and texts of a shard, distinct and in order of both."""
-    open_ = zstandard.ZstdDecompressor().decompress
-    rows = sorted(set(zip(table.column("id").to_pylist(), (open_(z) for z in table.column("packed").to_pylist()), strict=True)))
-    return [r[0] for r in rows], [r[1] for r in rows]
-
-
-def numbers(ids: list) -> np.ndarray:
-    """0, 1, ... among the texts of each id."""
-    out = np.zeros(len(ids), np.int64)
-    for i in range(1, len(ids)):
-        if ids[i] == ids[i - 1]:
-            out[i] = out[i - 1] + 1
-    return out
+    return docs.mapInArrow(run, schema)
 
 
 def located(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, phrases: np.ndarray) -> np.ndarray:
@@ -159,55 +134,64 @@ def located(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, phrases: n
     return hit[np.arange(len(flat)) + shift]
 
 
-def candidates(left: pa.Table, right: pa.Table) -> tuple | None:
-    """Of a shard: (ids, place) of candidate windows in order, their hashes, and which are the shard's first."""
-    ids, texts = unpack(left)
+def compiled(g: np.ndarray, starts: np.ndarray, counts: np.ndarray, owned: list[np.ndarray | None]) -> np.ndarray:
+    """One place of each phrase that the texts own by its hash."""
+    places = []
+    for start, n, ks in zip(starts.tolist(), counts.tolist(), owned, strict=True):
+        if ks is not None and n >= PHRASE:
+            own = g[start : start + n - PHRASE + 1]
+            places.append(start + np.nonzero(np.isin(own, ks))[0])
+    at = np.concatenate(places) if places else np.zeros(0, np.int64)
+    return at[np.unique(g[at], return_index=True)[1]]
+
+
+def windows_of(table: pa.Table) -> tuple | None:
+    """Of a slot with rows (id, mark, packed, ks, stream), in order: which row and place each candidate window has, its hash, whether it is the slot's first."""
+    open_ = zstandard.ZstdDecompressor().decompress
+    texts = [open_(z) for z in table.column("packed").to_pylist()]
+    owned = [None if ks is None else np.array(ks, np.int64).view(np.uint64) for ks in table.column("ks").to_pylist()]
     flat, starts, counts = layout(texts)
     if len(flat) < WIDTH:
         return None
     g, least, ok = least_seeds(flat, starts, counts)
-    rows: dict = {}
-    for i, d in enumerate(ids):
-        rows.setdefault(d, []).append(i)
-    points = [starts[i] + at for d, at in zip(right.column("id").to_pylist(), right.column("at").to_pylist(), strict=True) for i in rows.get(d, ()) if at + PHRASE <= counts[i]]
-    if not points:
+    phrases = compiled(g, starts, counts, owned)
+    if not len(phrases):
         return None
-    found = located(flat, starts, counts, np.unique(np.array(points, np.int64)))[: len(g)]
+    found = located(flat, starts, counts, phrases)[: len(g)]
     hit = sliding(np.where(found, g, _MOST), WIDTH - PHRASE + 1)
-    at = np.nonzero(ok & (hit == least))[0]
+    doc = np.repeat(np.arange(len(counts)), counts)
+    reads = np.array(table.column("stream").to_pylist(), bool)
+    at = np.nonzero(ok & (hit == least) & reads[doc[: len(least)]])[0]
     keys = windows(flat, WIDTH)[at]
     first = np.zeros(len(at), bool)
     first[np.unique(keys, return_index=True)[1]] = True
-    doc = np.repeat(np.arange(len(counts)), counts)[at]
-    return ids, doc, numbers(ids)[doc] * PLACE + at - starts[doc], keys, first
+    return doc[at], at - starts[doc[at]], keys, first
 
 
-def window_rows(packed: DataFrame, recurring: DataFrame) -> DataFrame:
-    """(k, shard, id, at, length): a shard's first windows by their hash, and its later ones as spans (k by chance)."""
-    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("shard", T.LongType()), packed.schema["id"], T.StructField("at", T.LongType()), T.StructField("length", T.LongType())])
+def found_rows(routed: DataFrame) -> DataFrame:
+    """(k, id, mark, at, length): spans to remove with k null, and with it a window's first place in a slot of a split shard."""
+    schema = T.StructType([T.StructField("k", T.LongType()), routed.schema["id"], routed.schema["mark"], T.StructField("at", T.IntegerType()), T.StructField("length", T.IntegerType())])
 
-    def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = candidates(left, right) if left.num_rows and right.num_rows else None
-        types = [pa.int64(), pa.int64(), left.schema.field("id").type if left.num_rows else right.schema.field("id").type, pa.int64(), pa.int64()]
+    def work(table: pa.Table) -> pa.Table:
+        begin("words")
+        table = table.sort_by([("id", "ascending"), ("mark", "ascending")])
+        found = windows_of(table)
         if found is None:
-            return pa.Table.from_arrays([pa.array([], t) for t in types], names=schema.names)
-        ids, doc, place, keys, first = found
+            none = pa.array([], pa.int32())
+            return pa.Table.from_arrays([none.cast(pa.int64()), table.column("id").slice(0, 0), table.column("mark").slice(0, 0), none, none], names=schema.names)
+        doc, at, keys, first = found
         late = np.nonzero(~first)[0]
-        runs = late[np.concatenate([[True], (np.diff(late) > 1) | (np.diff(place[late]) != 1) | (np.diff(doc[late]) > 0)])] if len(late) else late
-        ends = np.searchsorted(late, runs[1:]) if len(runs) else runs
-        sizes = np.diff(np.concatenate([[0], ends, [len(late)]])) if len(runs) else runs
-        own = np.concatenate([keys[first], mix(keys[runs] ^ mix(place[runs].astype(np.uint64)))])
-        owner = np.concatenate([doc[first], doc[runs]])
-        arrays = [
-            pa.array(own.view(np.int64)),
-            pa.array(np.full(len(own), left.column("shard")[0].as_py(), np.int64)),
-            pa.array([ids[i] for i in owner.tolist()], types[2]),
-            pa.array(np.concatenate([place[first], place[runs]]).astype(np.int64)),
-            pa.array(np.concatenate([np.zeros(int(first.sum()), np.int64), sizes + WIDTH - 1]).astype(np.int64)),
-        ]
-        return pa.Table.from_arrays(arrays, names=schema.names)
-
-    return packed.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(work, schema)
+        new = np.concatenate([[True], (np.diff(at[late]) != 1) | (np.diff(doc[late]) != 0)]) if len(late) else np.zeros(0, bool)
+        runs = late[new]
+        sizes = np.diff(np.concatenate([np.nonzero(new)[0], [len(late)]])) + WIDTH - 1 if len(late) else runs
+        heads = np.nonzero(first)[0] if table.column("slots")[0].as_py() > 1 else runs[:0]
+        take = np.concatenate([runs, heads])
+        k = pa.array(keys[take].view(np.int64), mask=np.arange(len(take)) < len(runs))
+        row = pa.array(doc[take])
+        length = np.concatenate([sizes, np.full(len(heads), WIDTH)]).astype(np.int32)
+        return pa.Table.from_arrays([k, table.column("id").take(row), table.column("mark").take(row), pa.array(at[take].astype(np.int32)), pa.array(length)], names=schema.names)
+
+    return routed.groupBy("shard", "slot").applyInArrow(work, schema)
 
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
@@ -219,64 +203,89 @@ def cut(text: bytes, gone: np.ndarray) -> bytes:
     return b"".join(p for p, g in zip(parts, gone.tolist(), strict=True) if not g)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(id, carried columns, n_words, n_removed, kept_words, text): `text` keeps the blanks between kept
-    words, kept_words has one blank each."""
-    spark = docs.sparkSession
-    ship(spark)
-    named = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *[col(c) for c in carry]).alias("rest"))
-    total = named.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // shard_bytes))
-    shard = F.pmod(F.xxhash64(F.col("id")), F.lit(shards)).alias("shard")
-    seen = named.where("id IS NOT NULL")
+def marked(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, mark, text, rest), and of those with an id each distinct (id, mark, text) once.
+
+    `mark` is a hash of the text where the id repeats, else 0.
+    """
+    rest = F.struct(F.lit(0).alias("_"), *[col(c) for c in carry]).alias("rest")
+    rows = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), rest)
+    again = checkpoint(rows.where("id IS NOT NULL").groupBy("id").count().where("count > 1").select(F.col("id").alias("again")))
+    if again.isEmpty():
+        rows = rows.select("id", F.lit(0).cast("long").alias("mark"), "text", "rest")
+        return rows, rows.where("id IS NOT NULL").select("id", "mark", "text")
+    joined = rows.join(again, F.col("id") == F.col("again"), "left")
+    mark = F.when(F.col("again").isNotNull(), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0).cast("long"))
+    rows = joined.select("id", mark.alias("mark"), "text", "rest")
+    once = joined.where("id IS NOT NULL").select("id", mark.alias("mark"), "text")
+    return rows, once.groupBy("id", "mark").agg(F.first("text").alias("text"))
+
+
+def routes(found: DataFrame, shards: int, per_slot: int) -> DataFrame:
+    """(id, mark, shard, slot, slots, ks, stream): what each slot reads, and the phrases ks that a document owns there."""
+    recurring = found.groupBy("k").agg(F.min(F.struct("id", "mark")).alias("owner"), F.sum("n").alias("total")).where("total > 1")
+    recurring = stored(recurring.select("k", F.col("owner.id").alias("oid"), F.col("owner.mark").alias("omark")))
+    shard = F.pmod(F.xxhash64("oid", "omark"), F.lit(shards)).alias("shard")
+    read = stored(found.join(recurring, "k").select("id", "mark", shard).distinct())
+    split = read.groupBy("shard").count().where(F.col("count") > per_slot)
+    split = split.select("shard", F.ceil(F.col("count") / per_slot).cast("int").alias("slots"), F.explode(F.sequence(F.lit(0), F.lit(FAN - 1))).alias("fan"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("fan", F.pmod(F.xxhash64("id", "mark"), F.lit(FAN)).cast("int"))
+        return rows.join(split, ["shard", "fan"], "left").withColumn("slots", F.coalesce("slots", F.lit(1))).drop("fan")
+
+    streams = placed(read).withColumn("slot", F.pmod(F.xxhash64("mark", "id"), F.col("slots")).cast("int"))
+    owners = recurring.groupBy(F.col("oid").alias("id"), F.col("omark").alias("mark"), shard).agg(F.collect_list("k").alias("ks"))
+    sources = placed(owners).withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    names = ["id", "mark", "shard", "slot", "slots"]
+    every = streams.select(*names, F.lit(None).cast("array<bigint>").alias("ks"), F.lit(True).alias("stream")).unionByName(sources.select(*names, "ks", F.lit(False).alias("stream")))
+    return every.groupBy(*names).agg(F.max("ks").alias("ks"), F.max("stream").alias("stream"))
+
+
+def repeated_spans(once: DataFrame, *, shard_bytes: int = SHARD_BYTES, slot_bytes: int = SLOT_BYTES) -> DataFrame:
+    """(id, mark, spans): the word ranges (at, length) that each document of (id, mark, text) loses, if it loses any."""
+    total, rows = once.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    shards = max(1, -(-(total or 0) // shard_bytes))
+    per_slot = max(1, slot_bytes * max(1, rows) // max(1, total or 0))
+    plan = routes(stored(seeds(once)), shards, per_slot)
 
     def packing():
         zip_ = zstandard.ZstdCompressor(level=3).compress
         return lambda part: [pa.array([zip_(t) for t in text_bytes(part.column("text"))], pa.binary())]
 
-    packed = arrow_map(seen, ["id", "rest"], "text", packing, [field("packed", T.BinaryType())]).select(shard, "id", "rest", "packed")
-    counted = seeds(seen.select("id", "text")).withColumn("total", F.sum("n").over(W.partitionBy("k")))
-    recurring = counted.where("total > 1 AND at >= 0").select(shard, "id", "at")
-    windowed = window_rows(packed, recurring)
-    ranked = windowed.withColumn("rank", F.rank().over(W.partitionBy("k").orderBy("id", "at")))
-    spans = ranked.where("length > 0 OR rank > 1").select("shard", "id", "at", F.when(F.col("length") > 0, F.col("length")).otherwise(WIDTH).alias("length"))
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_words", T.StringType()), T.StructField("text", T.StringType())]
-    schema = T.StructType([packed.schema["id"], packed.schema["rest"], *fields])
-
-    def result(texts: list[bytes], marks: list[np.ndarray]) -> list[pa.Array]:
-        kept = [b" ".join([w for w, g in zip(t.split(), m.tolist(), strict=True) if not g]) for t, m in zip(texts, marks, strict=True)]
-        left = [cut(t, m) if m.any() else t for t, m in zip(texts, marks, strict=True)]
-        numbers_ = [pa.array([len(m) for m in marks], pa.int64()), pa.array([int(m.sum()) for m in marks], pa.int64())]
-        return [*numbers_, *(pa.array(x, pa.binary()).cast(pa.string()) for x in (kept, left))]
-
-    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            kinds = [right.schema.field("id").type, rest_type, pa.int64(), pa.int64(), pa.string(), pa.string()]
-            return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=schema.names)
-        ids, texts = unpack(left)
-        place = {x: i for i, x in enumerate(zip(ids, texts, strict=True))}
-        first = {}
-        for i, d in enumerate(ids):
-            first.setdefault(d, i)
-        counts = [len(t.split()) for t in texts]
-        edges = [np.zeros(n + 1, np.int64) for n in counts]
-        for d, at, length in zip(*(right.column(c).to_pylist() for c in ("id", "at", "length")), strict=True):
-            text, word = divmod(at, PLACE)
-            e = edges[first[d] + text]
-            e[word] += 1
-            e[word + length] -= 1
-        marks = [np.cumsum(e[:-1]) > 0 for e in edges]
-        open_ = zstandard.ZstdDecompressor().decompress
-        rows = [place[x] for x in zip(left.column("id").to_pylist(), (open_(z) for z in left.column("packed").to_pylist()), strict=True)]
-        out = result([texts[i] for i in rows], [marks[i] for i in rows])
-        return pa.Table.from_arrays([left.column("id"), left.column("rest"), *out], names=schema.names)
-
-    rest_type = to_arrow_type(packed.schema["rest"].dataType)
-    out = packed.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(finish, schema)
-
-    def untouched():
-        return lambda part: result(t := text_bytes(part.column("text")), [np.zeros(len(x.split()), bool) for x in t])
-
-    loose = arrow_map(named.where("id IS NULL"), ["id", "rest"], "text", untouched, [field(f.name, f.dataType) for f in fields])
-    every = out.unionByName(loose)
-    return every.select(F.col("id").alias(id_col), *[F.col("rest").getField(c).alias(c) for c in carry], "n_words", "n_removed", "kept_words", "text")
+    packed = arrow_map(once, ["id", "mark"], "text", packing, [field("packed", T.BinaryType())])
+    found = stored(found_rows(plan.join(packed, ["id", "mark"])))
+    heads = found.where("k IS NOT NULL")
+    place = F.struct("id", "mark", "at")
+    best = heads.groupBy("k").agg(F.min(place).alias("best"), F.count("*").alias("n")).where("n > 1").select("k", "best")
+    late = heads.join(best, "k").where(place != F.col("best"))
+    spans = found.where("k IS NULL").drop("k").unionByName(late.select("id", "mark", "at", "length"))
+    return spans.groupBy("id", "mark").agg(F.collect_list(F.struct("at", "length")).alias("spans"))
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), shard_bytes: int = SHARD_BYTES, slot_bytes: int = SLOT_BYTES) -> DataFrame:
+    """(id, carried columns, n_words, n_removed, kept_words, text): `text` keeps the blanks between kept
+    words, kept_words has one blank each."""
+    rows, once = marked(docs, id_col, text_col, carry)
+    spans = repeated_spans(once, shard_bytes=shard_bytes, slot_bytes=slot_bytes)
+    joined = rows.join(spans, ["id", "mark"], "left").select("id", "rest", "text", "spans")
+
+    def kernel():
+        def work(part):
+            texts, marks = text_bytes(part.column("text")), []
+            for t, found in zip(texts, part.column("spans").to_pylist(), strict=True):
+                edges = np.zeros(len(t.split()) + 1, np.int64)
+                for s in found or ():
+                    edges[s["at"]] += 1
+                    edges[s["at"] + s["length"]] -= 1
+                marks.append(np.cumsum(edges[:-1]) > 0)
+            kept = [b" ".join([w for w, g in zip(t.split(), m.tolist(), strict=True) if not g]) for t, m in zip(texts, marks, strict=True)]
+            left = [cut(t, m) if m.any() else t for t, m in zip(texts, marks, strict=True)]
+            numbers = [pa.array([len(m) for m in marks], pa.int64()), pa.array([int(m.sum()) for m in marks], pa.int64())]
+            return [*numbers, *(pa.array(x, pa.binary()).cast(pa.string()) for x in (kept, left))]
+
+        return work
+
+    fields = [field("n_words", T.LongType()), field("n_removed", T.LongType()), field("kept_words", T.StringType()), field("left", T.StringType())]
+    out = arrow_map(joined, ["id", "rest"], "text", kernel, fields, more=["spans"])
+    return out.select(F.col("id").alias(id_col), *[F.col("rest").getField(c).alias(c) for c in carry], "n_words", "n_removed", "kept_words", F.col("left").alias("text"))
