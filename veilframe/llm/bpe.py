@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from veilframe.llm.common import arrow_map, col, field, ship
-from veilframe.llm.shingles import WORDS
+from veilframe.llm.common import arrow_map, begin, col, end, field, remembers, ship
 
 #: Pre-tokens that a worker keeps; a full cache is emptied, which costs time only.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
+SLICE = 1 << 20
 
 _LETTERS = "a-zªµºß-öø-ſ"
 _NUMBERS = "0-9²³¹¼-¾"
@@ -198,13 +198,13 @@ class Codec:
 
 
 _CODECS: dict[int, Codec] = {}
+remembers("bpe", _CODECS.clear)
 
 
 def codec_for(spec: str) -> Codec:
     """One codec a worker process and file, so the cache outlives a task."""
     if (key := hash(spec)) not in _CODECS:
         _CODECS.clear()
-        WORDS.clear()  # another operator's cache in this worker
         _CODECS[key] = Codec(spec)
     return _CODECS[key]
 
@@ -231,7 +231,7 @@ def encode(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
         return work
 
     fields = [field(out, T.ArrayType(T.IntegerType()))] + ([field(decoded, T.StringType())] if decoded else [])
-    return arrow_map(docs, [id_col], text_col, kernel, fields)
+    return arrow_map(docs, [id_col], text_col, kernel, fields, limit=SLICE, owner="bpe")
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", ids_col: str = "token_ids", out: str = "text") -> DataFrame:
@@ -243,11 +243,13 @@ def decode(encoded: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", i
     schema = T.StructType([chosen.schema[0], field(out, T.StringType())])
 
     def run(batches):
+        begin("bpe")
         codec = codec_for(spec.value)
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 texts = [codec.decode([i for i in ids or () if i is not None]) for ids in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=schema.names)
+        end()
 
     return chosen.mapInArrow(run, schema)

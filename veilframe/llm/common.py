@@ -36,6 +36,7 @@ def col(name: str) -> Column:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each context, and bound what reaches Python at once."""
+    bound_batches(spark)
     sc = spark.sparkContext
     if getattr(sc, "_veilframe_shipped", False):
         return

@@ -43,7 +43,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         return work
 
     fields = [field("n_tokens", T.LongType()), field("ids_sha256", T.StringType()), field("decoded_sha256", T.StringType())]
-    return arrow_map(docs, ["doc_id"], "text", kernel, fields)
+    return arrow_map(docs, ["doc_id"], "text", kernel, fields, limit=bpe.SLICE, owner="bpe")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

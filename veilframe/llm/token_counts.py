@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm.bpe import CACHE_WORDS, Codec, codec_for, read_spec
-from veilframe.llm.common import arrow_map, col, field, ship
+from veilframe.llm.common import arrow_map, col, field, remembers, ship
 
 TABLE_WORDS = 32_768
 SAMPLE_DOCS = 2_000
@@ -93,6 +93,7 @@ class Counts:
 
 
 _COUNTS: dict[int, Counts] = {}
+remembers("bpe", _COUNTS.clear)
 
 
 def counts_for(spec: str, table: tuple[bytes, bytes]) -> Counts:
