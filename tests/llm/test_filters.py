@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html as escapes
+import itertools
 import random
 import re
 import zlib
@@ -233,6 +234,42 @@ def test_parts_inside_articles(inner, text):
     assert html_text.main_text(f"<body><div role=navigation>Menu</div><article>{inner}</article></body>") == text
 
 
+@pytest.mark.parametrize(
+    ("inner", "text"),
+    [
+        ('<ul><li><a href="/1">First linked item of the article</a></li><li>Plain item</li></ul>', "First linked item of the article\nPlain item"),
+        ('<p class="popular">Well liked.</p><p class="legal notice">So the law says.</p>', "Well liked.\nSo the law says."),
+        ('<section><h2>Part</h2><div><a href="/x">A reading list</a></div></section>', "Part\nA reading list"),
+    ],
+)
+def test_articles_keep_lists_and_links(inner, text):
+    long = "<p>A paragraph that says a good many things about what is at hand here.</p>"
+    assert html_text.main_text(f"<body><article>{long}{inner}{long}</article></body>").split("\n")[1:-1] == text.split("\n")
+
+
+def test_short_items_between_paragraphs_stay():
+    long = "<p>" + "word " * 60 + "</p>"
+    page = f"<body><div><a href=1>one</a> <a href=2>two</a></div><div>{long * 3}<ul>{'<li>item</li>' * 10}</ul>{long * 3}</div><div><p>x</p></div></body>"
+    assert html_text.main_text(page).split("\n").count("item") == 10 and "one" not in html_text.main_text(page)
+
+
+def test_ratios_choose_the_region(monkeypatch):
+    """Without marks the smoothed ratios decide; turned round, they give the other region."""
+    menu = "".join(f"<div><i>{w}</i><b>{w}</b><u>{w}</u></div>" for w in "one two three four five six seven eight nine ten".split())
+    text = "".join(f"<p>Sentence number {i} is long enough to be read by somebody with time.</p>" for i in range(8))
+    page = f"<html><body><div>{menu}</div><div>{text}</div></body></html>"
+    assert html_text.main_text(page).startswith("Sentence number 0") and "seven" not in html_text.main_text(page)
+    real = html_text.smooth
+    monkeypatch.setattr(html_text, "smooth", lambda ratios, sigma: real(ratios[::-1], sigma))
+    assert "sevensevenseven" in html_text.main_text(page) and "Sentence number 7" not in html_text.main_text(page)
+
+
+def test_lines_of_the_page_have_ratios_of_their_own():
+    page = html_text.parse("<body><p>first words\nand <b>more</b> here\n</p><p>x</p></body>")
+    assert [b[0] for b in page.blocks] == ["first words and more here", "x"]
+    assert [(c, b) for c, _, _, b in page.lines if c] == [(11, 0), (11, 0), (1, 1)]
+
+
 @pytest.mark.parametrize("page", ["", "<p", "<!--", "<div><<<>", "&#x;&bogus;", "<article>", "<script>x", "</p></div>"])
 def test_broken_pages_do_not_crash(page):
     assert isinstance(html_text.main_text(page), str)
@@ -302,6 +339,57 @@ def test_mined_rules(spark):
     assert url_rules.mine(p, lab.where("false")).count() == 0
 
 
+def brute_rules(labelled, least, confidence, lift):
+    """Every set of tokens that implies bad, the long way round; those a shorter one is as sure as left out."""
+    n, bad = len(labelled), sum(b for _, b in labelled)
+    every = sorted({t for s, _ in labelled for t in s})
+    sure = {}
+    for k in range(1, 4):
+        for x in itertools.combinations(every, k):
+            rows = [b for s, b in labelled if set(x) <= s]
+            if sum(rows) >= least and sum(rows) / len(rows) >= confidence and sum(rows) / len(rows) / (bad / n) >= lift:
+                sure[x] = sum(rows) / len(rows)
+    return {x for x, c in sure.items() if not any(sure.get(x[:i] + x[i + 1 :], 0) >= c for i in range(len(x)))}
+
+
+def test_verdicts_of_mined_rules_against_brute_force(spark):
+    r = random.Random(8)
+    rows = []
+    for i in range(400):
+        t = {r.choice(["a", "b", "c"]), r.choice(["d", "e"]), r.choice(["f", "g", "h"])}
+        rows.append((i, "http://" + ".".join(sorted(t)), 0 if {"a", "d"} <= t and r.random() < 0.9 or "h" in t and r.random() < 0.5 else 1))
+    p = spark.createDataFrame([x[:2] for x in rows], "page_id long, url string")
+    lab = spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, quality int")
+    rules = url_rules.mine(p, lab, min_pages=10, min_confidence=0.6, min_lift=1.2)
+    want = brute_rules([(set(u[7:].split(".")), q == 0) for _, u, q in rows], 10, 0.6, 1.2)
+    assert {tuple(sorted(x["tokens"])) for x in rules.collect()} == want and want
+    for x in url_rules.judge(p, rules, listed_rules=()).collect():
+        assert x["mined"] == any(set(w) <= set(rows[x["page_id"]][1][7:].split(".")) for w in want)
+        assert x["verdict"] == ("block" if x["mined"] else "allow")
+
+
+def test_mining_is_bounded(spark):
+    """Many tokens that always come together are one item; independent ones are cut to max_items a url."""
+    long = "http://" + ".".join("t%c" % (97 + i) for i in range(26)) + "/" + "x" * 9000
+    r = random.Random(2)
+    mixed = ["http://" + ".".join(w for w in ("q%c" % (97 + i) for i in range(24)) if r.random() < 0.9) for _ in range(60)]
+    p = spark.createDataFrame([(i, long) for i in range(60)] + [(100 + i, u) for i, u in enumerate(mixed)] + [(900, None)], "page_id long, url string")
+    lab = spark.createDataFrame([(i, 0) for i in range(60)] + [(100 + i, 1) for i in range(60)], "doc_id long, quality int")
+    rules = url_rules.mine(p, lab)
+    assert [x["tokens"] for x in rules.collect()] == [["ta"]]
+    assert {x["page_id"]: x["verdict"] for x in url_rules.judge(p, rules).collect()} == {i: "block" for i in range(60)} | {100 + i: "allow" for i in range(60)} | {900: "allow"}
+    assert url_rules.mine(p, lab, max_items=3).count() == 1 and url_rules.mine(p, lab.where("doc_id < 10")).count() == 0
+
+
+def test_rules_are_mined_from_listed_verdicts(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    labelled = url_rules.listed_labels(pages)
+    want = [brute_rule(r["url"])[3] for r in pages.select("url").collect()]
+    assert labelled.count() == sum(v is not None for v in want) and labelled.where("bad").count() == want.count("block")
+    out = queries.op8_url_rules(spark, "/root/testdata/sf0.1")
+    assert out.where("mined AND rule IS NULL AND verdict = 'block'").count() > 0
+
+
 def test_queries(spark, sf):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]

@@ -1,15 +1,18 @@
 """Main text of web pages from parser events and smoothed text-to-tag ratios.
 
-Events of the standard library's streaming parser make a sequence of blocks,
-each with its characters, tags, link characters and the container that holds it.
-Every block has a text-to-tag ratio; a Gaussian smooths the ratios along the
-page, and those above a multiple of their deviation form the content cluster.
-Containers that hold such blocks are the content regions, an article or main
-element before any other. Whatever lies in a region is kept whole, but for
-parts that are menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or reader comments by their element, role, class or id.
+Events of the standard library's streaming parser make lines, bounded by line
+feeds of the page and by the edges of blocks. Each line has a text-to-tag ratio
+without what is linked; a Gaussian smooths the ratios along the page, menus,
+adverts and footers included, and the lines over a multiple of their deviation
+are the content cluster. The regions that hold such lines, an article or main
+element before a section or div, are the content, and are kept whole with the
+lists and sections in them. Marks only exclude: parts that are menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles or reader comments
+by their element or role or by their class or id; in an article those names
+count on sectioning elements, and on others only as the one class they have.
 
 Defined results: null and empty html and pages without content give "" and 0;
+a page with text but no line in the cluster gives the region of the best line;
 broken, unclosed and cut-off markup is read as far as it goes; rows are
 independent, so repeated or null ids give a row each; an empty table gives an
 empty table; other columns are ignored.
@@ -35,19 +38,25 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noscript ol option p pre search section select summary table "
     "tbody td textarea tfoot th thead title tr ul".split()
 )
+#: Elements that are regions of their own outside articles, and those whose names in class or id exclude them.
+REGIONS = frozenset("article body div main section td".split())
+SECTIONING = REGIONS | frozenset("aside details dl fieldset figure ol table ul".split())
 #: Elements whose opening and closing are followed; the rest only bound blocks or words.
 CONTAINERS = frozenset("article aside body center details dialog div dl fieldset figure footer form head header li main menu nav noscript ol search section table td template ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NEVER = frozenset("head script style noscript template iframe object svg canvas audio video map button select textarea option title".split())
 AROUND = frozenset("nav aside footer header form menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar".split())
-#: Names of page parts in classes and ids, as whole words of them; those of headers count outside articles only.
+#: Names of page parts in classes and ids, as whole words of them; those of OUTSIDE and of headers count outside articles only.
 PARTS = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adsbygoogle|banner|sponsor(?:ed|s)?|promo(?:tion)?s?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|footer|"
-    r"cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|disqus|respond|reply|replies|discussion|"
-    r"share|sharing|social|related|recommended|recommendations|trending|popular|pagination|pager|toolbar|skip|copyright|legal|disclaimer)(?=$|[\s_-])",
+    r"cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|disqus|respond|reply|replies|"
+    r"share|sharing|social|related|recommended|recommendations|pagination|pager|toolbar)(?=$|[\s_-])",
     re.I,
 )
+OUTSIDE = re.compile(r"(?:^|[\s_-])(?:discussion|trending|popular|skip|copyright|legal|disclaimer)(?=$|[\s_-])", re.I)
+#: What excludes other elements of an article, as their only class.
+ALONE = re.compile(r"\s*(?:ads?|adverts?|advertisements?|adsbygoogle|sponsored|notices?|comments?)\s*", re.I)
 HEADERS = re.compile(r"(?:^|[\s_-])(?<!article[_-])(?<!post[_-])(?<!entry[_-])(?<!content[_-])(?:header|masthead|topbar)(?=$|[\s_-])", re.I)
 #: Names that tell what a layout has or lacks, not what the element is.
 LAYOUT = re.compile(r"(?:^|(?<=\s))(?:with|has|no|without|hide|show|is)[_-]\S+", re.I)
@@ -56,34 +65,43 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 def is_part(tag: str, attrs: dict[str, str | None], article: bool) -> bool:
     """Whether the element is no content by its own marks."""
-    if (attrs.get("role") or "").lower() in ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
+    if (attrs.get("role") or "").lower() in ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or HIDDEN.search(attrs.get("style") or ""):
         return True
     if tag in ("body", "html", "main"):
         return False
+    if article and tag not in SECTIONING:
+        return bool(ALONE.fullmatch(attrs.get("class") or ""))
     named = LAYOUT.sub("", f"{attrs.get('class') or ''} {attrs.get('id') or ''}")
-    return bool(PARTS.search(named) or not article and HEADERS.search(named) or HIDDEN.search(attrs.get("style") or ""))
+    return bool(PARTS.search(named) or not article and (HEADERS.search(named) or OUTSIDE.search(named)))
 
 
 class Blocks(HTMLParser):
-    """Blocks of a page: (text, tags, link characters, container number, in an article, no content)."""
+    """Blocks of a page (text, link characters, region, in an article, no content), and its lines (characters, tags, link characters, block or -1)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, int, int, bool, bool]] = []
+        self.blocks: list[tuple[str, int, int, bool, bool]] = []
+        self.lines: list[tuple[int, int, int, int]] = []
         self.parts: list[str] = []
-        self.tags = self.links = self.in_link = 0
-        self.never = self.closing = None
-        self.count = 0
-        self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, number, in an article, no content
+        self.open: list[tuple[int, int, int]] = []  # lines of the block at hand
+        self.chars = self.tags = self.links = self.in_link = 0
+        self.above = [-1]  # the region around each region
+        self.stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]  # tag, region, in an article, no content, never text
+
+    def end_line(self) -> None:
+        if self.chars or self.tags:
+            self.open.append((self.chars, self.tags, self.links))
+            self.chars = self.tags = self.links = 0
 
     def flush(self) -> None:
-        if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                _, number, article, part = self.stack[-1]
-                self.blocks.append((text, self.tags, self.links, number, article, part))
-            self.parts = []
-        self.tags = self.links = 0
+        self.end_line()
+        text = " ".join("".join(self.parts).split()) if self.parts else ""
+        if text:
+            _, region, article, part, _ = self.stack[-1]
+            self.blocks.append((text, sum(x[2] for x in self.open), region, article, part))
+        at = len(self.blocks) - 1 if text else -1
+        self.lines += [(*x, at) for x in self.open]
+        self.parts, self.open = [], []
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -97,18 +115,21 @@ class Blocks(HTMLParser):
             self.in_link += 1
         if tag in VOID:
             return
+        _, region, article, part, never = self.stack[-1]
         attrs = dict(attrs)
-        _, number, article, part = self.stack[-1]
         marked = is_part(tag, attrs, article)
         if tag in NEVER or marked or tag in CONTAINERS or tag == self.stack[-1][0]:
-            self.flush() if tag not in BLOCKS and (tag in NEVER or marked) else None
-            self.count += 1
+            if tag not in BLOCKS and (tag in NEVER or marked):
+                self.flush()
+            if tag in REGIONS and not article:
+                self.above.append(region)
+                region = len(self.above) - 1
             if tag in ("article", "main") and not marked:
                 outer = any(x[3] for x in self.stack if x[0] not in AROUND)
-                self.stack.append((tag, self.count, True, outer))
+                self.stack.append((tag, region, True, outer, never))
             else:
                 own = tag in NEVER or marked or (tag in AROUND and not (tag == "header" and article))
-                self.stack.append((tag, self.count, article, part or own))
+                self.stack.append((tag, region, article, part or own, never or tag in NEVER))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -118,20 +139,24 @@ class Blocks(HTMLParser):
         if tag == "a":
             self.in_link = max(0, self.in_link - 1)
         at = next((i for i in range(len(self.stack) - 1, 0, -1) if self.stack[i][0] == tag), 0)
+        self.tags += 1
         if at and (tag in CONTAINERS or tag in NEVER or self.stack[-1][0] == tag):
-            self.tags += 1
             self.flush()
             del self.stack[at:]
         elif tag in BLOCKS:
-            self.tags += 1
             self.flush()
-        else:
-            self.tags += 1
 
     def handle_data(self, data):
+        if self.stack[-1][4]:
+            return
         self.parts.append(data)
-        if self.in_link:
-            self.links += len(data.strip())
+        for i, piece in enumerate(data.split("\n")):
+            if i:
+                self.end_line()
+            n = len(piece.strip())
+            self.chars += n
+            if self.in_link:
+                self.links += n
 
 
 def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -141,7 +166,7 @@ def smooth(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def parse(html: str) -> list[tuple[str, int, int, int, bool, bool]]:
+def parse(html: str) -> Blocks:
     parser = Blocks()
     try:
         parser.feed(html)
@@ -149,25 +174,27 @@ def parse(html: str) -> list[tuple[str, int, int, int, bool, bool]]:
     except (AssertionError, ValueError, IndexError):  # markup that the parser gives up on ends the page there
         pass
     parser.flush()
-    return parser.blocks
+    return parser
 
 
 def main_text(html: str, sigma: float = SIGMA, factor: float = LAMBDA) -> str:
-    blocks = [b for b in parse(html) if not b[5]] if html else []
-    if any(b[4] for b in blocks):
-        blocks = [b for b in blocks if b[4]]
-        marked = True
-    else:
-        marked = False
-    if not blocks:
+    page = parse(html) if html else Blocks()
+    blocks = page.blocks
+    able = [not b[4] for b in blocks]
+    if any(a and b[3] for a, b in zip(able, blocks, strict=True)):
+        able = [a and b[3] for a, b in zip(able, blocks, strict=True)]
+    if not any(able):
         return ""
-    ratios = np.array([max(0, len(b[0]) - 2 * b[2]) / (1 + b[1]) for b in blocks], np.float64)
-    level = smooth(ratios, sigma)
-    content = level >= min(factor * ratios.std(), level.max())
-    regions = {b[3] for b, c in zip(blocks, content, strict=True) if c and 2 * b[2] < len(b[0])}
-    if marked:
-        regions |= {b[3] for b in blocks if 2 * b[2] < len(b[0])}
-    return "\n".join(b[0] for b in blocks if b[3] in regions)
+    level = smooth(np.array([max(0, chars - 2 * links) / (1 + tags) for chars, tags, links, _ in page.lines], np.float64), sigma)
+    threshold = factor * level.std()
+    lines = [(x, b) for x, (*_, b) in zip(level.tolist(), page.lines, strict=True) if b >= 0 and able[b]]
+    chosen = {blocks[b][2] for x, b in lines if x >= threshold and 2 * blocks[b][1] < len(blocks[b][0])}
+    if not chosen:
+        chosen = {blocks[max(lines)[1]][2]}
+    kept = []
+    for region, above in enumerate(page.above):  # a region lies behind the one around it
+        kept.append(region in chosen or above > 0 and kept[above])
+    return "\n".join(b[0] for a, b in zip(able, blocks, strict=True) if a and kept[b[2]])
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", carry: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -85,7 +85,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_rules.judge(pages, url_rules.mine(pages, table(spark, sf_dir, "labels")))
+    return url_rules.judge(pages, url_rules.mine_labelled(url_rules.listed_labels(pages)))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
