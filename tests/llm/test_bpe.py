@@ -89,7 +89,7 @@ def test_counts(docs):
 
 
 def test_counts_do_not_depend_on_the_table(docs):
-    few = {tuple(r) for r in token_counts.token_counts(docs, PATH, table_words=1, sample_docs=1).collect()}
+    few = {tuple(r) for r in token_counts.token_counts(docs, PATH, table_words=1).collect()}
     assert few == {tuple(r) for r in token_counts.token_counts(docs, PATH).collect()}
 
 

@@ -119,7 +119,7 @@ def test_divergence(spark, sf):
     references = quality_rules.fit(docs)
     assert sorted(references) == ["de", "en", "es", "fr"]
     total = sum(sum(c) for c, _ in references.values())
-    assert total == docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert total == docs.agg(F.sum(F.length("text"))).first()[0]
     clean = docs.where("doc_id = 8").first()["text"]
     bad = " ".join(w + "***" for w in clean.upper().split())
     d = spark.createDataFrame([(1, clean), (2, bad), (3, clean[:100])], "doc_id long, text string")

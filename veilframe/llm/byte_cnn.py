@@ -6,9 +6,10 @@ kept, and a softmax layer names the language. A document's score for a language
 is the mean log probability over all its windows, weighted by their bytes and
 normed again, so whole texts count.
 
-Training is plain numpy on the driver: at most `rows` labelled texts a language,
-those of the least hash, with at most `sample_bytes` bytes each. The model is
-some thousand numbers. Prediction is one map without a shuffle; filters are
+Training is plain numpy on the driver, on a sample of whole labelled texts: about
+`rows` in all, dealt evenly over the languages, those of the least hash of each;
+of more than `rows` languages the commonest are learned. The model is some
+thousand numbers. Prediction is one map without a shuffle; filters are
 applied as tables of byte responses, in batches of windows.
 
 Defined results: a text that is null or has no letter is `und` with score 1;
@@ -33,8 +34,7 @@ LENGTH = 128
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 EMBEDDING = 8
-ROWS = 600
-SAMPLE_BYTES = 1_500
+ROWS = 1_000
 EPOCHS = 8
 BATCH = 2_048
 
@@ -173,26 +173,27 @@ def fit(
     folds: int = 4,
     fold: int = 2,
     rows: int = ROWS,
-    sample_bytes: int = SAMPLE_BYTES,
 ) -> Network | None:
     """The network learned outside the fold; None if nothing is labelled."""
     known = docs.select(col(id_col).alias("id"), col(text_col).alias("text"), col(lang_col).cast("string").alias("lang"))
     known = known.where(F.col("lang").isNotNull() & ~held_out(F.col("id"), folds, fold))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    largest = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(rows)
+    counts = {r["lang"]: r["n"] for r in largest.collect()}
     if not counts:
         return None
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2 * rows / n)))])
+    each = max(1, rows // len(counts))
+    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, 2 * each / n)))])
     h = F.xxhash64("id", F.lit("language"))
-    some = known.where((F.pmod(h, F.lit(1_000_000)) / 1_000_000 < share[F.col("lang")]) & (F.col("text") != ""))
-    start = F.pmod(h, F.greatest(F.lit(1), F.length("text") - sample_bytes + 1)).cast("int") + 1
-    found = some.select("lang", h.alias("h"), F.substring("text", start, F.lit(sample_bytes)).alias("piece")).orderBy("h", "piece").limit(3 * rows * len(counts)).collect()
+    some = known.where((F.pmod(h, F.lit(1_000_000)) / 1_000_000 < F.coalesce(share[F.col("lang")], F.lit(0.0))) & (F.col("text") != ""))
+    # About twice as many as are taken, so that no language falls short by chance; the limit only guards the driver.
+    found = some.select("lang", h.alias("h"), "text").orderBy("h", "text").limit(4 * rows).collect()
     taken: dict[str, int] = {}
     chosen = []
     for r in found:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= rows and any(c.isalpha() for c in r["piece"]):
+        if taken.get(r["lang"], 0) < each and any(map(str.isalpha, r["text"])):
+            taken[r["lang"]] = taken.get(r["lang"], 0) + 1
             chosen.append(r)
-    return train([r["piece"].encode() for r in chosen], [r["lang"] for r in chosen]) if chosen else None
+    return train([r["text"].encode() for r in chosen], [r["lang"] for r in chosen]) if chosen else None
 
 
 def identify(docs: DataFrame, network: Network | None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

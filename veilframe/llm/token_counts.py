@@ -5,9 +5,10 @@ packed into one block of bytes and broadcast; its size is bounded by
 `table_words`. Tier two is a bounded cache in each worker, filled by encoding
 what tier one misses. No pre-token is ever shuffled.
 
-The table only saves work: it comes from a sample of at most `sample_docs`
-documents, and a pre-token that it lacks is encoded exactly, so the counts do
-not depend on it.
+The table is a statistic of all documents: each task counts its words between
+blanks, in a summary of bounded size that can fall short by a stated share, and
+sends its `table_words` commonest; their sums give the table. It only saves work:
+a pre-token that it lacks is encoded exactly, so the counts do not depend on it.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); rows are
 independent, so repeated or null ids give a row each; an empty table gives an
@@ -17,6 +18,7 @@ empty table; other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -25,11 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.llm.bpe import CACHE_WORDS, Codec, codec_for, read_spec
-from veilframe.llm.common import arrow_map, col, field, remembers, ship
+from veilframe.llm.bpe import CACHE_WORDS, SLICE, Codec, codec_for, read_spec
+from veilframe.llm.common import arrow_map, begin, col, end, field, remembers, ship
 
 TABLE_WORDS = 32_768
-SAMPLE_DOCS = 2_000
+#: Distinct words that a task's summary holds before those of less than this share of its words so far are dropped.
+SUMMARY_WORDS = 100_000
+SUMMARY_SHARE = 1e-5
 
 
 def pack(lengths: dict[str, int]) -> tuple[bytes, bytes]:
@@ -43,30 +47,44 @@ def unpack(table: tuple[bytes, bytes]) -> dict[str, int]:
     return dict(zip(words, np.frombuffer(table[1], np.uint16).tolist(), strict=True))
 
 
-def frequent_lengths(docs: DataFrame, spec: str, *, text_col: str, table_words: int, sample_docs: int) -> tuple[bytes, bytes]:
-    """The packed table. Each of the few tasks sends its `table_words` commonest pre-tokens at most."""
-    spark = docs.sparkSession
-    ship(spark)
-    shared = spark.sparkContext.broadcast(spec)
+def summary(texts: Iterable[str], counts: Counter, seen: int) -> int:
+    """Count the lower-case words; a full summary drops the rarest. Gives the number of words so far."""
+    for t in texts:
+        words = t.lower().split()
+        counts.update(words)
+        seen += len(words)
+        if len(counts) > SUMMARY_WORDS:
+            least = max(1, seen * SUMMARY_SHARE)
+            while len(counts) > SUMMARY_WORDS // 2:
+                for w in [w for w, n in counts.items() if n <= least]:
+                    del counts[w]
+                least *= 2
+    return seen
+
+
+def frequent_lengths(docs: DataFrame, spec: str, *, text_col: str, table_words: int) -> tuple[bytes, bytes]:
+    """The packed table: pre-tokens of the commonest words of all documents."""
+    ship(docs.sparkSession)
     texts = docs.select(col(text_col).alias("text"))
-    total = texts.count()
-    some = texts.sample(fraction=min(1.0, sample_docs / total), seed=7).limit(sample_docs) if total > sample_docs else texts
 
     def tally(batches):
-        codec, counts = codec_for(shared.value), Counter()
+        begin("bpe")
+        counts, seen = Counter(), 0
         for b in batches:
-            for t in b.column(0).to_pylist():
-                counts.update(codec.pre_tokens(t or ""))
-        top = [x for x in counts.most_common(table_words) if x[0][0] != " "]
-        yield pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogateescape") for w, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
-
-    merged = Counter()
-    for w, n in some.coalesce(4).mapInArrow(tally, "word binary, n long").toLocalIterator():
-        merged[bytes(w).decode("utf-8", "surrogateescape")] += n
-    words = [w for w, _ in merged.most_common(table_words)]
-    codec = Codec(spec, cache_words=2 * table_words)
-    sizes = codec.pairs.encode([w.encode("utf-8", "surrogateescape") for w in words])[1]
-    return pack(dict(zip(words, sizes.tolist(), strict=True)))
+            seen = summary((t or "" for t in b.column(0).to_pylist()), counts, seen)
+        top = counts.most_common(table_words)
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
+        end()
+
+    words = texts.mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(table_words).collect()
+    codec, merged = Codec(spec, cache_words=2 * table_words), Counter()
+    for r in words:
+        for w in codec.pre_tokens(r["word"]):
+            if w[0] != " ":
+                merged[w] += r["n"]
+    chosen = [w for w, _ in merged.most_common(table_words)]
+    sizes = codec.pairs.encode([w.encode("utf-8", "surrogateescape") for w in chosen])[1]
+    return pack(dict(zip(chosen, sizes.tolist(), strict=True)))
 
 
 class Counts:
@@ -111,11 +129,10 @@ def token_counts(
     text_col: str = "text",
     limit: int = 2048,
     table_words: int = TABLE_WORDS,
-    sample_docs: int = SAMPLE_DOCS,
 ) -> DataFrame:
     """(id, n_bytes, n_tokens, over_limit) of every whole text."""
     sc, spec = docs.sparkSession.sparkContext, read_spec(tokenizer_path)
-    shared = sc.broadcast((spec, frequent_lengths(docs, spec, text_col=text_col, table_words=table_words, sample_docs=sample_docs)))
+    shared = sc.broadcast((spec, frequent_lengths(docs, spec, text_col=text_col, table_words=table_words)))
 
     def kernel():
         counts = counts_for(*shared.value)
@@ -128,4 +145,4 @@ def token_counts(
         return work
 
     fields = [field("n_bytes", T.LongType()), field("n_tokens", T.LongType()), field("over_limit", T.BooleanType())]
-    return arrow_map(docs, [id_col], text_col, kernel, fields)
+    return arrow_map(docs, [id_col], text_col, kernel, fields, limit=SLICE, owner="bpe")

@@ -7,10 +7,9 @@ kind of text it repeats. A logistic curve, fitted on labelled texts that built
 neither dictionary and weighted by the share of the labels, turns it into a
 probability.
 
-Fit: at most `rows` labelled rows a class, those of the least hash, with at most
-`sample_bytes` bytes each from a place that the hash picks. The model is those
-two dictionaries and some dozen numbers, a bounded broadcast. Scoring reads whole
-texts in one map without a shuffle.
+Fit: at most `rows` labelled rows a class, those of the least hash, with their
+whole texts. The model is those two dictionaries and some dozen numbers, a bounded
+broadcast. Scoring reads whole texts in one map without a shuffle.
 
 Defined results: null and empty texts have difference 0 and the score of that;
 with labels of one class only, or none, the score is the labels' share of good
@@ -35,8 +34,7 @@ from veilframe.llm.common import arrow_map, col, field, text_bytes
 PIECE = 256
 DICTIONARY_BYTES = 112 << 10
 LEVEL = 3
-ROWS = 2_500
-SAMPLE_BYTES = 6_000
+ROWS = 1_500
 THRESHOLD = 0.3
 #: The share of the logistic curve in the score.
 TILT = 0.03
@@ -114,7 +112,7 @@ def held_out(id_col: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % folds == fold, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str, rows: int, sample_bytes: int, folds: int, fold: int):
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_id: str, label_col: str, rows: int, folds: int, fold: int):
     """The bounded sample as (label, bytes), in hash order, and the share of label 1 among all labels of the folds learned from."""
     known = labels.select(col(label_id).alias("lid"), col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("lid").isNotNull() & ~held_out(F.col("lid"), folds, fold))
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -123,11 +121,10 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         some = known.where(F.col("y") == y).withColumn("h", F.xxhash64("lid")).orderBy("h", "lid").limit(rows)
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).where(F.col("text") != "")
-    start = F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - sample_bytes + 1)).cast("int") + 1
-    rows_ = texts.join(F.broadcast(chosen), F.col("id") == F.col("lid")).select("y", "h", F.substring("text", start, F.lit(sample_bytes)).alias("piece")).collect()
-    rows_.sort(key=lambda r: (r["h"], r["piece"]))
+    rows_ = texts.join(F.broadcast(chosen), F.col("id") == F.col("lid")).select("y", "h", "text").collect()
+    rows_.sort(key=lambda r: (r["h"], r["text"]))
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
-    return [(r["y"], r["piece"].encode()) for r in rows_], share
+    return [(r["y"], r["text"].encode()) for r in rows_], share
 
 
 def fit(
@@ -141,10 +138,9 @@ def fit(
     folds: int = 5,
     fold: int = 0,
     rows: int = ROWS,
-    sample_bytes: int = SAMPLE_BYTES,
     dictionary_bytes: int = DICTIONARY_BYTES,
 ) -> Model:
-    pairs, share = sample(docs, labels, id_col, text_col, label_id, label_col, rows, sample_bytes, folds, fold)
+    pairs, share = sample(docs, labels, id_col, text_col, label_id, label_col, rows, folds, fold)
     own: dict[int, list[bytes]] = {0: [], 1: []}
     rest: list[tuple[int, bytes]] = []
     for i, (y, text) in enumerate(pairs):
