@@ -1,8 +1,16 @@
 """The corpus pipeline: quality classifier, MinHash near-dedup, substring dedup, decontamination, BPE.
 
 Every stage works on all rows its predecessor kept. All but the last return the
-columns of documents; the last returns each text's token ids and what they
-decode to.
+columns of documents, others are left out; the last returns each text's token
+ids and what they decode to.
+
+Defined results: a null or empty text is scored as empty and, if kept, never a
+near duplicate, never cut or contaminated, and has no tokens; rows without id
+are documents of their own that near dedup keeps; where an id repeats, each of
+its texts counts as a document and rows equal in both leave one; labels and
+benchmark items may be null or missing, then they reject and match nothing;
+empty tables give empty results; a text that loses all its words stays as an
+empty one.
 """
 
 from __future__ import annotations
@@ -24,12 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression classifier rejects go."""
-    return zstd_quality.keep_good(docs, zstd_quality.fit(docs, table(spark, sf_dir, "labels")))
+    return zstd_quality.keep_good(docs, zstd_quality.fit(docs, table(spark, sf_dir, "labels"))).select(*COLUMNS)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays, and one row of each id and text."""
-    return near_dedup.keep_one(docs, repeats=False)
+    return near_dedup.keep_one(docs, repeats=False).select(*COLUMNS)
 
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +48,7 @@ def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with an exact benchmark window go."""
-    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
