@@ -1,6 +1,7 @@
-"""The pipeline's stages on planted cases, and all of them against brute force."""
+"""The pipeline's stages on planted cases and on rows that are null, empty, long or repeated, and run() against the stages done plainly."""
 
 import random
+import re
 
 import public_tokenizers
 import pytest
@@ -71,3 +72,72 @@ def test_last_stage_decodes(spark):
 def test_five_stages_in_order():
     assert [n for n, _ in cp.STAGES] == ["quality", "near_dedup", "substring_dedup", "decontamination", "bpe"]
     assert cp.ORACLE_SQL is None
+
+
+WORDS = re.compile("[^\x20\x09-\x0d]+")
+
+
+def plain_pipeline(rows, items, good):
+    """{(id, text)} after quality (`good` says), near dedup, substring dedup and decontamination, the long way round."""
+    kept = [r for r in dict.fromkeys(rows) if good(r[1])]
+    shingle = lambda t: {tuple(w[i : i + 5]) for w in [WORDS.findall(t.lower())] for i in range(max(1, len(w) - 4))} if WORDS.search(t) else set()
+    group = {r: r for r in kept}
+    for a in kept:
+        for b in kept:
+            x, y = shingle(a[1]), shingle(b[1])
+            if a < b and x and 100 * len(x & y) >= 75 * len(x | y):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {k: new if v == old else v for k, v in group.items()}
+    out, seen = [], set()
+    for i, t in sorted(r for r in kept if group[r] == r):
+        w, gone = WORDS.findall(t), set()
+        for k in range(len(w) - 19):
+            if (x := tuple(w[k : k + 20])) in seen:
+                gone.update(range(k, k + 20))
+            seen.add(x)
+        words = [v for k, v in enumerate(w) if k not in gone]
+        plain = [re.findall(r"[a-z0-9]+", v.lower()) for v in (" ".join(words), *items)]
+        windows = {tuple(p[k : k + 10]) for p in plain[1:] for k in range(len(p) - 9)}
+        if not any(tuple(plain[0][k : k + 10]) in windows for k in range(len(plain[0]) - 9)):
+            out.append((i, words))
+    return out
+
+
+def test_run_against_brute_force(spark, planted):
+    top, texts, _ = planted
+    bad = lambda t: "***" in t
+    items = [r["text"] for r in spark.read.parquet(f"{top}/benchmark.parquet").collect()]
+    want = plain_pipeline(list(texts.items()), items, lambda t: not bad(t))
+    out = {r["doc_id"]: r["token_ids"] for r in cp.run(spark, top).collect()}
+    assert sorted(out) == [i for i, _ in want]
+    for i, words in want:
+        assert out[i] == LIBRARY.encode(" ".join(words), add_special_tokens=False).ids
+
+
+def awkward(spark, top, rows):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, spans string, shard string, bands string, k string, left string, text_md5 string"
+    spark.createDataFrame([(i, t, None, "s", None, "x", "x", "x", "x", "x", "x") for i, t in rows], schema).write.parquet(f"{top}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (None, 0, None), (1, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{top}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, ""), (None, "q1 q2 q3 q4 q5 q6 q7 q8 q9 q10 q11")], "item_id long, text string").write.parquet(f"{top}/benchmark.parquet")
+
+
+def test_awkward_rows(spark, tmp_path):
+    """Null, empty, repeated and very long rows, and extra columns with the names that operators use."""
+    t, u = (" ".join(f"{x}{i}" for i in range(30)) for x in "tu")
+    long = " ".join("z%d" % (i % 7919) for i in range(60_000))
+    rows = [(1, t), (1, t), (2, None), (2, None), (None, t), (None, None), (3, ""), (4, " \n"), (5, u), (5, t), (6, long), (7, "q1 q2 Q3 q4 q5 q6 q7 q8 q9 q10")]
+    awkward(spark, tmp_path, rows)
+    out = sorted(((r["doc_id"] or 0), r["n_tokens"] > 0) for r in cp.run(spark, str(tmp_path)).collect())
+    # (5, t) is a copy of (1, t); the long text keeps its first lap; 7 is contaminated.
+    assert out == [(0, False), (0, True), (1, True), (2, False), (3, False), (4, False), (5, True), (6, True)]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        assert tuple(stage(spark, docs, str(tmp_path)).columns) == cp.COLUMNS, name
+
+
+def test_empty_tables(spark, tmp_path):
+    awkward(spark, tmp_path, [(1, "a")])
+    for name in ("documents", "labels", "benchmark"):
+        table = spark.read.parquet(f"{tmp_path}/{name}.parquet")
+        spark.createDataFrame([], table.schema).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
