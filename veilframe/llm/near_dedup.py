@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
-from veilframe.llm.common import arrow_map, begin, checkpoint, col, end, field, ship, text_bytes
+from veilframe.llm.common import arrow_map, begin, checkpoint, col, end, field, ship, stored, text_bytes
 from veilframe.llm.shingles import LOWER, WORDS, mix, shingle_sets
 
 T = 512
@@ -117,17 +117,23 @@ def verify(pairs: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_co
     ship(docs.sparkSession)
     texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).where(F.col("id").isNotNull())
     many = pairs.groupBy("a").count().where(F.col("count") > HEAD_PAIRS)
-    many = checkpoint(many.select(F.col("a").alias("many"), F.ceil(F.col("count") / HEAD_PAIRS).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(FAN - 1))).alias("fan")))
+    # A table of known size, so that the join with all texts shuffles them only if it is large.
+    many = stored(many.select(F.col("a").alias("many"), F.ceil(F.col("count") / HEAD_PAIRS).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(FAN - 1))).alias("fan")))
+    other = texts.withColumnsRenamed({"id": "b", "text": "tb"})
+    names = ["a", "b", "ta", "tb"]
     if many.isEmpty():
-        split, heads = pairs.withColumn("part", F.lit(0)), texts.withColumn("part", F.lit(0))
+        few, split = pairs, None
     else:
         fan = F.pmod(F.xxhash64("b"), F.lit(FAN)).cast("int")
-        split = pairs.join(many, (F.col("a") == F.col("many")) & (fan == F.col("fan")), "left")
-        split = split.select("a", "b", F.pmod(F.xxhash64(F.lit(1), "b"), F.coalesce("parts", F.lit(1))).cast("int").alias("part"))
-        heads = texts.join(many.where("fan = 0").select("many", "parts"), F.col("id") == F.col("many"), "left")
-        heads = heads.select("id", "text", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-    one = split.join(texts.withColumnsRenamed({"id": "b", "text": "tb"}), "b")
-    both = one.join(heads.withColumnsRenamed({"id": "a", "text": "ta"}), ["a", "part"]).select("a", "b", "ta", "tb")
+        placed = pairs.join(many, (F.col("a") == F.col("many")) & (fan == F.col("fan")), "left")
+        few = placed.where("parts IS NULL").select("a", "b")
+        split = placed.where("parts IS NOT NULL").select("a", "b", F.pmod(F.xxhash64(F.lit(1), "b"), "parts").cast("int").alias("part"))
+    # Both sides of the pairs read one exchange of the texts by id.
+    both = few.join(other, "b").join(texts.withColumnsRenamed({"id": "a", "text": "ta"}), "a").select(*names)
+    if split is not None:
+        heads = texts.join(many.where("fan = 0").select("many", "parts"), F.col("id") == F.col("many"))
+        heads = heads.select(F.col("id").alias("a"), F.col("text").alias("ta"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        both = both.unionByName(split.join(other, "b").join(heads, ["a", "part"]).select(*names))
     schema = T_.StructType([pairs.schema["a"], pairs.schema["b"]])
 
     def run(batches):
