@@ -1,18 +1,22 @@
 """Edit-based similarity: Indel ratio, partial ratio and token-set ratio, 0 to 100.
 
 `indel` is a SQL expression for short strings. Long texts go through one Arrow
-function: a linear bit-parallel scan with k errors rejects nearly all of them,
-and only what it keeps is scored window by window.
+function: a bit-parallel scan with k errors, made for all texts of a batch at
+once, rejects nearly all of them, and only what it keeps is scored window by
+window.
 """
 
 from __future__ import annotations
 
 from math import floor
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilframe.functions.text import long_enough, quote
+
 
 def lcs(a: str, b: str) -> int:
     """Length of the longest common subsequence, a bit for each letter of a."""
@@ -145,29 +149,80 @@ class Needle:
         return self.same_words(text) or self.partial(text) >= 100 * self.threshold
 
 
+def scan(texts: list[str], needle: Needle, length: int = 256) -> np.ndarray:
+    """Whether each text may hold the term with k errors; none that does is left out.
+
+    The texts stand on end, parted by a letter of no term, and are cut into rows of `length` letters that overlap by
+    the longest match; a step moves all rows on by a letter.
+    """
+    m, k = len(needle.term), needle.k
+    if not 0 < m < 64:
+        return np.ones(len(texts), bool)
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    codes = np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    overlap = m + k
+    n = -(-len(codes) // length)
+    masks = np.zeros(overlap + n * length, np.uint64)
+    here = masks[overlap : overlap + len(codes)]
+    for letter, bits in needle.place.items():
+        here[codes == ord(letter)] = bits
+    columns = np.ascontiguousarray(np.lib.stride_tricks.as_strided(masks, (overlap + length, n), (8, 8 * length)))
+    one, last = np.uint64(1), np.uint64(1 << (m - 1))
+    first = [np.uint64((1 << j) - 1) for j in range(k + 1)]
+    rows = [np.full(n, f) for f in first]
+    found = np.zeros(len(texts), bool)
+    for step, mask in enumerate(columns):
+        before = rows[0]
+        rows[0] = now = ((before << one) | one) & mask
+        for j in range(1, k + 1):
+            old = rows[j]
+            rows[j] = now = (((old << one) | one) & mask) | before | (now << one) | first[j]
+            before = old
+        hit = np.nonzero(now & last)[0]
+        if len(hit) and step >= overlap:
+            found[np.minimum(np.searchsorted(ends, hit * length + step - overlap, side="right"), len(texts) - 1)] = True
+    return found
+
+
 def fuzzy_hit(text: Column, terms: list[str], threshold: float) -> Column:
     """Whether any term scores at least the threshold by token-set or partial ratio; text is lower-cased before."""
 
     @F.pandas_udf("boolean")
     def hit(texts: pd.Series) -> pd.Series:
-        needles = [Needle(t, threshold) for t in terms]
-        least = [max(0.5 * len(t), 3.0) for t in terms]
-        return pd.Series([t is not None and any(len(t.strip()) >= n and x.fits(t) for x, n in zip(needles, least, strict=True)) for t in texts])
+        values = texts.tolist()
+        out = np.zeros(len(values), bool)
+        sizes = [0 if t is None else len(t.strip()) for t in values]
+        for term in terms:
+            needle, least = Needle(term, threshold), max(0.5 * len(term), 3.0)
+            left = [i for i, n in enumerate(sizes) if n >= least and not out[i]]
+            own = [values[i] for i in left]
+            near = scan(own, needle).tolist() if own else ()
+            for i, t, maybe in zip(left, own, near, strict=True):
+                if (maybe or len(t) <= len(term)) and needle.partial(t) >= 100 * threshold or needle.same_words(t):
+                    out[i] = True
+        return pd.Series(out)
 
     return hit(text)
 
 
 def may_fit(text: Column, terms: list[str], threshold: float) -> Column:
-    """A lossless condition on built-ins before `fuzzy_hit`: a piece of the term verbatim, a shared word, or a short text."""
-    any_ = F.lit(False)
+    """A lossless condition on built-ins before `fuzzy_hit`: a piece of a term verbatim, a shared word, or few and short distinct words.
+
+    Counts of shared letter groups were measured too: on lines of some hundred letters they let a quarter pass and
+    cost more than the scan of all.
+    """
+    ks = [min(len(t), floor(2 * len(t) * (1 - threshold) + 1e-9)) for t in terms]
+    longest = max(max(len(t), floor(len(t) * (2 - threshold) / max(threshold, 1e-9)) + 1) for t in terms)
+    enough = F.lit(False)
     for t in terms:
-        k = min(len(t), floor(2 * len(t) * (1 - threshold) + 1e-9))
-        longest = floor(len(t) * (2 - threshold) / max(threshold, 1e-9)) + 1
-        words = F.split(F.trim(text), r"\s+")
-        any_ = any_ | (F.length(text) <= max(longest, len(t))) | F.arrays_overlap(words, F.array(*[F.lit(w) for w in t.split()]))
-        for _, p in pieces(t, k) or [(0, "")]:
-            any_ = any_ | text.contains(p)
-    return any_
+        enough = enough | long_enough(text, t)
+    verbatim = sorted({quote(p) for t, k in zip(terms, ks, strict=True) for _, p in pieces(t, k)})
+    if not all(pieces(t, k) for t, k in zip(terms, ks, strict=True)):
+        return enough
+    words = "|".join(sorted({quote(w) for t in terms for w in t.split()}))
+    distinct = F.array_distinct(F.split(F.trim(text), r"\s+"))
+    few = (F.size(distinct) <= longest // 2 + 1) & (F.length(F.array_join(distinct, " ")) <= longest)
+    return enough & ((F.length(text) <= longest) | text.rlike("|".join(verbatim)) | text.rlike(rf"(?:^|\s)(?:{words})(?:\s|$)") | few)
 
 
 def indel(a: Column, b: Column) -> Column:

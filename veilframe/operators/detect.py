@@ -32,6 +32,8 @@ RECOGNISERS = {
     "URL": r"https?://[^\s<>\"]+",
 }
 DEFAULT_ENTITIES = list(RECOGNISERS)
+#: What a text needs for a match at all: letters that it holds, and a run of so many digits.
+GATES = {"EMAIL_ADDRESS": ("@", 0), "PHONE_NUMBER": ("", 4), "US_SSN": ("-", 4), "CREDIT_CARD": ("", 13), "IP_ADDRESS": (".", 1), "DATE_TIME": ("", 4), "URL": ("://", 0)}
 
 
 def detection(entity: Column | str, text: Column | None = None, score: Column | float = 1.0, bbox: Column | None = None, keep: Column | int = 0, detector: str = "profile") -> list[Column]:
@@ -46,18 +48,13 @@ def empty(spans: DataFrame) -> DataFrame:
     return spans.where("false").select(*detection("NONE"))
 
 
-def name_condition(text: Column, terms: list[str], threshold: float) -> tuple[Column, Column]:
-    """(exact, guarded fuzzy): one-token terms as whole words, others scored behind a lossless condition."""
-    single = [t for t in terms if len(re.findall(r"\w+", t)) == 1]
-    several = [t.lower() for t in terms if len(re.findall(r"\w+", t)) > 1]
+def name_condition(text: Column, terms: list[str]) -> tuple[Column, list[str]]:
+    """(exact, several): whether a one-token term is in the text as a whole word, and the lower-cased terms of several tokens."""
     exact = F.lit(False)
-    for t in single:
-        exact = exact | X.has_word(text, t)
-    low = F.lower(text)
-    scored = F.lit(False)
-    if several:
-        scored = F.when(fuzzy.may_fit(low, several, threshold), fuzzy.fuzzy_hit(low, several, threshold)).otherwise(False)
-    return exact, scored
+    for t in terms:
+        if len(re.findall(r"\w+", t)) == 1:
+            exact = exact | X.has_word(text, t)
+    return exact, [t.lower() for t in terms if len(re.findall(r"\w+", t)) > 1]
 
 
 def detect_names(spans: DataFrame, profile: Profile) -> DataFrame:
@@ -68,8 +65,7 @@ def detect_names(spans: DataFrame, profile: Profile) -> DataFrame:
     threshold = profile.detection.match_threshold
     text = F.col("text")
     able = spans.where((F.trim("text") != "") & ~X.is_corporate(text))
-    exact, _ = name_condition(text, terms, threshold)
-    several = [t.lower() for t in terms if len(re.findall(r"\w+", t)) > 1]
+    exact, several = name_condition(text, terms)
     if not several:
         return able.where(exact).select(*detection("PERSON"))
     # The function sees only spans that no built-in test has settled.
@@ -121,7 +117,10 @@ def detect_entities(spans: DataFrame, entities: list[str] | None = None, thresho
     """Rule recognisers; `recognise`, a pandas UDF from text to array<struct<entity, match, score>>, may add learned ones."""
 
     def recognised(e: str) -> Column:
-        found = F.regexp_extract_all("text", F.lit(RECOGNISERS[e]), F.lit(0))
+        letters, digits = GATES[e]
+        able = F.col("text").contains(letters) if letters else F.lit(True)
+        able = able & F.col("text").rlike(f"[0-9]{{{digits}}}") if digits else able
+        found = F.when(able, F.regexp_extract_all("text", F.lit(RECOGNISERS[e]), F.lit(0))).otherwise(F.array().cast("array<string>"))
         found = F.filter(found, luhn) if e == "CREDIT_CARD" else found
         score = 0.6 if e in ("DATE_TIME", "IP_ADDRESS") else 1.0
         return F.transform(found, lambda m: F.struct(F.lit(e).alias("entity"), m.alias("match"), F.lit(score).alias("score")))
