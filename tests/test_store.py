@@ -207,3 +207,118 @@ def test_command_line(spark, tmp_path, monkeypatch, capsys, good):
     assert cli.main(["profile", "delete", "ann", "--yes"]) == 0
     assert cli.main(["profile", "template", "--output", str(tmp_path / "t.yaml")]) == 0
     assert cli.main(["run", str(inputs), "--profile", str(tmp_path / "missing.yaml")]) == 1
+
+
+def test_secrets_stay_out_of_plans(spark, store, good, monkeypatch):
+    """No frame is made to seal or open a vault: key and profile cannot stand in a plan."""
+    from pyspark.sql import SparkSession
+
+    for name in ("range", "createDataFrame", "sql"):
+        monkeypatch.setattr(SparkSession, name, lambda *a, **b: pytest.fail("a plan was made"))
+    store.add_profile("a", profile.load_profile(good))
+    assert store.get_profile("a").subject.display_name == "Jane Corpus"
+    assert (store.path.with_suffix(".salt").stat().st_mode & 0o777, store.path.with_suffix(".salt").stat().st_size) == (0o600, 32)
+
+
+def test_vault_format_is_that_of_the_columns(spark, store):
+    blob, key = store.seal("{\"ä\": 1}".encode()), store.keys.get_or_create_master_key()
+    payload, error = vault.decrypt(F.lit(blob), F.lit(key))
+    assert spark.range(1).select(payload, error).first()[:] == ('{"ä": 1}', None)
+    other = spark.range(1).select(vault.encrypt(F.lit("text"), F.lit(key), F.lit(b"x" * 12))).first()[0]
+    assert store.unseal(bytes(other)) == "text"
+
+
+def test_ids_of_runs_are_consecutive(spark, tmp_path):
+    log = AuditLog(spark, str(tmp_path / "audit"))
+    log.log_runs(record(spark, 7).repartition(3))
+    log.log_runs(record(spark, 0))
+    log.log_runs(record(spark, 50).repartition(5))
+    assert sorted(r["id"] for r in log.runs().collect()) == list(range(1, 58))
+
+
+def test_a_broken_write_leaves_the_subjects(spark, tmp_path):
+    log = AuditLog(spark, str(tmp_path / "audit"))
+    log.add_subject("a")
+    log.add_subject("b")
+    half = tmp_path / "audit" / "subjects" / "v000000000009"
+    half.mkdir()
+    (half / "part-0.parquet").write_bytes(b"PAR1")
+    assert {r["id"] for r in log.subjects().collect()} == {"a", "b"}
+    log.add_subject("c")
+    assert {r["id"] for r in AuditLog(spark, str(tmp_path / "audit")).subjects().collect()} == {"a", "b", "c"}
+
+
+SHOUT = """def shout(content):
+    if b"broken" in content:
+        raise ValueError("cannot parse")
+    return content[5:].decode("latin-1").upper()
+"""
+
+
+@pytest.fixture(scope="module")
+def shout(spark, tmp_path_factory):
+    """A parser in a module that driver and workers can import."""
+    path = tmp_path_factory.mktemp("parser") / "shouting.py"
+    path.write_text(SHOUT)
+    spark.sparkContext.addPyFile(str(path))
+    return cli.loaded_parser("shouting:shout")
+
+
+def test_parser_of_binary_documents(spark, tmp_path, shout):
+    for name, content in {"a.pdf": b"%PDF-hello", "b.pdf": b"%PDF-broken", "c.pdf": b"%PDF-1 /Encrypt", "d.txt": b"plain", "e.bin": b"\xff\xfe\xfd\xfc\xfbx"}.items():
+        (tmp_path / name).write_bytes(content)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    rows = {r["path"][-5:]: (r["text"], r["error_kind"], r["error"]) for r in sources.open_documents(files, shout).collect()}
+    assert rows == {"a.pdf": ("HELLO", None, None), "b.pdf": (None, "extraction", "cannot parse"), "c.pdf": (None, "extraction", "document is encrypted"), "d.txt": ("plain", None, None), "e.bin": ("X", None, None)}
+
+
+def test_spans_back_to_documents(spark):
+    docs = spark.createDataFrame([(1, "a\n\n b \nc\n"), (2, "\nx"), (3, " \n")], "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in sources.span_documents(sources.document_spans(docs)).collect()} == {1: "a\n\nb\nc", 2: "\nx"}
+    turns = spark.createDataFrame([(1, 0, "a"), (1, 1, "\nb")], "conv_id long, turn int, text string")
+    assert sources.span_documents(sources.conversation_spans(turns)).first()["text"] == "a\f\nb"
+
+
+def test_run_options(spark, tmp_path, monkeypatch, capsys, good, shout):
+    monkeypatch.setenv("VEILFRAME_HOME", str(tmp_path / "home"))
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    inputs = tmp_path / "docs"
+    inputs.mkdir()
+    (inputs / "a.txt").write_text("Dear Jane Corpus\nplain")
+    (inputs / "b.pdf").write_bytes(b"%PDF-number 77")
+    path = sources.open_documents(spark.read.format("binaryFile").load(str(inputs / "a.txt"))).select(F.xxhash64("path")).first()[0]
+    words = [(path, 0, 0, "corpus", "91", 10.0, 10.0, 60.0, 12.0), (path, 0, 1, "other", "95", 90.0, 10.0, 60.0, 12.0)]
+    spark.createDataFrame(words, model.OCR_RAW).write.parquet(str(tmp_path / "words"))
+    base = ["run", str(inputs), "-p", str(good), "--glob", "*", "--parser", "shouting:shout", "--json"]
+
+    def results(*more):
+        out = str(tmp_path / f"out{len(list(tmp_path.iterdir()))}")
+        capsys.readouterr()
+        cli.main([*base, "-o", out, *more])
+        rows = json.loads(capsys.readouterr().out)
+        return {os.path.basename(r["input"]): r for r in rows}, out
+
+    plain, out = results()
+    assert {k: v["detections"] for k, v in plain.items()} == {"a.txt": 1, "b.pdf": 1} and plain["a.txt"]["verification_passed"] is True
+    assert os.path.isdir(f"{out}/redacted-reports") and spark.read.parquet(f"{out}/documents").count() == 2
+    forced, _ = results("--ocr-words", str(tmp_path / "words"), "--force-ocr", "-q")
+    assert forced["a.txt"]["detections"] == 2
+    none, out = results("--ocr-words", str(tmp_path / "words"), "--force-ocr", "--no-ocr", "--no-verify", "--no-report")
+    assert none["a.txt"]["detections"] == 1 and none["a.txt"]["verification_passed"] is None and not os.path.exists(f"{out}/redacted-reports")
+    assert cli.main(["run", str(inputs), "-p", str(tmp_path / "missing.yaml"), "--debug"]) == 1 and "Traceback" in capsys.readouterr().err
+    assert cli.main(["verify", str(inputs), "-p", str(good), "--json"]) == 1
+    assert json.loads(capsys.readouterr().out) == {"passed": False, "survivors": ["Dear Jane Corpus"], "duration_ms": pytest.approx(0, abs=1e9)}
+
+
+def test_survivors_are_logged(spark, tmp_path, monkeypatch, good):
+    """What a failed verification finds reaches the audit row, hashed, and the report's count."""
+    from veilframe.plans import engine
+
+    monkeypatch.setenv("VEILFRAME_HOME", str(tmp_path / "home"))
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    (tmp_path / "a.txt").write_text("number 77 and 77\nplain")
+    monkeypatch.setattr(engine.redact, "redact_spans", lambda spans, *a: spans.withColumn("hits", F.lit(0)))
+    cli.main(["run", str(tmp_path / "a.txt"), "-p", str(good), "-o", str(tmp_path / "out"), "-q"])
+    row = AuditLog(spark, cli.audit_path()).recent().first()
+    assert row["verification_passed"] is False and len(json.loads(row["verification_survivors_json"])) == 2 and "77" not in json.loads(row["verification_survivors_json"])
+    assert "2 PII item(s) survived" in AuditLog(spark, cli.audit_path()).run(row["id"]).select(report.markdown()).first()[0]

@@ -1,11 +1,15 @@
 """The audit log: append-only runs and the subjects they belong to, as Parquet tables.
 
 Texts that survived are stored as hashes unless asked otherwise, so the log
-holds no personal data.
+holds no personal data. Runs get consecutive ids; subjects are written as whole
+new versions beside the old one, and the last finished version counts, so a
+driver that dies on the way leaves the one before.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,58 +26,80 @@ class AuditLog:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
 
-    def _read(self, name: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if self._exists(name) else self.spark.createDataFrame([], schema)
+    def _files(self):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _versions(self) -> list[str]:
+        """Folders of finished versions of the subjects, oldest first."""
+        if not self._exists("subjects"):
+            return []
+        found = self._files().listStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/subjects"))
+        return sorted(n for n in (f.getPath().getName() for f in found) if self._exists(f"subjects/{n}/_SUCCESS"))
 
     def create(self) -> None:
         """Both tables, if they are missing."""
-        for name, schema in (("documents", model.AUDIT), ("subjects", model.SUBJECTS)):
-            if not self._exists(name):
-                self.spark.createDataFrame([], schema).write.parquet(f"{self.path}/{name}")
+        if not self._exists("documents"):
+            self.spark.createDataFrame([], model.AUDIT).write.parquet(f"{self.path}/documents")
+        if not self._versions():
+            self._renew(self.spark.createDataFrame([], model.SUBJECTS))
 
     def runs(self) -> DataFrame:
-        return self._read("documents", model.AUDIT)
+        rows = self.spark.read.schema(model.AUDIT)
+        return rows.parquet(f"{self.path}/documents") if self._exists("documents") else self.spark.createDataFrame([], model.AUDIT)
 
     def subjects(self) -> DataFrame:
-        return self._read("subjects", model.SUBJECTS)
+        versions = self._versions()
+        return self.spark.read.schema(model.SUBJECTS).parquet(f"{self.path}/subjects/{versions[-1]}") if versions else self.spark.createDataFrame([], model.SUBJECTS)
 
     def log_runs(self, records: DataFrame, keep_texts: bool = False) -> None:
         """Append the records under new ids and bring the subjects up to date."""
         last = self.runs().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
         survivors = F.col("verification_survivors_json")
         hashed = F.to_json(F.transform(F.from_json(survivors, "array<string>"), lambda s: F.sha2(s, 256)))
-        rows = records.withColumn("id", F.lit(last) + 1 + F.monotonically_increasing_id()).withColumn("verification_survivors_json", survivors if keep_texts else hashed)
+        rows = records.withColumn("id", F.lit(None).cast("long")).withColumn("verification_survivors_json", survivors if keep_texts else hashed)
         rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in model.AUDIT])
-        rows.write.mode("append").parquet(f"{self.path}/documents")
-        written = self.runs().where(F.col("id") > last)
-        self._swap("subjects", upsert_subjects(self.subjects(), written))
+        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
+        rows.write.parquet(staged)
+        numbered(self.spark.read.schema(model.AUDIT).parquet(staged), last).write.mode("append").parquet(f"{self.path}/documents")
+        self._files().delete(self.spark._jvm.org.apache.hadoop.fs.Path(staged), True)
+        self._renew(upsert_subjects(self.subjects(), self.runs().where(F.col("id") > last)))
 
     def add_subject(self, id_: str, display_name: str = "") -> None:
         """A new subject without documents, or another name for a known one."""
         row = self.spark.range(1).select(F.lit(id_).alias("id"), F.lit(display_name or id_).alias("display_name"), F.current_timestamp().alias("now"))
-        self._swap("subjects", add_subjects(self.subjects(), row))
-
-    def _swap(self, name: str, df: DataFrame) -> None:
-        """Write beside the table and rename, since a table cannot be read and overwritten at once."""
-        new, old = f"{self.path}/_{name}.new", f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(new)
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        fs = path(new).getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(path(old), True)
-        if not fs.rename(path(new), path(old)):
-            raise OSError(f"cannot rename {new}")
+        self._renew(add_subjects(self.subjects(), row))
+
+    def _renew(self, df: DataFrame) -> None:
+        """A new version of the subjects; all but the one before it go once it is finished."""
+        old = self._versions()
+        name = f"v{int(old[-1][1:]) + 1 if old else 1:012d}"
+        df.write.mode("overwrite").parquet(f"{self.path}/subjects/{name}")
+        for n in old[:-1]:
+            self._files().delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/subjects/{n}"), True)
 
     def recent(self, subject: str | None = None, limit: int = 20) -> DataFrame:
         return recent_runs(self.runs(), subject, limit)
 
     def run(self, id_: int) -> DataFrame:
-        return self.runs().where(F.col("id") == id_)
+        return run_by_id(self.runs(), id_)
 
     def subjects_by_use(self) -> DataFrame:
         return subjects_by_use(self.subjects())
 
     def subject(self, id_: str) -> DataFrame:
-        return self.subjects().where(F.col("id") == id_)
+        return subject_by_id(self.subjects(), id_)
+
+
+def numbered(rows: DataFrame, last: int) -> DataFrame:
+    """The rows of a written table with ids from last + 1 on, without gaps: each partition starts after those before it."""
+    part, within = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    counts = dict(rows.groupBy(part.alias("p")).count().collect())
+    starts, at = [], last + 1
+    for p in sorted(counts):
+        starts += [F.lit(p), F.lit(at)]
+        at += counts[p]
+    return rows.withColumn("id", (F.create_map(*starts)[part] + within).cast("long")) if starts else rows
 
 
 def recent_runs(runs: DataFrame, subject: str | None = None, limit: int = 20) -> DataFrame:
@@ -82,6 +108,14 @@ def recent_runs(runs: DataFrame, subject: str | None = None, limit: int = 20) ->
     return rows.orderBy(F.col("id").desc()).limit(limit)
 
 
+def run_by_id(runs: DataFrame, id_: int) -> DataFrame:
+    return runs.where(F.col("id") == id_)
+
+
+def subject_by_id(subjects: DataFrame, id_: str) -> DataFrame:
+    return subjects.where(F.col("id") == id_)
+
+
 def subjects_by_use(subjects: DataFrame) -> DataFrame:
     """Every subject, the one used last first."""
     return subjects.orderBy(F.col("last_used_at").desc_nulls_last(), "id")

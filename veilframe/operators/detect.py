@@ -32,8 +32,13 @@ RECOGNISERS = {
     "URL": r"https?://[^\s<>\"]+",
 }
 DEFAULT_ENTITIES = list(RECOGNISERS)
+#: By name only: persons behind a form of address, and house numbers with a street.
+RECOGNISERS |= {
+    "PERSON": r"\b(?:Mr|Mrs|Ms|Dr|Prof)\.? [A-Z][A-Za-z]+(?: [A-Z][A-Za-z]+){0,2}",
+    "LOCATION": r"\b[0-9]+ [A-Z][a-z]+(?: [A-Z][a-z]+){0,2} (?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd)\b",
+}
 #: What a text needs for a match at all: letters that it holds, and a run of so many digits.
-GATES = {"EMAIL_ADDRESS": ("@", 0), "PHONE_NUMBER": ("", 4), "US_SSN": ("-", 4), "CREDIT_CARD": ("", 13), "IP_ADDRESS": (".", 1), "DATE_TIME": ("", 4), "URL": ("://", 0)}
+GATES = {"EMAIL_ADDRESS": ("@", 0), "PHONE_NUMBER": ("", 4), "US_SSN": ("-", 4), "CREDIT_CARD": ("", 13), "IP_ADDRESS": (".", 1), "DATE_TIME": ("", 4), "URL": ("://", 0), "PERSON": (" ", 0), "LOCATION": (" ", 1)}
 
 
 def detection(entity: Column | str, text: Column | None = None, score: Column | float = 1.0, bbox: Column | None = None, keep: Column | int = 0, detector: str = "profile") -> list[Column]:
@@ -122,7 +127,7 @@ def detect_entities(spans: DataFrame, entities: list[str] | None = None, thresho
         able = able & F.col("text").rlike(f"[0-9]{{{digits}}}") if digits else able
         found = F.when(able, F.regexp_extract_all("text", F.lit(RECOGNISERS[e]), F.lit(0))).otherwise(F.array().cast("array<string>"))
         found = F.filter(found, luhn) if e == "CREDIT_CARD" else found
-        score = 0.6 if e in ("DATE_TIME", "IP_ADDRESS") else 1.0
+        score = 0.6 if e in ("DATE_TIME", "IP_ADDRESS", "LOCATION") else 1.0
         return F.transform(found, lambda m: F.struct(F.lit(e).alias("entity"), m.alias("match"), F.lit(score).alias("score")))
 
     hits = [recognised(e) for e in entities or DEFAULT_ENTITIES if e in RECOGNISERS]

@@ -8,6 +8,7 @@ it again; nothing is collected.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from dataclasses import dataclass, field
 
@@ -25,7 +26,10 @@ MAX_PASSES = 3
 def checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp())
     return df.checkpoint(eager=True)
 
 
@@ -81,7 +85,8 @@ class Engine:
             pages = ocr_raw.select("doc_id", "page_num").distinct().join(textual, ["doc_id", "page_num"], "left_anti")
             words = ocr.matches(ocr.ocr_words(ocr.restricted(ocr_raw, pages, self.force_ocr)), self.profile)
             hits = hits.unionByName(ocr.detections(words).withColumn("pass_num", F.lit(0)))
-        survivors = verify.verify(settled, self.profile, hits, self.threshold) if check else hits.where("false").drop("pass_num")
+        # Totals, reports and the audit log all read the survivors, so they are looked for once.
+        survivors = checkpoint(verify.verify(settled, self.profile, hits, self.threshold)) if check else hits.where("false").drop("pass_num")
         return Run(settled, hits, survivors, self.results(spans, hits, survivors, check), unsettled=unsettled)
 
     def results(self, spans: DataFrame, hits: DataFrame, survivors: DataFrame, check: bool = True) -> DataFrame:
@@ -104,13 +109,13 @@ class Engine:
             raise VerificationError("personal data survived")
         return out
 
-    def run_batch(self, opened: DataFrame, allow_ocr: bool = True) -> Run:
+    def run_batch(self, opened: DataFrame, allow_ocr: bool = True, ocr_raw: DataFrame | None = None, check: bool = True) -> Run:
         """From (doc_id, path, text, has_images, error_kind, error): a bad document becomes a row of errors, the others go on."""
         blank = (F.length(F.coalesce("text", F.lit(""))) < 50) & F.col("has_images") & F.col("error_kind").isNull()
         kind = F.when(blank, "no_text").otherwise(F.col("error_kind")) if not allow_ocr else F.col("error_kind")
         rows = opened.withColumn("error_kind", kind)
         good = rows.where("error_kind IS NULL")
-        out = self.run(sources.document_spans(good))
+        out = self.run(sources.document_spans(good), ocr_raw if allow_ocr else None, check)
         out.errors = summaries.failures(rows)
         return out
 

@@ -572,7 +572,7 @@ def subjects_ranked(spark, sf):
     from pyspark.sql import Window as W
 
     order = [F.col("last_used_at").desc(), F.col("id")]
-    return upserted(spark, sf).orderBy(*order).limit(10).select("id", "document_count", F.row_number().over(W.orderBy(*order)).alias("pos"))
+    return audit.subjects_by_use(upserted(spark, sf)).limit(10).select("id", "document_count", F.row_number().over(W.orderBy(*order)).alias("pos"))
 
 
 @query(f"{UPSERT} SELECT id, id AS display_name, epoch_us(created_at) AS created_us, epoch_us(last_used_at) AS used_us, document_count FROM u ORDER BY last_used_at DESC, u.id")
@@ -631,7 +631,7 @@ def vault_round_trip(spark, sf):
 def vault_list(spark, sf):
     m = F.map_from_arrays(F.array(F.lit("a"), F.lit("b")), F.array(entry(F.col("c_name"), "t0"), entry(F.col("c_mktsegment"), "t0")))
     df = table(spark, sf, "customer").select("c_custkey", m.alias("m"))
-    return df.select("c_custkey", F.explode(F.map_entries("m")).alias("e")).select("c_custkey", F.col("e.key").alias("client"), F.col("e.value.display_name").alias("name"))
+    return vault.list_entries(df, "m", "c_custkey").select("c_custkey", F.col("client_id").alias("client"), F.col("display_name").alias("name"))
 
 
 @query("SELECT c_custkey, c_name AS display_name, CASE WHEN c_custkey % 2 = 0 THEN '{}' END AS body FROM customer")
@@ -690,7 +690,7 @@ def survivor_preview(spark, sf):
 
 @query("SELECT event_id AS id, event_type FROM events WHERE event_id = 77")
 def audit_lookup(spark, sf):
-    return runs(spark, sf).where("id = 77").select("id", F.col("profile_name").alias("event_type"))
+    return audit.run_by_id(runs(spark, sf), 77).select("id", F.col("profile_name").alias("event_type"))
 
 
 @query(f"{UPSERT} SELECT id, CASE WHEN id = '9' THEN 'Renamed' ELSE id END AS display_name, document_count FROM u UNION ALL SELECT 'new', 'New one', 0")
@@ -701,7 +701,7 @@ def subject_add(spark, sf):
 
 @query(f"{UPSERT} SELECT id, document_count FROM u WHERE id = '9'")
 def subject_show(spark, sf):
-    return upserted(spark, sf).where("id = '9'").select("id", "document_count")
+    return audit.subject_by_id(upserted(spark, sf), "9").select("id", "document_count")
 
 
 @query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderstatus <> 'F' THEN '{"input":"/in/' || o_orderpriority || '/' || o_orderkey || '.pdf","output":"/in/' || o_orderpriority || '/redacted/' || o_orderkey || '_redacted.pdf","detections":' || floor(o_totalprice / 100000)::BIGINT || ',"verification":' || CASE o_orderstatus WHEN 'O' THEN '{"passed":true,"survivors":0}' ELSE 'null' END || '}'

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import text as X
 
+#: Titles, table heads and labels of the reports, here and in the functions below.
 TITLE, BATCH_TITLE, FOOTER = "# Redaction Report", "# Redaction Batch Summary", "*Generated by veilframe*"
 SURVIVORS = "array<string>"
 
@@ -64,7 +65,8 @@ def batch_rows(results: DataFrame, errors: DataFrame) -> DataFrame:
 
 def batch_markdown(results: DataFrame, errors: DataFrame, run_ts: str) -> DataFrame:
     """Lines (pos, doc_id, line) of the summary. Rows stay rows, so no task holds the whole report."""
-    counts = results.agg(F.count("*").alias("ok")).crossJoin(errors.agg(F.count("*").alias("err")))
+    each = results.select(F.lit(1).alias("ok"), F.lit(0).alias("err")).unionByName(errors.select(F.lit(0).alias("ok"), F.lit(1).alias("err")))
+    counts = each.agg(F.coalesce(F.sum("ok"), F.lit(0)).alias("ok"), F.coalesce(F.sum("err"), F.lit(0)).alias("err"))
     head = counts.select(F.lit(0).alias("pos"), F.lit(None).cast("long").alias("doc_id"), F.concat(
         F.lit(f"{BATCH_TITLE}\n\n**Run:** {run_ts}  **Total:** "), (F.col("ok") + F.col("err")).cast("string"), F.lit("  **OK:** "), F.col("ok").cast("string"), F.lit("  **Errors:** "), F.col("err").cast("string"),
         F.lit("\n\n| Status | File | Output | Detections | Verification |\n|--------|------|--------|------------|--------------|"),
@@ -83,7 +85,7 @@ def batch_json(results: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def write_reports(records: DataFrame, path: str) -> None:
-    """Both reports of every record, as Parquet by output name; `write_text` makes single files of few."""
+    """Both reports of every record, as Parquet by output name."""
     records.select("output_filename", markdown().alias("report_md"), json().alias("report_json")).write.mode("overwrite").parquet(path)
 
 

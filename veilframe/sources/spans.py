@@ -7,6 +7,9 @@ a fixed one: 14 points apart, 12 high, 6 points a character, on a page of 612 x
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +39,36 @@ def collect_inputs(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataF
     return reader.load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified")).orderBy("path")
 
 
-def open_documents(files: DataFrame) -> DataFrame:
-    """(path, text, error_kind, error) of binaryFile rows: UTF-8 text is read, other content is an error, never an exception."""
+def parsed_with(parser: Callable[[bytes], str]):
+    """A parser of one document as a function of columns: (text, error), an exception being the error."""
+
+    @F.pandas_udf("struct<text:string,error:string>")
+    def parse(content: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c in content:
+            try:
+                rows.append((None if c is None else parser(bytes(c)), None))
+            except Exception as e:  # noqa: BLE001 - whatever a parser raises is the document's error
+                rows.append((None, str(e) or type(e).__name__))
+        return pd.DataFrame(rows, columns=["text", "error"])
+
+    return parse
+
+
+def open_documents(files: DataFrame, parser: Callable[[bytes], str] | None = None) -> DataFrame:
+    """(path, text, error_kind, error) of binaryFile rows: UTF-8 text is read, other content goes to the parser or is an error, never an exception."""
     content = F.col("content")
     head = F.substring(content, 1, 5).cast("string")
-    encrypted = head.startswith("%PDF") & (F.instr(F.hex(content), F.hex(F.lit("/Encrypt"))) > 0)
-    bad = F.is_valid_utf8(content.cast("string")) == F.lit(False)
-    error = F.when(encrypted, "document is encrypted").when(head.startswith("%PDF"), "no parser for this format is configured").when(bad, "content is not text")
-    return files.select("path", F.when(error.isNull(), content.cast("string")).alias("text"), F.when(error.isNotNull(), "extraction").alias("error_kind"), error.alias("error"))
+    encrypted = head.startswith("%PDF") & F.contains(content, F.lit(b"/Encrypt"))
+    binary = head.startswith("%PDF") | (F.is_valid_utf8(content.cast("string")) == F.lit(False))
+    if parser is None:
+        error = F.when(encrypted, "document is encrypted").when(head.startswith("%PDF"), "no parser for this format is configured").when(binary, "content is not text")
+        text = F.when(error.isNull(), content.cast("string"))
+    else:
+        files = files.withColumn("_parsed", parsed_with(parser)(F.when(binary & ~encrypted, content)))
+        error = F.when(encrypted, "document is encrypted").otherwise(F.col("_parsed.error"))
+        text = F.when(error.isNull(), F.when(binary, F.col("_parsed.text")).otherwise(content.cast("string")))
+    return files.select("path", text.alias("text"), F.when(error.isNotNull(), "extraction").alias("error_kind"), error.alias("error"))
 
 
 def place(ord_: Column, text: Column) -> Column:
@@ -63,6 +88,19 @@ def document_spans(documents: DataFrame) -> DataFrame:
     return lines(documents, "doc_id", "text")
 
 
+def span_documents(spans: DataFrame) -> DataFrame:
+    """(doc_id, text): the spans put back as lines, with blank ones where lines are missing between them."""
+    rows = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_num", "ord", "text"))).alias("s"))
+    start = F.struct(F.lit(0).alias("page"), F.lit(0).alias("at"), F.lit("").alias("text"))
+
+    def step(acc, s):
+        same = acc["page"] == s["page_num"]
+        gap = F.when(same, F.repeat(F.lit("\n"), s["ord"] - acc["at"])).otherwise(F.concat(F.when(acc["text"] == "", "").otherwise("\f"), F.repeat(F.lit("\n"), s["ord"])))
+        return F.struct(s["page_num"].alias("page"), s["ord"].alias("at"), F.concat(acc["text"], gap, s["text"]).alias("text"))
+
+    return rows.select("doc_id", F.aggregate("s", start, step, lambda a: a["text"]).alias("text"))
+
+
 def conversation_spans(conversations: DataFrame) -> DataFrame:
     """Documents of several pages: a turn is a page."""
     return lines(conversations, "conv_id", "text", "turn")

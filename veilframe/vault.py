@@ -1,8 +1,11 @@
 """The encrypted profile store.
 
 The payload is JSON {version, profiles: {client_id: entry}}, encrypted with
-AES-256-GCM by Spark's own functions. A file is magic (8 bytes), nonce (12), tag
-(16), ciphertext. The nonce is drawn on the driver for every save.
+AES-256-GCM. A file is magic (8 bytes), nonce (12), tag (16), ciphertext. The
+nonce is drawn on the driver for every save. A vault in a file is sealed and
+opened by the driver's own cipher, so neither key nor profile is ever part of a
+query plan; the column functions are for tables of payloads, whose keys are the
+caller's columns.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from datetime import UTC, datetime
 from pathlib import Path
 from typing import Protocol
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -141,10 +145,10 @@ def rename_entry(profiles: Column, old: str, new: str) -> Column:
     return F.when(able, F.map_concat(delete_entry(profiles, old), F.create_map(F.lit(new), profiles[old])))
 
 
-def list_entries(payloads: DataFrame, profiles: str = "profiles") -> DataFrame:
-    """(client_id, display_name, created_at, updated_at) without bodies."""
-    out = payloads.select(F.explode(F.map_entries(profiles)).alias("e"))
-    return out.select(F.col("e.key").alias("client_id"), *[F.col(f"e.value.{c}").alias(c) for c in ("display_name", "created_at", "updated_at")])
+def list_entries(payloads: DataFrame, profiles: str = "profiles", *keep: str) -> DataFrame:
+    """(columns kept, client_id, display_name, created_at, updated_at) without bodies."""
+    out = payloads.select(*keep, F.explode(F.map_entries(profiles)).alias("e"))
+    return out.select(*keep, F.col("e.key").alias("client_id"), *[F.col(f"e.value.{c}").alias(c) for c in ("display_name", "created_at", "updated_at")])
 
 
 class Vault:
@@ -159,16 +163,29 @@ class Vault:
             raise VaultError(f"a master key has {KEY} bytes, not {len(key)}")
         return key
 
+    def _cipher(self, mode: int, nonce: bytes):
+        """The JVM's AES-GCM for this key; nothing of it reaches Spark."""
+        crypto = self.spark._jvm.javax.crypto
+        out = crypto.Cipher.getInstance("AES/GCM/NoPadding")
+        out.init(mode, crypto.spec.SecretKeySpec(self._key(), "AES"), crypto.spec.GCMParameterSpec(8 * TAG, nonce))
+        return out
+
     def seal(self, data: bytes) -> bytes:
-        row = self.spark.range(1).select(encrypt(F.lit(data), F.lit(self._key()), F.lit(secrets.token_bytes(NONCE))))
-        return bytes(row.first()[0])
+        nonce = secrets.token_bytes(NONCE)
+        sealed = bytes(self._cipher(1, nonce).doFinal(data))
+        return MAGIC + nonce + sealed[-TAG:] + sealed[:-TAG]
 
     def unseal(self, blob: bytes) -> str:
-        payload, error = decrypt(F.lit(blob), F.lit(self._key()))
-        text, why = self.spark.range(1).select(payload, error).first()
-        if why:
-            raise VaultError(f"{self.path}: {why}")
-        return text
+        start = len(MAGIC) + NONCE + TAG
+        if len(blob) < start:
+            raise VaultError(f"{self.path}: too short")
+        if not blob.startswith(MAGIC):
+            raise VaultError(f"{self.path}: not a vault")
+        cipher = self._cipher(2, blob[len(MAGIC) : start - TAG])
+        try:
+            return bytes(cipher.doFinal(blob[start:] + blob[start - TAG : start])).decode()
+        except Py4JJavaError:
+            raise VaultError(f"{self.path}: wrong key or tampered") from None
 
     def open(self) -> dict:
         if not self.path.exists():
@@ -185,6 +202,10 @@ class Vault:
             f.flush()
             os.fsync(f.fileno())
         os.replace(new, self.path)
+        salt = self.path.with_suffix(".salt")  # part of the file layout; nothing is derived from it
+        if not salt.exists():
+            with os.fdopen(os.open(salt, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "wb") as f:
+                f.write(secrets.token_bytes(KEY))
 
     def add_profile(self, client: str, profile: Profile, display_name: str = "", notes: str = "") -> None:
         payload = self.open()
