@@ -1,12 +1,16 @@
 """Detectors, bridging, merging, redaction and verification on small literal spans."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from veilframe import model
+from veilframe.functions import text as X
 from veilframe.operators import detect, ocr, redact, verify
 from veilframe.plans.engine import Engine
 from veilframe.profile import AccountNumber, CustomPattern, Profile
+from veilframe.sources import spans as sources
 
 HEIGHT = 12.0
 
@@ -165,3 +169,25 @@ def test_detection_has_one_schema(spark):
     s = spans(spark, "x")
     frames = [detect.detect_names(s, profile()), detect.detect_accounts(s, []), detect.detect_entities(s), detect.detect_addresses(s, profile(addresses=[ADDRESS])), detect.detect_contacts(s, profile(phones=["1"]))]
     assert all(f.columns == detect.COLUMNS for f in frames)
+
+
+def test_fuzzy_names_of_all_lines_against_brute_force(spark, sf):
+    """Every line of the table, and lines with the name bent in several ways, scored window by window."""
+    from veilframe.functions import fuzzy
+    from veilframe.plans import queries as q
+
+    lines = [r["text"] for r in q.spans(spark, sf).where("length(text) < 600").select("text").distinct().collect()]
+    lines += ["To Hein Therand, here", "hein therean", "Thereand Hein", "and hein x thereand", "Hei nThereand", "x" * 300 + "heinthereand", "Mr. HEIN  THEREAND of it", "here and in there", "Thereand, Hein Inc", "hein hein hein hein hein hein hein"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = {r["doc_id"] for r in detect.detect_names(sources.lines(rows, "doc_id", "text"), q.PROFILE).collect()}
+    terms = ["hein thereand", "thereand, hein"]
+    want = set()
+    for i, t in enumerate(lines):
+        low = t.lower()
+        words = re.findall(r"\w+", low)
+        if words and words[-1] in X.CORPORATE:
+            continue
+        fits = any(len(low.strip()) >= len(x) / 2 and max(fuzzy.token_set_ratio(x, low), fuzzy.partial_ratio(x, low)) >= 85 for x in terms)
+        if fits or "clown" in words:
+            want.add(i)
+    assert found == want and len(want) >= 5

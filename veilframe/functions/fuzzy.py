@@ -205,6 +205,17 @@ def fuzzy_hit(text: Column, terms: list[str], threshold: float) -> Column:
     return hit(text)
 
 
+def scores(text: Column, term: str) -> Column:
+    """struct<token_set, partial>: both scores of a lower-case text, in full."""
+
+    @F.pandas_udf("struct<token_set:double,partial:double>")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        rows = [(None, None) if t is None else (token_set_ratio(term, t), partial_ratio(term, t)) for t in texts]
+        return pd.DataFrame(rows, columns=["token_set", "partial"])
+
+    return both(text)
+
+
 def may_fit(text: Column, terms: list[str], threshold: float) -> Column:
     """A lossless condition on built-ins before `fuzzy_hit`: a piece of a term verbatim, a shared word, or few and short distinct words.
 

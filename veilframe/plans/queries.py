@@ -209,6 +209,39 @@ def name_fuzzy(spark, sf):
     return detect.detect_names(spans(spark, sf), PROFILE).select("doc_id", "page_num", "ord", "entity_type", "score")
 
 
+#: SQL for scores of pairs: `pairs` (a, b) in, `ratios` (a, b, v) out.
+RATIOS = """dp AS (SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: 0::BIGINT) AS r FROM pairs
+UNION ALL SELECT a, b, i + 1, list_reduce(list_transform(range(1, length(b) + 1), lambda j: [r[j + 1], r[j] + CASE WHEN substr(a, i + 1, 1) = substr(b, j, 1) THEN 1 ELSE 0 END]), lambda acc, x: list_append(acc, greatest(x[1], x[2], acc[-1])), [0::BIGINT]) FROM dp WHERE i < length(a)),
+ratios AS (SELECT a, b, 200.0 * r[-1] / (length(a) + length(b)) AS v FROM dp WHERE i = length(a))"""
+#: Windows of the longer of `ask` (t, q) that partial_ratio compares with the shorter; both ways round if they are as long.
+WINDOWS = """turned AS (SELECT t, q, q AS s, t AS l FROM ask WHERE length(q) <= length(t) UNION ALL SELECT t, q, t, q FROM ask WHERE length(t) <= length(q)),
+cut AS (SELECT t, q, s, substr(l, greatest(i, 0) + 1, least(length(l), i + length(s)) - greatest(i, 0)) AS w FROM (SELECT *, unnest(range(1 - length(s), length(l))) AS i FROM turned))"""
+WANTED = "red widget small"
+SCORES = f"""ask AS (SELECT DISTINCT lower(p_name) AS t, '{WANTED}' AS q FROM part), {WINDOWS},
+words AS (SELECT t, list_sort(list_distinct(string_split(q, ' '))) AS x, list_sort(list_distinct(string_split(t, ' '))) AS y FROM ask),
+split AS (SELECT t, array_to_string(list_filter(x, lambda v: list_contains(y, v)), ' ') AS common, array_to_string(list_filter(x, lambda v: NOT list_contains(y, v)), ' ') AS u, array_to_string(list_filter(y, lambda v: NOT list_contains(x, v)), ' ') AS other FROM words),
+sets AS (SELECT t, common, u, other, trim(common || ' ' || u) AS one, trim(common || ' ' || other) AS two FROM split),
+pairs AS (SELECT s AS a, w AS b FROM cut UNION SELECT one, two FROM sets), {RATIOS},
+scores AS (SELECT sets.t, CASE WHEN common <> '' AND (u = '' OR other = '') THEN 100.0 WHEN common <> '' THEN greatest(r.v, 200.0 * length(common) / (length(common) + length(one)), 200.0 * length(common) / (length(common) + length(two))) ELSE r.v END AS token_set,
+(SELECT max(p.v) FROM cut JOIN ratios p ON p.a = cut.s AND p.b = cut.w WHERE cut.t = sets.t) AS partial FROM sets JOIN ratios r ON r.a = one AND r.b = two)"""
+
+
+@query(f"WITH RECURSIVE {SCORES} SELECT t AS name, round(token_set, 4) AS token_set, round(partial, 4) AS partial FROM scores")
+def fuzzy_scores(spark, sf):
+    names = table(spark, sf, "part").select(F.lower("p_name").alias("name")).distinct()
+    both = names.select("name", fuzzy.scores(F.col("name"), WANTED).alias("s"))
+    return both.select("name", F.round("s.token_set", 4).alias("token_set"), F.round("s.partial", 4).alias("partial"))
+
+
+@query(f"""WITH RECURSIVE {SCORES} SELECT p_partkey AS doc_id, p_name AS text, 'PERSON' AS entity_type, 1.0::DOUBLE AS score FROM part JOIN scores ON t = lower(p_name)
+WHERE greatest(token_set, partial) >= 70 AND length(trim(p_name)) >= {max(len(WANTED) / 2, 3)}""")
+def name_fuzzy_parts(spark, sf):
+    """Fuzzy names over part names as spans, at a threshold that some reach."""
+    profile = Profile.model_validate({"subject": {"display_name": WANTED.title()}, "detection": {"match_threshold": 0.7}})
+    rows = S.lines(table(spark, sf, "part"), "p_partkey", "p_name")
+    return detect.detect_names(rows, profile).select("doc_id", "text", "entity_type", "score")
+
+
 # Detectors.
 
 
@@ -263,6 +296,14 @@ def ner_card_luhn(spark, sf):
     return detect.detect_entities(spans(spark, sf), ["CREDIT_CARD"]).select("doc_id", "ord", "text")
 
 
+@query(rf"""WITH t AS (SELECT c_custkey AS doc_id, 'Met Dr. ' || c_mktsegment || ' Jones at ' || c_custkey || ' Old Mill Road, today' AS text FROM customer)
+SELECT doc_id, 'PERSON' AS entity_type, 'Dr. ' || regexp_extract(text, 'Dr. (.*) at', 1) AS text, 1.0::DOUBLE AS score FROM t UNION ALL SELECT doc_id, 'LOCATION', doc_id || ' Old Mill Road', 0.6::DOUBLE FROM t""")
+def ner_people_and_places(spark, sf):
+    text = F.concat(F.lit("Met Dr. "), "c_mktsegment", F.lit(" Jones at "), F.col("c_custkey").cast("string"), F.lit(" Old Mill Road, today"))
+    rows = S.lines(table(spark, sf, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text")
+    return detect.detect_entities(rows, ["PERSON", "LOCATION"]).select("doc_id", "entity_type", "text", "score")
+
+
 @query(f"WITH {SPANS}, e AS ({ENTITIES}) SELECT entity_type, count(*) AS n FROM e WHERE score >= 0.9 GROUP BY entity_type")
 def ner_threshold(spark, sf):
     return detect.detect_entities(spans(spark, sf), threshold=0.9).groupBy("entity_type").agg(F.count("*").alias("n"))
@@ -300,6 +341,16 @@ def detect_all(spark, sf):
     return detect.detect_all(spans(spark, sf), PROFILE, contacts=True).select("doc_id", "page_num", "ord", "entity_type", "text", "score")
 
 
+@query(f"""WITH RECURSIVE {SCORES} SELECT p_partkey AS doc_id, 'PERSON' AS entity_type, p_name AS text FROM part JOIN scores ON t = lower(p_name) WHERE greatest(token_set, partial) >= 70 AND length(p_name) >= {max(len(WANTED) / 2, 3)}
+UNION ALL SELECT p_partkey, 'TOOL', unnest(regexp_extract_all(p_name, '[bw]i[a-z]+')) FROM part UNION ALL SELECT p_partkey, 'ACCOUNT_NUMBER', unnest(regexp_extract_all(p_name, '(?i)blue')) FROM part""")
+def detect_all_parts(spark, sf):
+    """All profile detectors and the recognisers together, over part names as spans."""
+    subject = {"display_name": WANTED.title(), "addresses": ["1 Nowhere Road"], "account_numbers": [{"value": "BLUE"}], "custom_patterns": [{"name": "TOOL", "regex": "[bw]i[a-z]+"}]}
+    profile = Profile.model_validate({"subject": subject, "detection": {"match_threshold": 0.7, "use_presidio": True, "presidio_entities": ["PERSON", "URL", "LOCATION"]}})
+    rows = S.lines(table(spark, sf, "part"), "p_partkey", "p_name")
+    return detect.detect_all(rows, profile).select("doc_id", "entity_type", "text")
+
+
 @query(r"""SELECT doc_id, unnest(regexp_extract_all(text, '(?i)hein\.19\@mail5\.example\.com')) AS text, 'EMAIL_ADDRESS' AS entity_type FROM documents UNION ALL
 SELECT doc_id, unnest(regexp_extract_all(text, '1[\s\-.()]*7[\s\-.()]*4[\s\-.()]*3[\s\-.()]*5[\s\-.()]*5[\s\-.()]*5[\s\-.()]*3[\s\-.()]*8[\s\-.()]*2[\s\-.()]*4')), 'PHONE_NUMBER' FROM documents""")
 def contact_hits(spark, sf):
@@ -361,11 +412,31 @@ def address_lines(spark, sf):
     return address_flags(spans(spark, sf), "doc_id", "ord")
 
 
-@query()
+def address_groups_sql(wanted: list[str]) -> str:
+    """Lines walked through in order: a line goes on with the open group, or opens one; then the first address that fits."""
+    normal = f"array_to_string(list_transform(list_filter(regexp_split_to_array(replace(lower(regexp_replace(g, '([0-9]{{5}})-[0-9]{{4}}', '\\1', 'g')), ',', ' '), '\\s+'), lambda t: t <> ''), lambda t: {case_types("regexp_replace(t, '[.]$', '')")}), ' ')"
+    values = ", ".join(f"({i}, '{w}')" for i, w in enumerate(wanted))
+    return f"""WITH RECURSIVE {ADDRESSES}, flags AS (SELECT s_suppkey // 6 AS doc, s_suppkey % 6 AS ord, text, row_number() OVER (PARTITION BY s_suppkey // 6 ORDER BY s_suppkey) AS n, 72 + 3.0 * length(text) AS centre, greatest(6.0 * length(text), 50) AS reach,
+{CANDIDATE} AS candidate, {CONTINUES} AS continues, {PROSE} AS prose FROM a),
+walk AS (SELECT DISTINCT doc, 0::BIGINT AS n, NULL::BIGINT AS seed, 0 AS taken, 0.0::DOUBLE AS centre, 0.0::DOUBLE AS reach FROM flags
+UNION ALL SELECT doc, n, CASE WHEN goes THEN seed WHEN candidate THEN n END, CASE WHEN goes THEN taken + 1 ELSE 0 END, CASE WHEN goes THEN centre ELSE own_centre END, CASE WHEN goes THEN reach ELSE own_reach END
+FROM (SELECT w.doc, f.n, w.seed, w.taken, w.centre, w.reach, f.candidate, f.centre AS own_centre, f.reach AS own_reach, coalesce(w.seed IS NOT NULL AND w.taken < 3 AND abs(f.centre - w.centre) <= w.reach AND NOT f.prose AND f.continues, false) AS goes FROM walk w JOIN flags f ON f.doc = w.doc AND f.n = w.n + 1)),
+joined AS (SELECT w.doc, w.seed, string_agg(trim(f.text), ' ' ORDER BY f.n) AS g FROM walk w JOIN flags f ON f.doc = w.doc AND f.n = w.n WHERE w.seed IS NOT NULL GROUP BY w.doc, w.seed),
+normal AS (SELECT doc, seed, {normal} AS t FROM joined), wanted(k, q) AS (VALUES {values}), ask AS (SELECT DISTINCT t, q FROM normal, wanted), {WINDOWS},
+pairs AS (SELECT DISTINCT s AS a, w AS b FROM cut), {RATIOS},
+best AS (SELECT cut.t, cut.q, max(v) AS v FROM cut JOIN ratios ON a = s AND b = w GROUP BY cut.t, cut.q),
+first AS (SELECT doc, seed, arg_min(best.v, k) AS v FROM normal JOIN best USING (t) JOIN wanted USING (q) WHERE best.v >= 85 AND NOT regexp_full_match(translate(t, '-., ', ''), '[0-9]+') GROUP BY doc, seed)
+SELECT f.doc AS doc_id, f.ord::INT AS ord, trim(f.text) AS text, 'LOCATION' AS entity_type, round(v / 100, 6) AS score FROM first JOIN walk USING (doc, seed) JOIN flags f ON f.doc = walk.doc AND f.n = walk.n"""
+
+
+WANTED_ADDRESSES = ["12 Main Street, Springfield, IL 00444", "7 Old Mill Road"]
+
+
+@query(address_groups_sql([A.normalize_text(w) for w in WANTED_ADDRESSES]))
 def address_groups(spark, sf):
     rows = addresses(spark, sf).select(F.floor(F.col("s_suppkey") / 6).alias("doc_id"), F.lit(0).alias("page_num"), (F.col("s_suppkey") % 6).cast("int").alias("ord"), "text")
     placed = rows.withColumn("bbox", S.place(F.col("ord"), F.col("text"))).withColumn("block_type", F.lit(0))
-    profile = Profile.model_validate({"subject": {"display_name": "x", "addresses": ["12 Main Street, Springfield, IL 00444", "7 Old Mill Road"]}})
+    profile = Profile.model_validate({"subject": {"display_name": "x", "addresses": WANTED_ADDRESSES}})
     return detect.detect_addresses(placed, profile).select("doc_id", "ord", "text", "entity_type", F.round("score", 6).alias("score"))
 
 
@@ -398,6 +469,25 @@ def guard_rejections(spark, sf):
     return redact.guarded(detect.detect_patterns(s, PATTERNS), s).select("doc_id", "ord", "rejected")
 
 
+TALL = "CASE WHEN ord % 5 = 4 THEN 60.0 WHEN ord % 7 = 6 THEN 700.0 ELSE 12.0 END"
+
+
+@query(rf"""WITH {SPANS}, t AS (SELECT *, {TALL} AS high FROM spans), g AS (SELECT doc_id, median(high) AS med FROM t GROUP BY doc_id)
+SELECT t.doc_id, ord, CASE WHEN regexp_matches(text, '{NUMBER}') AND NOT ((x1 - x0) * high > 0.3 * 612 * 792 OR high > 4 * med) THEN repeat('█', length(text)) ELSE text END AS text FROM t JOIN g USING (doc_id)""")
+def redact_guarded(spark, sf):
+    """Lines of several heights: hits on tall lines and on large boxes stay unpainted."""
+    high = F.when(F.col("ord") % 5 == 4, 60.0).when(F.col("ord") % 7 == 6, 700.0).otherwise(12.0)
+    s = spans(spark, sf).withColumn("bbox", F.struct(F.col("bbox.x0").alias("x0"), F.col("bbox.y0").alias("y0"), F.col("bbox.x1").alias("x1"), (F.col("bbox.y0") + high).alias("y1")))
+    return redact.redact_guarded(s, detect.detect_patterns(s, PATTERNS)).select("doc_id", "ord", "text")
+
+
+@query(rf"""WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(x)) AS l FROM documents),
+r AS (SELECT doc_id, rtrim(array_to_string(list_transform(l, lambda x: CASE WHEN regexp_matches(x, '{NUMBER}') THEN repeat('█', length(x)) ELSE x END), chr(10)), chr(10)) AS text FROM l) SELECT doc_id, text FROM r WHERE text <> ''""")
+def redacted_documents(spark, sf):
+    s = spans(spark, sf)
+    return S.span_documents(redact.redact_spans(s, detect.detect_patterns(s, PATTERNS)).drop("hits"))
+
+
 @query(f"WITH {SPANS} SELECT doc_id, page_num, median(y1 - y0) AS median_height FROM spans GROUP BY doc_id, page_num")
 def median_height(spark, sf):
     return redact.median_heights(spans(spark, sf))
