@@ -115,7 +115,9 @@ def verify(pairs: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_co
     parts, each with a copy of its text, so no task gets the texts of a whole group.
     """
     ship(docs.sparkSession)
-    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).where(F.col("id").isNotNull())
+    # Only texts of the pairs are dealt out: few ids reach all scans as a table of known size, many join where the texts go anyway.
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).where(F.col("id").isNotNull()).join(wanted, "id", "left_semi")
     many = pairs.groupBy("a").count().where(F.col("count") > HEAD_PAIRS)
     # A table of known size, so that the join with all texts shuffles them only if it is large.
     many = stored(many.select(F.col("a").alias("many"), F.ceil(F.col("count") / HEAD_PAIRS).cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(FAN - 1))).alias("fan")))
