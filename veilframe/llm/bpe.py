@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from veilframe.llm.common import arrow_map, begin, col, end, field, remembers, ship
 
 #: Pre-tokens that a worker keeps; a full cache is emptied, which costs time only.
-CACHE_WORDS = 150_000
-SLICE = 1 << 20
+CACHE_WORDS = 400_000
+SLICE = 2 << 20
 
 _LETTERS = "a-zªµºß-öø-ſ"
 _NUMBERS = "0-9²³¹¼-¾"
