@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm.bpe import CACHE_WORDS, SLICE, Codec, codec_for, read_spec
-from veilframe.llm.common import arrow_map, begin, col, end, field, remembers, ship
+from veilframe.llm.common import arrow_map, begin, col, end, field, remembers, ship, stored
 
 TABLE_WORDS = 32_768
 #: Distinct words that a task's summary holds before those of less than this share of its words so far are dropped.
@@ -76,7 +76,10 @@ def frequent_lengths(docs: DataFrame, spec: str, *, text_col: str, table_words:
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], names=["word", "n"])
         end()
 
-    words = texts.mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "word").limit(table_words).collect()
+    sums = stored(texts.mapInArrow(tally, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    # At most 4 * table_words words have this share, so no more come to the driver however many tasks there are.
+    least = (sums.agg(F.sum("n")).first()[0] or 0) / (4 * table_words)
+    words = sums.where(F.col("n") >= least).orderBy(F.col("n").desc(), "word").limit(table_words).collect()
     codec, merged = Codec(spec, cache_words=2 * table_words), Counter()
     for r in words:
         for w in codec.pre_tokens(r["word"]):
