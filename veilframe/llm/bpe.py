@@ -29,8 +29,10 @@ from pyspark.sql import types as T
 from veilframe.llm.common import arrow_map, begin, col, end, field, remembers, ship
 
 #: Pre-tokens that a worker keeps; a full cache is emptied, which costs time only.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 SLICE = 2 << 20
+#: New pre-tokens that one index holds; their letters are Python numbers while it works.
+INDEX_WORDS = 30_000
 
 _LETTERS = "a-zªµºß-öø-ſ"
 _NUMBERS = "0-9²³¹¼-¾"
@@ -165,7 +167,8 @@ class Codec:
         if not missing:
             return
         new = list(missing)
-        ids, sizes = self.pairs.encode([w.encode("utf-8", "surrogateescape") for w in new])
+        parts = [self.pairs.encode([w.encode("utf-8", "surrogateescape") for w in new[i : i + INDEX_WORDS]]) for i in range(0, len(new), INDEX_WORDS)]
+        ids, sizes = (np.concatenate(x) for x in zip(*parts, strict=True))
         self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.ids = np.concatenate([self.ids, ids])
