@@ -27,6 +27,9 @@ from pyspark.sql import types as T
 
 SLICE_BYTES = 4 << 20
 BATCH_ROWS = 1_000
+#: Rows of one key beyond which a join deals them out, and the copies of the key's row that they then meet.
+HEAVY_ROWS = 4_096
+FAN = 64
 
 
 def col(name: str) -> Column:
@@ -87,6 +90,27 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(name)
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, by: list[str], *, heavy: int | None = None) -> DataFrame:
+    """Inner join of `rows` with `groups`, which has one row a key and in `size` the number of rows of that key.
+
+    Rows of keys that have more than `heavy` (HEAVY_ROWS if none) are dealt out by a hash of `by` and meet one of `FAN` copies of the key's row, so no
+    task gets all rows of a key. The copies are at most FAN / heavy of the rows; a table of known size, broadcast only if small.
+    """
+    heavy = HEAVY_ROWS if heavy is None else heavy
+    values = F.struct(*[c for c in groups.columns if c not in on])
+    copies = F.explode(F.sequence(F.lit(0), F.lit(FAN - 1))).alias("_fan")
+    many = stored(groups.where(F.col(size) > heavy).select(*on, values.alias("_many"), copies))
+    if many.isEmpty():
+        return rows.join(groups, on)
+    dealt = rows.withColumn("_fan", F.pmod(F.xxhash64(F.lit("fan"), *by), F.lit(FAN)).cast("int")).join(many, [*on, "_fan"], "left")
+    # Dealt rows have their group already; a salt of their own spreads them over the exchange of the other join.
+    salt = F.when(F.col("_many").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(F.lit("salt"), *by), F.lit(1 << 30)).cast("int"))
+    few = groups.where(F.col(size) <= heavy).select(*on, F.lit(0).alias("_salt"), values.alias("_few"))
+    joined = dealt.withColumn("_salt", salt).join(few, [*on, "_salt"], "left")
+    found = joined.select(*rows.columns, F.coalesce("_many", "_few").alias("_group")).where("_group IS NOT NULL")
+    return found.select(*rows.columns, "_group.*")
+
+
 #: What operators remember in a worker process: the owner, and how to forget it.
 _MEMORIES: list[tuple[str, Callable[[], None]]] = []
 

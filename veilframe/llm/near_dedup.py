@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
-from veilframe.llm.common import arrow_map, begin, checkpoint, col, end, field, ship, stored, text_bytes
+from veilframe.llm.common import FAN, arrow_map, begin, checkpoint, col, end, field, join_groups, ship, stored, text_bytes
 from veilframe.llm.shingles import LOWER, WORDS, mix, shingle_sets
 
 T = 512
@@ -54,9 +54,8 @@ SLACK = 0.077
 #: Members of a bucket that a block compares, on either side, and rows that a task gets to build blocks from.
 BLOCK = 1024
 SLOT_ROWS = 4096
-#: Pairs of one least document that a part gets, and parts into which they are dealt while that is looked up.
+#: Pairs of one least document that a part gets.
 HEAD_PAIRS = 512
-FAN = 64
 
 
 def sketches(sets: list[np.ndarray]) -> np.ndarray:
@@ -235,19 +234,21 @@ def chances(rows: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, described: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(classes, components): set_id to its least document, and the component of each class that has links."""
-    classes = checkpoint(described.where("bands IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("fine").alias("fine")))
+    """(classes, components): set_id to its least document and number of rows, and the component of each class that has links."""
+    least = [F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("fine").alias("fine"), F.count("*").alias("copies")]
+    classes = checkpoint(described.where("bands IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(*least))
     members = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
-    buckets = members.groupBy("band", "key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    shared = checkpoint(members.join(buckets, ["band", "key"]))
+    buckets = stored(members.groupBy("band", "key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).where("n > 1"))
+    shared = checkpoint(join_groups(members, buckets, ["band", "key"], "n", ["doc_id"]))
     first = checkpoint(shared.where("doc_id <> head").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct())
     found = checkpoint(verify(first, docs, id_col=id_col, text_col=text_col))
     parts = components(found)
     # What the bucket heads leave open: buckets of three or more that span components.
     placed = shared.where("n > 2").join(parts, F.col("doc_id") == F.col("node"), "left").withColumn("part", F.coalesce("component", "doc_id"))
     sizes = placed.groupBy("band", "key", "part").agg(F.count("*").alias("size"))
-    mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("size", "part"))["part"].alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    placed = checkpoint(placed.join(mixed, ["band", "key"]).select("band", "key", "n", "doc_id", "part", "main"))
+    mixed = sizes.groupBy("band", "key").agg(F.max(F.struct("size", "part"))["part"].alias("main"), F.count("*").alias("parts"), F.sum("size").alias("members"))
+    mixed = stored(mixed.where("parts > 1"))
+    placed = checkpoint(join_groups(placed, mixed, ["band", "key"], "members", ["doc_id"]).select("band", "key", "n", "doc_id", "part", "main"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -260,16 +261,19 @@ def links(docs: DataFrame, described: DataFrame, *, id_col: str = "doc_id", text
     if not rest.isEmpty():
         found = found.unionByName(verify(rest, docs, id_col=id_col, text_col=text_col))
         parts = components(found)
-    return classes.select("set_id", F.col("doc_id").alias("head")), parts
+    return classes.select("set_id", F.col("doc_id").alias("head"), "copies"), parts
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row."""
     described = checkpoint(describe(docs, id_col=id_col, text_col=text_col))
     classes, parts = links(docs, described, id_col=id_col, text_col=text_col)
-    heads = classes.join(parts, F.col("head") == F.col("node"), "left").select("set_id", F.coalesce("component", "head").alias("group"))
-    rows = described.select("doc_id", "n_shingles", F.when(F.col("bands").isNotNull(), F.col("set_id")).alias("set_id"))
-    out = rows.join(heads, "set_id", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("group", "doc_id")))
+    heads = classes.join(parts, F.col("head") == F.col("node"), "left").select("set_id", "copies", F.coalesce("component", "head").alias("component_id"))
+    classed = F.col("bands").isNotNull() & F.col("doc_id").isNotNull()
+    grouped = join_groups(described.where(classed).select("doc_id", "n_shingles", "set_id"), heads, ["set_id"], "copies", ["doc_id"])
+    # Rows without set or id have no class to be joined with, however many they are.
+    single = described.where(~classed).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = grouped.select("doc_id", "n_shingles", "component_id").unionByName(single)
     return out.select(F.col("doc_id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
