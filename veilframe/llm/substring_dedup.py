@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.llm.common import arrow_map, begin, checkpoint, col, end, field, ship, slices, stored, text_bytes
+from veilframe.llm.common import FAN, arrow_map, begin, checkpoint, col, end, field, join_groups, ship, slices, stored, text_bytes
 from veilframe.llm.shingles import WORDS, sliding, windows
 
 WIDTH = 20
@@ -50,8 +50,6 @@ PHRASE = 8
 SHARD_BYTES = 2 << 20
 #: Text that a slot of a split shard reads, as far as documents are of like length.
 SLOT_BYTES = 4 << 20
-#: Parts into which a shard's rows are dealt while the split shards are looked up.
-FAN = 64
 
 _MOST = np.iinfo(np.uint64).max
 DIGITS = 3
@@ -223,10 +221,11 @@ def marked(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...])
 
 def routes(found: DataFrame, shards: int, per_slot: int) -> DataFrame:
     """(id, mark, shard, slot, slots, ks, stream): what each slot reads, and the phrases ks that a document owns there."""
-    recurring = found.groupBy("k").agg(F.min(F.struct("id", "mark")).alias("owner"), F.sum("n").alias("total")).where("total > 1")
-    recurring = stored(recurring.select("k", F.col("owner.id").alias("oid"), F.col("owner.mark").alias("omark")))
+    recurring = found.groupBy("k").agg(F.min(F.struct("id", "mark")).alias("owner"), F.sum("n").alias("total"), F.count("*").alias("docs")).where("total > 1")
+    recurring = stored(recurring.select("k", F.col("owner.id").alias("oid"), F.col("owner.mark").alias("omark"), "docs"))
     shard = F.pmod(F.xxhash64("oid", "omark"), F.lit(shards)).alias("shard")
-    read = stored(found.join(recurring, "k").select("id", "mark", shard).distinct())
+    read = join_groups(found.select("k", "id", "mark"), recurring, ["k"], "docs", ["id", "mark"])
+    read = stored(read.select("id", "mark", shard).distinct())
     split = read.groupBy("shard").count().where(F.col("count") > per_slot)
     split = split.select("shard", F.ceil(F.col("count") / per_slot).cast("int").alias("slots"), F.explode(F.sequence(F.lit(0), F.lit(FAN - 1))).alias("fan"))
 
