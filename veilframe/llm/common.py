@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 
 SLICE_BYTES = 4 << 20
 BATCH_ROWS = 1_000
-#: Rows of one key beyond which a join deals them out, and the copies of the key's row that they then meet.
-HEAVY_ROWS = 4_096
+#: Narrow rows of one key (some MB) beyond which a join deals them out, and the copies of the key's row that they then meet.
+HEAVY_ROWS = 65_536
 FAN = 64
 
 
