@@ -64,32 +64,42 @@ def account_pattern(value: str) -> str:
 def account_matches(text: Column, value: str) -> Column:
     """array<struct<start, match>>: all occurrences, start counted from 0."""
     if not re.sub("[^A-Za-z0-9]", "", value):
-        return F.array().cast("array<struct<start:int,match:string>>")
+        return F.array().cast(MATCHES)
     return matches(text, account_pattern(value))
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, match>> of every match: the lengths of the parts between give the starts."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("out"))
+MATCHES = "array<struct<start:int,match:string>>"
 
-    def step(s, i):
-        start = s["at"] + F.length(F.get(between, i))
-        match = F.get(found, i)
-        return F.struct((start + F.length(match)).alias("at"), F.concat(s["out"], F.array(F.struct(start.alias("start"), match.alias("match")))).alias("out"))
 
-    places = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, state, step, lambda s: s["out"])
+def matches(text: Column, pattern: str | Column) -> Column:
+    """array<struct<start, match>> of every match: the lengths of the parts between give the starts.
+
+    The text is searched only where it matches at all, and its parts are bound to a variable, so they are made once.
+    """
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    parts = F.struct(F.regexp_extract_all(text, pattern, F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("between"))
+    state = F.struct(F.lit(0).alias("at"), F.array().cast(MATCHES).alias("out"))
+
+    def placed(p):
+        def step(s, f):
+            start = s["at"] + F.length(f["between"])
+            hit = F.array(F.struct(start.alias("start"), f["found"].alias("match")))
+            return F.struct((start + F.length(f["found"])).alias("at"), F.concat(s["out"], hit).alias("out"))
+
+        pairs = F.zip_with(p["found"], F.slice(p["between"], F.lit(1), F.size(p["found"])), lambda f, b: F.struct(f.alias("found"), b.alias("between")))
+        return F.aggregate(pairs, state, step, lambda s: s["out"])
+
+    return F.when(F.rlike(text, pattern), F.transform(F.array(parts), placed)[0]).otherwise(F.array().cast(MATCHES))
 
 
-def hidden_length(match: Column, keep: int) -> Column:
+def hidden_length(match: Column, keep: int | Column) -> Column:
     """Characters to hide at the match's start so that `keep` digits stay; null where all of it goes.
 
     Letters are not counted: what is hidden ends with the (keep + 1)-th digit from the end.
     """
+    keep = F.lit(keep) if isinstance(keep, int) else keep
     digits = F.filter(F.sequence(F.lit(1), F.greatest(F.length(match), F.lit(1))), lambda i: F.substr(match, i, F.lit(1)).rlike("[0-9]"))
-    return F.try_element_at(digits, F.lit(-(keep + 1))) if keep > 0 else F.lit(None).cast("int")
+    return F.when(keep > 0, F.try_element_at(digits, -(keep + 1)))
 
 
 def mask_account(value: Column, keep: int = 4) -> Column:

@@ -32,7 +32,7 @@ def blank_part(text: Column, match: Column, hidden: Column) -> Column:
 def redact_spans(spans: DataFrame, detections: DataFrame, granularity: str = "span") -> DataFrame:
     """Spans with their text redacted and `hits`, the number of detections on each."""
     hidden = F.col("preserve_last")
-    hit = F.struct(F.col("text").alias("match"), hidden.alias("keep"), _hidden(F.col("text"), hidden).alias("hidden"))
+    hit = F.struct(F.col("text").alias("match"), hidden.alias("keep"), X.hidden_length(F.col("text"), hidden).alias("hidden"))
     by_span = detections.groupBy(*KEY).agg(F.count("*").alias("hits"), F.array_sort(F.collect_set(hit)).alias("found"))
     # A hit hides all of its span unless it keeps a suffix; in match mode it hides its own characters.
     whole = F.lit(False) if granularity == "match" else F.exists("found", lambda h: h["hidden"].isNull())
@@ -42,12 +42,6 @@ def redact_spans(spans: DataFrame, detections: DataFrame, granularity: str = "sp
     return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in spans.columns], F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
 
 
-def _hidden(match: Column, keep: Column) -> Column:
-    """Like hidden_length for a number of kept digits in a column."""
-    digits = F.filter(F.sequence(F.lit(1), F.greatest(F.length(match), F.lit(1))), lambda i: F.substr(match, i, F.lit(1)).rlike("[0-9]"))
-    return F.when(keep > 0, F.try_element_at(digits, -(keep + 1)))
-
-
 def median_heights(spans: DataFrame) -> DataFrame:
     """(doc_id, page_num, median_height), exact and interpolated; 12 where nothing has a height."""
     return spans.groupBy("doc_id", "page_num").agg(F.coalesce(F.median(F.col("bbox.y1") - F.col("bbox.y0")), F.lit(DEFAULT_HEIGHT)).alias("median_height"))

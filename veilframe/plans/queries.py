@@ -11,7 +11,7 @@ from veilframe import audit, model, report, vault
 from veilframe.functions import address as A
 from veilframe.functions import fuzzy
 from veilframe.functions import text as X
-from veilframe.operators import detect, ocr, redact, summaries, verify
+from veilframe.operators import detect, ocr, redact, subjects, summaries, verify
 from veilframe.plans.engine import Engine
 from veilframe.profile import AccountNumber, CustomPattern, Profile, parse_profile
 from veilframe.sources import spans as S
@@ -357,6 +357,53 @@ def contact_hits(spark, sf):
     return detect.detect_contacts(spans(spark, sf), PROFILE).select("doc_id", "text", "entity_type")
 
 
+# Very many subjects in one run.
+
+
+def order_subjects(spark, sf) -> DataFrame:
+    """A subject a customer: a name of its own, an alias that it shares with others, an account."""
+    c = table(spark, sf, "customer")
+    alias = F.concat(F.lit("N"), F.col("c_nationkey").cast("string"), F.lit("x"), "c_mktsegment")
+    none = F.array().cast("array<string>")
+    account = F.struct(F.concat(F.lit("4"), F.lpad(F.col("c_custkey").cast("string"), 11, "0")).alias("value"), F.lit(4).alias("preserve_last"))
+    subject = F.struct(F.replace("c_name", F.lit("#"), F.lit(" ")).alias("display_name"), F.array(alias).alias("aliases"), *[none.alias(k) for k in ("phones", "emails", "ssns")], F.array(account).alias("account_numbers"))
+    return c.select(F.col("c_custkey").alias("subject_id"), subject.alias("subject"))
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, replace(c_name, '#', ' ') AS name, 'N' || c_nationkey || 'x' || c_mktsegment AS alias, '4' || lpad(c_custkey::VARCHAR, 11, '0') AS a FROM customer),
+o AS (SELECT o_orderkey AS doc_id, k, alias, left(a, 4) || '-' || substr(a, 5, 4) || ' ' || right(a, 4) AS shown, 'Order ' || o_orderkey || ' for ' || name || ' (' || alias || '), paid from ' || left(a, 4) || '-' || substr(a, 5, 4) || ' ' || right(a, 4) AS text FROM orders JOIN c ON k = o_custkey)
+SELECT doc_id, c.k AS subject_id, 'PERSON' AS entity_type, text, 0 AS preserve_last FROM o JOIN c USING (alias) UNION ALL SELECT doc_id, k, 'ACCOUNT_NUMBER', shown, 4 FROM o""")
+def subjects_in_orders(spark, sf):
+    """Orders as lines of text against all customers as subjects."""
+    c = order_subjects(spark, sf).select("subject_id", "subject.*")
+    a = F.col("account_numbers")[0]["value"]
+    shown = F.concat(F.left(a, F.lit(4)), F.lit("-"), F.substring(a, 5, 4), F.lit(" "), F.right(a, F.lit(4)))
+    text = F.concat(F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" for "), "display_name", F.lit(" ("), F.col("aliases")[0], F.lit("), paid from "), shown)
+    rows = S.lines(table(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("subject_id")).select("o_orderkey", text.alias("text")), "o_orderkey", "text")
+    found = subjects.find_terms(rows, subjects.dictionary(order_subjects(spark, sf)))
+    return found.select("doc_id", "subject_id", "entity_type", "text", "preserve_last")
+
+
+MAIL = detect.RECOGNISERS["EMAIL_ADDRESS"]
+
+
+@query(rf"""WITH {SPANS}, v AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{NUMBER}')) AS v, 'ACCOUNT_NUMBER' AS entity_type FROM documents UNION SELECT DISTINCT unnest(regexp_extract_all(text, '{MAIL}')), 'EMAIL_ADDRESS' FROM documents),
+hits AS (SELECT doc_id, ord, v, entity_type, unnest(regexp_extract_all(text, '(?i)' || CASE entity_type WHEN 'ACCOUNT_NUMBER' THEN array_to_string(string_split(v, ''), '[\s\-.]*') ELSE regexp_replace(v, '([^\w])', '\\\1', 'g') END)) AS text
+FROM spans JOIN v ON contains(lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')), lower(regexp_replace(v, '[^A-Za-z0-9]', '', 'g')))) SELECT doc_id, ord, v AS subject_id, entity_type, text FROM hits""")
+def subjects_in_documents(spark, sf):
+    """Every number and address that a document shows is a subject, looked for in all lines of all documents."""
+    docs, strings = table(spark, sf, "documents"), "array<string>"
+    numbers = docs.select(F.explode(F.regexp_extract_all("text", F.lit(NUMBER), F.lit(0))).alias("v"), F.lit(True).alias("number"))
+    mails = docs.select(F.explode(F.regexp_extract_all("text", F.lit(MAIL), F.lit(0))).alias("v"), F.lit(False).alias("number"))
+    values = numbers.union(mails).distinct()
+    one = lambda cond, value, kind: F.when(cond, F.array(value)).otherwise(F.array().cast(kind))
+    account = F.struct(F.col("v").alias("value"), F.lit(4).alias("preserve_last"))
+    none = F.array().cast(strings)
+    subject = F.struct(F.lit("").alias("display_name"), none.alias("aliases"), none.alias("phones"), none.alias("ssns"), one(~F.col("number"), F.col("v"), strings).alias("emails"), one(F.col("number"), account, "array<struct<value:string,preserve_last:int>>").alias("account_numbers"))
+    book = subjects.dictionary(values.select(F.col("v").alias("subject_id"), subject.alias("subject")))
+    return subjects.find_terms(spans(spark, sf), book).select("doc_id", "ord", "subject_id", "entity_type", "text")
+
+
 # Addresses.
 
 ADDRESSES = """a AS (SELECT s_suppkey, CASE s_suppkey % 6 WHEN 0 THEN s_suppkey || ' Main St., Springfield, IL ' || lpad((s_suppkey * 37 % 100000)::VARCHAR, 5, '0') || '-1234'
