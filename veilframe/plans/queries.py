@@ -11,7 +11,7 @@ from veilframe import audit, model, report, vault
 from veilframe.functions import address as A
 from veilframe.functions import fuzzy
 from veilframe.functions import text as X
-from veilframe.operators import detect, ocr, redact, subjects, summaries, verify
+from veilframe.operators import detect, ocr, redact, similar, subjects, summaries, verify
 from veilframe.plans.engine import Engine
 from veilframe.profile import AccountNumber, CustomPattern, Profile, parse_profile
 from veilframe.sources import spans as S
@@ -242,6 +242,27 @@ def name_fuzzy_parts(spark, sf):
     return detect.detect_names(rows, profile).select("doc_id", "text", "entity_type", "score")
 
 
+MISSPELT = "left(lower(p_name), (s_suppkey % length(p_name))::INT) || substr(lower(p_name), (s_suppkey % length(p_name))::INT + 2)"
+
+
+@query(f"""WITH RECURSIVE texts AS (SELECT DISTINCT lower(p_name) AS t FROM part), terms AS (SELECT DISTINCT {MISSPELT} AS q FROM supplier JOIN part ON p_partkey = s_suppkey),
+ask AS (SELECT t, q FROM texts, terms WHERE length(trim(t)) >= greatest(length(q) / 2, 3)), {WINDOWS},
+words AS (SELECT t, q, list_distinct(list_filter(string_split(q, ' '), lambda v: v <> '')) AS x, list_distinct(list_filter(string_split(t, ' '), lambda v: v <> '')) AS y FROM ask),
+split AS (SELECT t, q, array_to_string(list_sort(list_filter(x, lambda v: list_contains(y, v))), ' ') AS common, array_to_string(list_sort(list_filter(x, lambda v: NOT list_contains(y, v))), ' ') AS u, array_to_string(list_sort(list_filter(y, lambda v: NOT list_contains(x, v))), ' ') AS other FROM words),
+sets AS (SELECT t, q, common, u, other, trim(common || ' ' || u) AS one, trim(common || ' ' || other) AS two FROM split),
+pairs AS (SELECT s AS a, w AS b FROM cut UNION SELECT one, two FROM sets), {RATIOS},
+part_ AS (SELECT cut.t, cut.q, max(v) AS partial FROM cut JOIN ratios ON a = cut.s AND b = cut.w GROUP BY cut.t, cut.q),
+scores AS (SELECT sets.t, sets.q, CASE WHEN common <> '' AND (u = '' OR other = '') THEN 100.0 WHEN common <> '' THEN greatest(r.v, 200.0 * length(common) / (length(common) + length(one)), 200.0 * length(common) / (length(common) + length(two))) ELSE r.v END AS token_set FROM sets JOIN ratios r ON r.a = one AND r.b = two)
+SELECT q AS term, t AS text, round(token_set, 4) AS token_set, round(partial, 4) AS partial FROM scores JOIN part_ USING (t, q) WHERE greatest(token_set, partial) >= 85""")
+def name_similar(spark, sf):
+    """Part names that lost a letter, one a supplier, against all part names."""
+    low = F.lower("p_name")
+    at = (F.col("s_suppkey") % F.length("p_name")).cast("int")
+    terms = table(spark, sf, "supplier").join(table(spark, sf, "part"), F.col("p_partkey") == F.col("s_suppkey")).select(F.concat(F.left(low, at), F.substr(low, at + 2, F.length("p_name"))).alias("text"))
+    found = similar.similar(terms, table(spark, sf, "part").select(F.col("p_name").alias("text")), 0.85)
+    return found.select("term", "text", F.round("token_set", 4).alias("token_set"), F.round("partial", 4).alias("partial"))
+
+
 # Detectors.
 
 
