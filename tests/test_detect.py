@@ -78,13 +78,135 @@ def test_addresses(spark, lines, hits):
     assert sorted(r["ord"] for r in found.collect()) == hits
 
 
-def test_bridge_stops_at_another_column_and_window():
+def grouped(spark, rows, window=3, column_aware=True):
+    frame = spark.createDataFrame([(1, 0, i, t, (float(a), 0.0, float(b), 12.0), 0) for i, (t, a, b) in enumerate(rows)], model.SPANS)
+    return sorted([x["ord"] for x in r["lines"]] for r in detect.address_groups(frame, window, column_aware).collect())
+
+
+def test_groups_stop_at_another_column_and_window(spark):
     far = [("12 Main St.", 72, 200), ("Springfield, IL 62701", 400, 500)]
-    assert detect.bridge(far, 3, True) == [[0]]
-    assert detect.bridge(far, 3, False) == [[0, 1]]
+    assert grouped(spark, far) == [[0]]
+    assert grouped(spark, far, column_aware=False) == [[0, 1]]
     many = [("12 Main St.", 0, 60)] + [("Suite 1", 0, 60)] * 5
-    assert detect.bridge(many, 3, True) == [[0, 1, 2, 3]]
-    assert detect.bridge([("12 Main St.", 0, 60), ("14 Main St, IL", 0, 60)], 3, True) == [[0, 1]]
+    assert grouped(spark, many) == [[0, 1, 2, 3]]
+    assert grouped(spark, many, window=0) == [[0]]
+    assert grouped(spark, [("12 Main St.", 0, 60), (" ", 0, 9), ("14 Main St, IL", 0, 60)]) == [[0, 2]]
+
+
+def walked(rows, window, column_aware, flags):
+    """Line by line: the open group takes a line or the line may open one."""
+    groups, left, seed = [], 0, None
+    for i, (t, a, b) in enumerate(rows):
+        candidate, goes = flags[i]
+        if not t.strip():
+            continue
+        near = seed is not None and (not column_aware or abs((a + b) / 2 - seed[0]) <= seed[1])
+        if seed is not None and left and near and goes:
+            groups[-1].append(i)
+            left -= 1
+        elif candidate:
+            groups.append([i])
+            left, seed = window, ((a + b) / 2, max(b - a, 50.0))
+        else:
+            seed = None
+    return groups
+
+
+@pytest.mark.parametrize("window", [0, 1, 3, 10])
+def test_groups_against_a_walk(spark, window):
+    """Lines that open and go on with addresses at once make long chains."""
+    import random
+
+    from veilframe.functions import address as A
+
+    r = random.Random(window)
+    kinds = ["12 Main St.", "14 Main St, IL", "Suite 4", "Springfield, IL 62701", " ", "and then some more words than six of them", "Invoice 5", "7 Oak Lane, CA 90001"]
+    rows = [(r.choice(kinds), x := r.choice((0, 0, 0, 90)), x + r.choice((30, 80, 200))) for _ in range(400)]
+    flags = spark.createDataFrame([(t, i) for i, (t, _, _) in enumerate(rows)], "text string, i int")
+    flags = flags.select("i", A.is_candidate(F.col("text")).alias("c"), (A.is_continuation(F.col("text")) & ~A.is_prose(F.col("text"))).alias("g")).orderBy("i").collect()
+    for column_aware in (True, False):
+        assert grouped(spark, rows, window, column_aware) == walked(rows, window, column_aware, [(f["c"], f["g"]) for f in flags])
+
+
+def test_overlapping_matches_are_hidden_together(spark):
+    s = spans(spark, "call 1234-5678-9012 now")
+    patterns = [{"name": "A", "regex": "1234-5678"}, {"name": "B", "regex": "5678-9012"}]
+    run = Engine(profile(custom_patterns=patterns), granularity="match").run(s)
+    assert run.spans.first()["text"] == "call ██████████████ now"
+    assert run.results.first()["verification_passed"]
+
+
+def test_what_is_left_of_a_hit_fails_verification(spark):
+    s = spans(spark, "call 1234-5678-9012 now", "x 77")
+    hits = detect.detect_patterns(s, [CustomPattern(name="A", regex="1234-5678"), CustomPattern(name="B", regex="5678-9012")])
+    half = s.withColumn("text", F.replace("text", F.lit("1234-5678"), F.lit("█" * 9)))
+    assert [r["text"] for r in redact.exposed(half, hits, "match").collect()] == ["████-9012"]
+    assert redact.exposed(redact.redact_spans(s, hits, "match"), hits, "match").count() == 0
+    kept = detect.detect_accounts(s, [AccountNumber(value="12345678", preserve_last=4)])
+    assert redact.exposed(redact.redact_spans(s, kept), kept).count() == 0
+
+
+def tall(spark, *texts, doc=1):
+    """Lines that reach into the next."""
+    return spans(spark, *texts, doc=doc).withColumn("bbox", F.struct("bbox.x0", "bbox.y0", "bbox.x1", (F.col("bbox.y1") + 8).alias("y1")))
+
+
+def test_a_second_pass_finds_what_the_first_left_to_another(spark):
+    """An entity hit under a profile hit of another line is left in the first pass and hidden in the second."""
+    p = profile(custom_patterns=[{"name": "N", "regex": "77"}], detection={"use_presidio": True, "presidio_entities": ["DATE_TIME"]})
+    s = tall(spark, "x 77", "on 2024-01-02", "clean", doc=1).unionByName(tall(spark, "clean", "on 2024-01-02", doc=2)).unionByName(tall(spark, "nothing", doc=3))
+    run = Engine(p).run(s)
+    assert {r["doc_id"]: (r["detections"], r["safety_passes"], r["verification_passed"]) for r in run.results.collect()} == {1: (2, 1, True), 2: (1, 0, True), 3: (0, 0, True)}
+    assert run.searched == [6, 3, 1]
+    assert "2024" not in "".join(r["text"] for r in run.spans.collect())
+
+
+def test_addresses_are_looked_for_again_around_changes(spark):
+    p = profile(addresses=[ADDRESS], custom_patterns=[{"name": "N", "regex": "77"}])
+    s = spans(spark, "123 Main St.", "Springfield, IL 62701", "x 77", "neutral")
+    run = Engine(p).run(s)
+    assert [r["text"].strip("█") for r in run.spans.orderBy("ord").collect()] == ["", "", "", "neutral"]
+    assert run.results.first()["verification_passed"] and run.searched[1] < run.searched[0]
+
+
+def test_boxes_meet_in_bands(spark):
+    import random
+
+    r = random.Random(2)
+    box = lambda: (x := r.uniform(0, 300), y := r.uniform(-50, 300), x + r.choice((0, 20, 90)), y + r.choice((0, 5, 12, 100)))
+    rows = [(r.randrange(2), r.randrange(2), i, "t", "E", 1.0, box(), 0, r.choice(("profile", "entity")), 0, 1) for i in range(300)]
+    hits = spark.createDataFrame(rows, model.DETECTIONS)
+    over = lambda a, b: a[0] < b[2] and a[2] > b[0] and a[1] < b[3] and a[3] > b[1]
+    want = {x[2] for x in rows if x[8] == "profile" or not any(y[8] == "profile" and y[:2] == x[:2] and over(x[6], y[6]) for y in rows)}
+    assert {x["ord"] for x in detect.merged(hits).collect()} == want
+
+
+def test_line_detectors_are_one_scan(spark, sf):
+    from veilframe.plans import queries as q
+
+    found = detect.line_hits(q.spans(spark, sf), q.PROFILE, True, detect.DEFAULT_ENTITIES)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("FileScan"), plan.count("Exchange"), plan.count("+- ArrowEvalPython")) == (1, 0, 1)
+
+
+def test_functions_reach_workers_without_the_package(spark, tmp_path):
+    """A process that has only the shipped file can run what plans pickle by name."""
+    import subprocess
+    import sys
+
+    from pyspark.serializers import CloudPickleSerializer
+
+    from veilframe import cluster
+    from veilframe.functions import fuzzy
+
+    cluster.ship(spark)
+    [package] = [f for f in spark.sparkContext._python_includes if f.startswith("veilframe_pkg")]
+    from pyspark import SparkFiles
+
+    (tmp_path / "f").write_bytes(CloudPickleSerializer().dumps(fuzzy.partial_ratio))
+    code = "import pickle, sys; sys.path.insert(0, sys.argv[1]); print(pickle.load(open(sys.argv[2], 'rb'))('ab', 'xabx'))"
+    done = subprocess.run([sys.executable, "-c", code, f"{SparkFiles.getRootDirectory()}/{package}", str(tmp_path / "f")], capture_output=True, text=True, cwd=tmp_path, env={"PATH": "/usr/bin:/bin"})
+    assert done.stdout.strip() == "100.0", done.stderr
 
 
 def test_entities(spark):

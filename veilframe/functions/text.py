@@ -19,7 +19,9 @@ def tokens(text: Column) -> Column:
 
 
 def is_corporate(text: Column) -> Column:
-    return F.coalesce(F.try_element_at(tokens(text), F.lit(-1)).isin(CORPORATE), F.lit(False))
+    """Whether the last word marks a company."""
+    edge = r"[^\p{L}\p{N}_]"
+    return F.coalesce(F.lower(text).rlike(rf"(?:^|{edge})(?:{'|'.join(CORPORATE)}){edge}*\z"), F.lit(False))
 
 
 def has_full_token(text: Column, least: int) -> Column:

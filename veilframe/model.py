@@ -13,7 +13,7 @@ S, I, L, D, B = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T
 BBOX = _struct(x0=D, y0=D, x1=D, y1=D)
 PAGES = _struct(doc_id=L, page_num=I, width=D, height=D, has_images=B)
 SPANS = _struct(doc_id=L, page_num=I, ord=I, text=S, bbox=BBOX, block_type=I)
-DETECTIONS = _struct(doc_id=L, page_num=I, ord=I, text=S, entity_type=S, score=D, bbox=BBOX, preserve_last=I, detector=S)
+DETECTIONS = _struct(doc_id=L, page_num=I, ord=I, text=S, entity_type=S, score=D, bbox=BBOX, preserve_last=I, detector=S, start=I, size=I)
 OCR_RAW = _struct(doc_id=L, page_num=I, ord=I, text=S, conf=S, left=D, top=D, width=D, height=D)
 OCR_WORDS = _struct(doc_id=L, page_num=I, ord=I, text=S, conf=I, bbox=BBOX)
 RESULTS = _struct(doc_id=L, input=S, output=S, detections=L, safety_passes=I, verification_passed=B, survivors=L)

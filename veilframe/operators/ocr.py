@@ -79,6 +79,7 @@ def detections(words: DataFrame) -> DataFrame:
     """Matched words as detections, score by confidence."""
     return words.select(
         "doc_id", "page_num", "ord", "text", F.lit("OCR").alias("entity_type"), (F.col("conf") / 100.0).alias("score"), "bbox", F.lit(0).alias("preserve_last"), F.lit("ocr").alias("detector"),
+        F.lit(0).alias("start"), F.length("text").alias("size"),
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from veilframe.cluster import grams, join_groups, stored
 from veilframe.functions import text as X
-from veilframe.operators.detect import COLUMNS, detection, hidden_box
+from veilframe.operators.detect import detections, empty, hidden_box, hit
 
 #: How a term is searched: whole words in a row, letters and digits with separators between, or as it is in either case.
 WORDS, SPACED, LITERAL = "words", "spaced", "literal"
@@ -115,7 +115,7 @@ def find_terms(spans: DataFrame, book: Dictionary, *, heavy: int | None = None)
     """
     marks = {r["m"] for r in book.terms.select(F.explode("keys").alias("k")).select(F.substring("k", 1, 1).alias("m")).distinct().collect()}
     if not marks:
-        return spans.where("false").select(*detection("NONE"), F.lit(None).cast("string").alias("subject_id"))
+        return empty(spans).withColumn("subject_id", F.lit(None).cast("string"))
     chosen = stored(rarest(spans, book.terms, marks))
     candidates = join_groups(located(spans, marks), chosen, ["key"], "n", KEY, heavy=heavy).select(*KEY, *TERM, "pattern", "n")
     text = F.col("text")
@@ -130,7 +130,8 @@ def find_terms(spans: DataFrame, book: Dictionary, *, heavy: int | None = None)
     keep = F.col("keep")
     hidden = X.hidden_length(F.col("hit.match"), keep)
     box = F.when(hidden.isNotNull(), hidden_box(F.col("bbox"), text, F.col("hit.start"), hidden)).otherwise(F.col("bbox"))
-    out = owned.select(*detection(F.col("entity"), F.col("hit.match"), bbox=box, keep=keep), "subject_id")
+    one = hit(F.col("entity"), F.col("hit.match"), F.col("hit.start"), bbox=box, keep=keep)
+    out = detections(owned.withColumn("_hits", F.array(one)), "subject_id")
     # One PERSON a span and subject, however many of its names are there.
     people = out.where("entity_type = 'PERSON'").dropDuplicates([*KEY, "subject_id"])
-    return out.where("entity_type <> 'PERSON'").unionByName(people).select(*COLUMNS, "subject_id")
+    return out.where("entity_type <> 'PERSON'").unionByName(people)

@@ -1,38 +1,30 @@
 """Plans made of the operators: run, dry run, verify, batch.
 
-Passes are unrolled: whole-span hits leave blocks only and kept suffixes no
-longer match, so a document is at rest after the first pass, and the third must
-find nothing. Each pass is checkpointed, so the next reads it and does not run
-it again; nothing is collected.
+A run repeats detection until nothing is found, semi-naively: a detector that
+looks at one span gives the same hits on the same text, so a later pass searches
+only the spans on which the pass before had hits, hidden or not; addresses look
+at neighbours, so they are looked for in all lines of documents in which a line
+has changed. Hits carry their ranges and redaction keeps lengths, so the spans
+are rewritten once, from the hits of all passes.
 """
 
 from __future__ import annotations
 
-import re
-import tempfile
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from veilframe.cluster import checkpoint, stored
 from veilframe.errors import NoTextLayerError, RedactionError, VerificationError
 from veilframe.operators import detect, ocr, redact, summaries, verify
+from veilframe.operators.redact import KEY
 from veilframe.profile import Profile
 from veilframe.sources import spans as sources
 
 MAX_PASSES = 3
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp())
-    return df.checkpoint(eager=True)
-
-
 @dataclass
 class Run:
     """What a run gives: redacted spans, detections of all passes, survivors and a row a document."""
@@ -43,6 +35,8 @@ class Run:
     results: DataFrame
     errors: DataFrame | None = None
     unsettled: DataFrame | None = field(default=None)
+    #: Spans that each pass searched.
+    searched: list[int] = field(default_factory=list)
 
 
 @dataclass
@@ -56,29 +50,47 @@ class Engine:
     granularity: str = "span"
     force_ocr: bool = False
 
-    def one_pass(self, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(detections, spans after them)."""
-        hits = detect.detect_all(spans, self.profile, self.threshold, self.contacts)
-        if self.guards:
-            hits = redact.guarded(hits, spans).where("rejected IS NULL").drop("rejected")
-        return hits, redact.redact_spans(spans, hits, self.granularity).drop("hits")
-
-    def settle(self, spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(spans at rest, detections with pass_num, documents that a third pass still finds things in)."""
-        every, unsettled = None, None
+    def found(self, delta: DataFrame, documents: DataFrame | None, n: int) -> tuple[DataFrame, int]:
+        """(hits of a pass before merging, stored; the spans searched)."""
+        seen = Observation(f"pass {n}")
+        every = detect.every_hit(delta.observe(seen, F.count(F.lit(1)).alias("spans")), self.profile, self.contacts, detect.wanted_entities(self.profile), self.threshold, documents)
+        every = stored(every)
+        return every, seen.get["spans"]
+
+    def kept(self, every: DataFrame, heights: DataFrame | None, spans: DataFrame) -> DataFrame:
+        """The hits of a pass that hide something: merged, and let through by the guards."""
+        hits = detect.merged(every) if detect.wanted_entities(self.profile) else every
+        return redact.guarded(hits, spans, heights=heights).where("rejected IS NULL").drop("rejected") if self.guards else hits
+
+    def settle(self, spans: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[int]]:
+        """(spans at rest, detections with pass_num, documents that a third pass still finds things in, spans searched by pass)."""
+        heights = stored(redact.median_heights(spans)) if self.guards else None
+        looks_around = any(a.strip() for a in self.profile.subject.addresses)
+        delta, documents, every, unsettled, searched = spans, spans, None, None, []
         for n in range(1, MAX_PASSES + 1):
-            hits, after = self.one_pass(spans)
-            hits = checkpoint(hits.withColumn("pass_num", F.lit(n)))
+            found, read = self.found(delta, documents, n)
+            searched.append(read)
+            hits = stored(self.kept(found, heights, spans).withColumn("pass_num", F.lit(n)))
             every = hits if every is None else every.unionByName(hits)
             if hits.isEmpty():
                 break
             if n == MAX_PASSES:
                 unsettled = hits.select("doc_id").distinct()
-            spans = checkpoint(redact.redact_spans(spans, hits.drop("pass_num"), self.granularity).drop("hits"))
-        return spans, every, unsettled if unsettled is not None else every.where("false").select("doc_id")
+                break
+            touched = found.select(*KEY).distinct()
+            if looks_around:
+                changed = spans.join(every.select("doc_id").distinct(), "doc_id", "left_semi")
+                documents = stored(redact.redact_spans(changed, every, self.granularity).drop("hits"))
+                delta = documents.join(touched, KEY, "left_semi")
+                # A line outside may be hit by an address alone, and then has no hits of its own.
+            else:
+                delta = stored(redact.redact_spans(delta.join(touched, KEY, "left_semi"), hits, self.granularity).drop("hits"))
+        settled = checkpoint(redact.redact_spans(spans, every, self.granularity).drop("hits"))
+        return settled, every, unsettled if unsettled is not None else every.where("false").select("doc_id"), searched
 
     def run(self, spans: DataFrame, ocr_raw: DataFrame | None = None, check: bool = True) -> Run:
-        settled, hits, unsettled = self.settle(spans)
+        settled, hits, unsettled, searched = self.settle(spans)
+        ranged = hits
         if ocr_raw is not None:
             text = settled.groupBy("doc_id", "page_num").agg(F.sum(F.length(F.trim("text"))).alias("n"))
             textual = text.where("n >= 50").select("doc_id", "page_num")
@@ -86,8 +98,13 @@ class Engine:
             words = ocr.matches(ocr.ocr_words(ocr.restricted(ocr_raw, pages, self.force_ocr)), self.profile)
             hits = hits.unionByName(ocr.detections(words).withColumn("pass_num", F.lit(0)))
         # Totals, reports and the audit log all read the survivors, so they are looked for once.
-        survivors = checkpoint(verify.verify(settled, self.profile, hits, self.threshold)) if check else hits.where("false").drop("pass_num")
-        return Run(settled, hits, survivors, self.results(spans, hits, survivors, check), unsettled=unsettled)
+        survivors = hits.where("false").drop("pass_num")
+        if check:
+            again = checkpoint(verify.verify(settled, self.profile, hits, self.threshold))
+            # What a hit was to hide and still shows, on spans where a second search finds nothing.
+            shown = redact.exposed(settled, ranged.drop("pass_num"), self.granularity).dropDuplicates([*KEY, "start", "size"]).join(again, KEY, "left_anti")
+            survivors = checkpoint(again.unionByName(shown))
+        return Run(settled, hits, survivors, self.results(spans, hits, survivors, check), unsettled=unsettled, searched=searched)
 
     def results(self, spans: DataFrame, hits: DataFrame, survivors: DataFrame, check: bool = True) -> DataFrame:
         """(doc_id, detections, safety_passes, verification_passed or null, survivors)."""

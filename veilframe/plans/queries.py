@@ -480,12 +480,15 @@ def address_lines(spark, sf):
     return address_flags(spans(spark, sf), "doc_id", "ord")
 
 
-def address_groups_sql(wanted: list[str]) -> str:
+SUPPLIED = f"{ADDRESSES}, own AS (SELECT s_suppkey // 6 AS doc, s_suppkey % 6 AS ord, text FROM a)"
+
+
+def address_groups_sql(wanted: list[str], source: str = SUPPLIED) -> str:
     """Lines walked through in order: a line goes on with the open group, or opens one; then the first address that fits."""
     normal = f"array_to_string(list_transform(list_filter(regexp_split_to_array(replace(lower(regexp_replace(g, '([0-9]{{5}})-[0-9]{{4}}', '\\1', 'g')), ',', ' '), '\\s+'), lambda t: t <> ''), lambda t: {case_types("regexp_replace(t, '[.]$', '')")}), ' ')"
     values = ", ".join(f"({i}, '{w}')" for i, w in enumerate(wanted))
-    return f"""WITH RECURSIVE {ADDRESSES}, flags AS (SELECT s_suppkey // 6 AS doc, s_suppkey % 6 AS ord, text, row_number() OVER (PARTITION BY s_suppkey // 6 ORDER BY s_suppkey) AS n, 72 + 3.0 * length(text) AS centre, greatest(6.0 * length(text), 50) AS reach,
-{CANDIDATE} AS candidate, {CONTINUES} AS continues, {PROSE} AS prose FROM a),
+    return f"""WITH RECURSIVE {source}, flags AS (SELECT doc, ord, text, row_number() OVER (PARTITION BY doc ORDER BY ord) AS n, 72 + 3.0 * length(text) AS centre, greatest(6.0 * length(text), 50) AS reach,
+{CANDIDATE} AS candidate, {CONTINUES} AS continues, {PROSE} AS prose FROM own),
 walk AS (SELECT DISTINCT doc, 0::BIGINT AS n, NULL::BIGINT AS seed, 0 AS taken, 0.0::DOUBLE AS centre, 0.0::DOUBLE AS reach FROM flags
 UNION ALL SELECT doc, n, CASE WHEN goes THEN seed WHEN candidate THEN n END, CASE WHEN goes THEN taken + 1 ELSE 0 END, CASE WHEN goes THEN centre ELSE own_centre END, CASE WHEN goes THEN reach ELSE own_reach END
 FROM (SELECT w.doc, f.n, w.seed, w.taken, w.centre, w.reach, f.candidate, f.centre AS own_centre, f.reach AS own_reach, coalesce(w.seed IS NOT NULL AND w.taken < 3 AND abs(f.centre - w.centre) <= w.reach AND NOT f.prose AND f.continues, false) AS goes FROM walk w JOIN flags f ON f.doc = w.doc AND f.n = w.n + 1)),
@@ -500,7 +503,7 @@ SELECT f.doc AS doc_id, f.ord::INT AS ord, trim(f.text) AS text, 'LOCATION' AS e
 WANTED_ADDRESSES = ["12 Main Street, Springfield, IL 00444", "7 Old Mill Road"]
 
 
-@query(address_groups_sql([A.normalize_text(w) for w in WANTED_ADDRESSES]))
+@query(address_groups_sql(["12 main street springfield il 00444", "7 old mill road"]))
 def address_groups(spark, sf):
     rows = addresses(spark, sf).select(F.floor(F.col("s_suppkey") / 6).alias("doc_id"), F.lit(0).alias("page_num"), (F.col("s_suppkey") % 6).cast("int").alias("ord"), "text")
     placed = rows.withColumn("bbox", S.place(F.col("ord"), F.col("text"))).withColumn("block_type", F.lit(0))
@@ -508,6 +511,24 @@ def address_groups(spark, sf):
     return detect.detect_addresses(placed, profile).select("doc_id", "ord", "text", "entity_type", F.round("score", 6).alias("score"))
 
 
+#: Lines of documents, some of which an address takes the place of.
+PLANTED = """own AS (SELECT doc_id AS doc, ord, CASE (doc_id * 7 + ord) % 9 WHEN 0 THEN doc_id % 10 || ' Main St., Springfield' WHEN 1 THEN 'Suite ' || ord % 2 WHEN 2 THEN 'Springfield, IL 62701-1234' ELSE trim(line) END AS text
+FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord FROM documents) WHERE trim(line) <> '')"""
+
+
+@query(address_groups_sql(["7 main street springfield il 62701", "4 main street springfield suite 1"], PLANTED))
+def address_documents(spark, sf):
+    """Addresses planted in all documents: a street line, a suite, a city."""
+    k = (F.col("doc_id") * 7 + F.col("ord")) % 9
+    text = (
+        F.when(k == 0, F.concat((F.col("doc_id") % 10).cast("string"), F.lit(" Main St., Springfield"))).when(k == 1, F.concat(F.lit("Suite "), (F.col("ord") % 2).cast("string")))
+        .when(k == 2, "Springfield, IL 62701-1234").otherwise(F.col("text"))
+    )
+    planted = spans(spark, sf).withColumn("text", text).withColumn("bbox", S.place(F.col("ord"), F.col("text")))
+    profile = Profile.model_validate({"subject": {"display_name": "x", "addresses": ["7 Main Street, Springfield, IL 62701", "4 Main St, Springfield, Suite 1"]}})
+    return detect.detect_addresses(planted, profile).select("doc_id", "ord", "text", "entity_type", F.round("score", 6).alias("score"))
+
+
 # Redaction, guards, verification.
 
 
@@ -561,6 +582,50 @@ def median_height(spark, sf):
     return redact.median_heights(spans(spark, sf))
 
 
+OVERLAPPING = ("d w", "widget", "t s", "e wi")
+
+
+def covered_sql(i: str) -> str:
+    return " OR ".join(f"(position('{p}' IN p_name) > 0 AND {i} >= position('{p}' IN p_name) AND {i} < position('{p}' IN p_name) + {len(p)})" for p in OVERLAPPING)
+
+
+@query(f"""WITH r AS (SELECT p_partkey AS doc_id, p_name, array_to_string(list_transform(range(1, length(p_name) + 1), lambda i: CASE WHEN {covered_sql("i")} THEN '█' ELSE substr(p_name, i, 1) END), '') AS text FROM part)
+SELECT doc_id, text, ({" + ".join(f"contains(p_name, '{p}')::INT" for p in OVERLAPPING)})::BIGINT AS detections, true AS verification_passed FROM r""")
+def redact_overlaps(spark, sf):
+    """Matches that overlap, hidden character by character; a run over part names."""
+    patterns = [{"name": f"P{i}", "regex": p} for i, p in enumerate(OVERLAPPING)]
+    profile = Profile.model_validate({"subject": {"display_name": " x", "custom_patterns": patterns}, "detection": {"full_token_min_length": 9}})
+    run = Engine(profile, granularity="match").run(S.lines(table(spark, sf, "part"), "p_partkey", "p_name"))
+    return run.spans.select("doc_id", "text").join(run.results, "doc_id").select("doc_id", "text", "detections", "verification_passed")
+
+
+@query("""SELECT o_orderkey AS doc_id, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 2 ELSE 1 END::BIGINT AS detections, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0 END AS safety_passes,
+true AS verification_passed, 0::BIGINT AS survivors FROM orders""")
+def second_pass(spark, sf):
+    """Orders as two lines whose boxes overlap: the date under a hidden priority is left to the second pass."""
+    o = table(spark, sf, "orders")
+    text = F.concat(F.lit("priority "), "o_orderpriority", F.lit("\nplaced "), F.date_format("o_orderdate", "yyyy-MM-dd"))
+    rows = S.lines(o.select("o_orderkey", text.alias("text")), "o_orderkey", "text")
+    rows = rows.withColumn("bbox", F.struct("bbox.x0", "bbox.y0", "bbox.x1", (F.col("bbox.y1") + 8).alias("y1")))
+    subject = {"display_name": " x", "custom_patterns": [{"name": "SOON", "regex": "[12]-[A-Z]+"}]}
+    profile = Profile.model_validate({"subject": subject, "detection": {"full_token_min_length": 9, "use_presidio": True, "presidio_entities": ["DATE_TIME"]}})
+    return Engine(profile).run(rows).results
+
+
+@query("""WITH l AS (SELECT l_orderkey * 8 + l_linenumber AS ord, l_returnflag, strftime(l_shipdate, '%Y-%m-%d') AS day FROM lineitem), r AS (SELECT DISTINCT ord + d AS ord FROM l, (VALUES (-1), (0), (1)) v(d) WHERE l_returnflag = 'R')
+SELECT ord::INT AS ord, 'RETURNED' AS entity_type, 'R ' AS text FROM l WHERE l_returnflag = 'R' UNION ALL SELECT ord::INT, 'DATE_TIME', day FROM l WHERE ord NOT IN (SELECT ord FROM r)""")
+def merge_one_page(spark, sf):
+    """All line items on one page, each line's box reaching into the lines next to it."""
+    ord_ = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("int")
+    text = F.concat("l_returnflag", F.lit(" shipped "), F.date_format("l_shipdate", "yyyy-MM-dd"))
+    rows = table(spark, sf, "lineitem").select(F.lit(0).cast("long").alias("doc_id"), F.lit(0).alias("page_num"), ord_.alias("ord"), text.alias("text"))
+    top = F.col("ord") * 14.0
+    rows = rows.withColumn("bbox", F.struct(F.lit(72.0).alias("x0"), top.alias("y0"), F.lit(200.0).alias("x1"), (top + 20).alias("y1"))).withColumn("block_type", F.lit(0))
+    subject = {"display_name": " x", "custom_patterns": [{"name": "RETURNED", "regex": "^R "}]}
+    profile = Profile.model_validate({"subject": subject, "detection": {"full_token_min_length": 9, "use_presidio": True, "presidio_entities": ["DATE_TIME"]}})
+    return detect.detect_all(rows, profile).select("ord", "entity_type", "text")
+
+
 @query(rf"""WITH {SPANS}, n AS (SELECT doc_id, sum(len(regexp_extract_all(text, '{NUMBER}'))) AS n FROM spans GROUP BY doc_id)
 SELECT doc_id, n::BIGINT AS detections, 0 AS safety_passes, true AS verification_passed, 0::BIGINT AS survivors FROM n""")
 def safety_net(spark, sf):
