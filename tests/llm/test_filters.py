@@ -275,6 +275,27 @@ def test_broken_pages_do_not_crash(page):
     assert isinstance(html_text.main_text(page), str)
 
 
+KEEP = "<p>" + "KEEP this long text of the article that goes on for many words and says a lot. " * 4 + "</p>"
+DROP = KEEP.replace("KEEP", "DROP") * 9
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div class="layout sidebar-right"><article>{KEEP}</article></div>', f'<div class="columns-with-sidebar"><article>{KEEP}</article></div>', f'<div id=page class="nav-open"><main>{KEEP}</main></div>',
+        f'<div class="page-with-sidebar">{KEEP}</div>', f'<div class="sidebar">{KEEP}{KEEP}</div><div class=ad>DROP</div>', f'<article>{KEEP}<section id="social-history">{KEEP}</section></article>',
+        f'<article>{KEEP}<table id="menu-prices"><tr><td>{KEEP}</table></article>', f'<article>{KEEP}<ul class="share-classes"><li>{KEEP}</ul></article>', f'<article>{KEEP}<div class="reply-of-the-minister">{KEEP}</div></article>',
+        f'<form id=f><div id=main>{KEEP}</div><div class=ad>DROP</div></form>', f"<article><p>short KEEP</p></article><article>{KEEP}{KEEP}</article>", f"<div>{KEEP}{KEEP}</div><div><p>short KEEP</p></div><div>{KEEP}{KEEP}</div>",
+        f'<article>{KEEP}</article><section class="comments"><article>{DROP}</article></section>', f'<main><article>{KEEP}</article><section id="comments">{DROP}</section><div class="related-posts">DROP</div></main>',
+        f'<nav>DROP</nav><div class="site-header">DROP</div><div>{KEEP}</div><div class="cookie-banner">DROP</div><div id="comment-list">DROP</div><footer>DROP</footer>',
+        f'<article><header class="article-header"><h1>KEEP head</h1></header>{KEEP}</article><aside>{DROP}</aside>', f"<div>{KEEP}</div><aside>{DROP}</aside>",
+    ],
+)
+def test_marks_drop_parts_and_no_wrappers(page):
+    text = html_text.main_text(page)
+    assert text.count("KEEP") == page.count("KEEP") and "DROP" not in text
+
+
 def test_cut_off_page_keeps_its_article():
     page = "<html><body><nav><a>Menu</a><article><h1>Head</h1><p>Some text that goes on"
     assert html_text.main_text(page) == "Head\nSome text that goes on"

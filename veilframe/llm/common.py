@@ -11,13 +11,7 @@ back at the end of each task.
 from __future__ import annotations
 
 import ctypes
-import os
-import re
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,11 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe import cluster
+from veilframe.cluster import FAN, HEAVY_ROWS, checkpoint, checkpoint_dir, stored  # noqa: F401 - the operators take them from here
+
 SLICE_BYTES = 4 << 20
 BATCH_ROWS = 1_000
-#: Narrow rows of one key (some MB) beyond which a join deals them out, and the copies of the key's row that they then meet.
-HEAVY_ROWS = 65_536
-FAN = 64
 
 
 def col(name: str) -> Column:
@@ -38,18 +32,13 @@ def col(name: str) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each context, and bound what reaches Python at once."""
+    """Send this package to the executors and bound what reaches Python at once."""
     bound_batches(spark)
-    sc = spark.sparkContext
-    if getattr(sc, "_veilframe_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    target = os.path.join(tempfile.mkdtemp(), "veilframe_pkg.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, str(p.relative_to(top.parent)))
-    sc.addPyFile(target)
-    sc._veilframe_shipped = True
+    cluster.ship(spark)
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, by: list[str], *, heavy: int | None = None) -> DataFrame:
+    return cluster.join_groups(rows, groups, on, size, by, heavy=HEAVY_ROWS if heavy is None else heavy)
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -59,58 +48,6 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, a temporary one in local mode only."""
-    sc = spark.sparkContext
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = tempfile.mkdtemp()
-    sc.setCheckpointDir(named)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage; the copy lies where every executor can read it."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """The rows as a Parquet table in the checkpoint folder, deleted when the driver ends: smaller than a checkpoint."""
-    spark = df.sparkSession
-    name = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(name)
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(name)
-
-
-def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, by: list[str], *, heavy: int | None = None) -> DataFrame:
-    """Inner join of `rows` with `groups`, which has one row a key and in `size` the number of rows of that key.
-
-    Rows of keys that have more than `heavy` (HEAVY_ROWS if none) are dealt out by a hash of `by` and meet one of `FAN` copies of the key's row, so no
-    task gets all rows of a key. The copies are at most FAN / heavy of the rows; a table of known size, broadcast only if small.
-    """
-    heavy = HEAVY_ROWS if heavy is None else heavy
-    values = F.struct(*[c for c in groups.columns if c not in on])
-    copies = F.explode(F.sequence(F.lit(0), F.lit(FAN - 1))).alias("_fan")
-    many = stored(groups.where(F.col(size) > heavy).select(*on, values.alias("_many"), copies))
-    if many.isEmpty():
-        return rows.join(groups, on)
-    dealt = rows.withColumn("_fan", F.pmod(F.xxhash64(F.lit("fan"), *by), F.lit(FAN)).cast("int")).join(many, [*on, "_fan"], "left")
-    # Dealt rows have their group already; a salt of their own spreads them over the exchange of the other join.
-    salt = F.when(F.col("_many").isNull(), F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(F.lit("salt"), *by), F.lit(1 << 30)).cast("int"))
-    few = groups.where(F.col(size) <= heavy).select(*on, F.lit(0).alias("_salt"), values.alias("_few"))
-    joined = dealt.withColumn("_salt", salt).join(few, [*on, "_salt"], "left")
-    found = joined.select(*rows.columns, F.coalesce("_many", "_few").alias("_group")).where("_group IS NOT NULL")
-    return found.select(*rows.columns, "_group.*")
-
-
 #: What operators remember in a worker process: the owner, and how to forget it.
 _MEMORIES: list[tuple[str, Callable[[], None]]] = []
 

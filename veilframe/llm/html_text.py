@@ -6,10 +6,16 @@ without what is linked; a Gaussian smooths the ratios along the page, menus,
 adverts and footers included, and the lines over a multiple of their deviation
 are the content cluster. The regions that hold such lines, an article or main
 element before a section or div, are the content, and are kept whole with the
-lists and sections in them. Marks only exclude: parts that are menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles or reader comments
-by their element or role or by their class or id; in an article those names
-count on sectioning elements, and on others only as the one class they have.
+lists and sections in them; so are regions that lie between them, or in an
+article, unless most of their text is linked.
+
+Marks only exclude: parts that are menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles or reader comments by their element or role, or
+by a class or an id that names such a part and nothing else: each word of it is
+a part's or only says where or what kind of box it is. In an article those names
+count on sectioning elements, and on others only as the one class they have. A
+wrapper is no part, whatever its name: one that holds all the articles and main
+elements of the page, or where there are none, over half of the text.
 
 Defined results: null and empty html and pages without content give "" and 0;
 a page with text but no line in the cluster gives the region of the best line;
@@ -47,46 +53,70 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NEVER = frozenset("head script style noscript template iframe object svg canvas audio video map button select textarea option title".split())
 AROUND = frozenset("nav aside footer header form menu dialog search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert toolbar".split())
-#: Names of page parts in classes and ids, as whole words of them; those of OUTSIDE and of headers count outside articles only.
-PARTS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adsbygoogle|banner|sponsor(?:ed|s)?|promo(?:tion)?s?|nav|navbar|navigation|menu|breadcrumbs?|sidebar|aside|footer|"
-    r"cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|disqus|respond|reply|replies|"
-    r"share|sharing|social|related|recommended|recommendations|pagination|pager|toolbar)(?=$|[\s_-])",
-    re.I,
+#: Words for page parts in classes and ids; those of OUTSIDE count outside articles only.
+PARTS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense adsbygoogle banner sponsor sponsored sponsors promo promos promotion promotions nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer "
+    "cookie cookies consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist disqus respond reply replies "
+    "share sharing social related recommended recommendations pagination pager toolbar".split()
+)
+OUTSIDE = PARTS | frozenset("discussion trending popular skip copyright legal disclaimer header masthead topbar".split())
+#: Words that say where a part is or what kind of box: a name may have them besides.
+BOXES = frozenset(
+    "site page main top bottom left right side primary secondary global mobile desktop sticky fixed user reader readers post posts article articles entry stories links link buttons button icons icon list lists item items body "
+    "area section box block bar panel wrapper wrap container inner outer content form widget widgets slot unit zone group row col column bottombar thread title heading media js id".split()
 )
-OUTSIDE = re.compile(r"(?:^|[\s_-])(?:discussion|trending|popular|skip|copyright|legal|disclaimer)(?=$|[\s_-])", re.I)
+#: What these words head is the text's own: article-header, post-title.
+OF_TEXT = frozenset("article post entry content".split())
 #: What excludes other elements of an article, as their only class.
-ALONE = re.compile(r"\s*(?:ads?|adverts?|advertisements?|adsbygoogle|sponsored|notices?|comments?)\s*", re.I)
-HEADERS = re.compile(r"(?:^|[\s_-])(?<!article[_-])(?<!post[_-])(?<!entry[_-])(?<!content[_-])(?:header|masthead|topbar)(?=$|[\s_-])", re.I)
-#: Names that tell what a layout has or lacks, not what the element is.
-LAYOUT = re.compile(r"(?:^|(?<=\s))(?:with|has|no|without|hide|show|is)[_-]\S+", re.I)
+ALONE = frozenset("ad ads advert adverts advertisement advertisements adsbygoogle sponsored notice notices comment comments".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def is_part(tag: str, attrs: dict[str, str | None], article: bool) -> bool:
-    """Whether the element is no content by its own marks."""
+def names_part(name: str, article: bool) -> bool:
+    """Whether a class or an id names a page part and nothing else."""
+    words = [w for w in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])|(?<=[a-z])(?=[0-9])", name) if w]
+    words = [w.lower() for w in words if not w.isdigit()]
+    parts = PARTS if article else OUTSIDE
+    if not any(w in parts for w in words) or (words[0] in OF_TEXT and words[-1] in ("header", "content", "body")):
+        return False
+    return all(w in parts or w in BOXES for w in words)
+
+
+#: No content for certain; an element of that kind, which may have been left open before an article; a name or a form, which may stand around a whole page.
+HARD, KIND, SOFT = 3, 2, 1
+
+
+def mark(tag: str, attrs: dict[str, str | None], article: bool) -> int:
+    """Whether the element is no content: for certain, or by a name that a wrapper of the content may have as well."""
     if (attrs.get("role") or "").lower() in ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true" or HIDDEN.search(attrs.get("style") or ""):
-        return True
+        return HARD
     if tag in ("body", "html", "main"):
-        return False
+        return 0
+    classes = (attrs.get("class") or "").split()
     if article and tag not in SECTIONING:
-        return bool(ALONE.fullmatch(attrs.get("class") or ""))
-    named = LAYOUT.sub("", f"{attrs.get('class') or ''} {attrs.get('id') or ''}")
-    return bool(PARTS.search(named) or not article and (HEADERS.search(named) or OUTSIDE.search(named)))
+        return SOFT if len(classes) == 1 and classes[0].lower() in ALONE else 0
+    names = [*classes, *(attrs.get("id") or "").split()]
+    return SOFT if any(names_part(n, article) for n in names) else 0
 
 
 class Blocks(HTMLParser):
-    """Blocks of a page (text, link characters, region, in an article, no content), and its lines (characters, tags, link characters, block or -1)."""
+    """Blocks of a page (text, link characters, region, in an article, mark), and its lines (characters, tags, link characters, block or -1).
+
+    `marks` has for each marked element the mark around it, or 0, and its kind; `articles` the mark around
+    each article and main element that has none itself.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, int, int, bool, bool]] = []
+        self.blocks: list[tuple[str, int, int, bool, int]] = []
         self.lines: list[tuple[int, int, int, int]] = []
         self.parts: list[str] = []
         self.open: list[tuple[int, int, int]] = []  # lines of the block at hand
         self.chars = self.tags = self.links = self.in_link = 0
         self.above = [-1]  # the region around each region
-        self.stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]  # tag, region, in an article, no content, never text
+        self.marks: list[tuple[int, int]] = [(0, 0)]
+        self.articles: list[int] = []
+        self.stack: list[tuple[str, int, bool, int, bool]] = [("", 0, False, 0, False)]  # tag, region, in an article, mark, never text
 
     def end_line(self) -> None:
         if self.chars or self.tags:
@@ -117,19 +147,21 @@ class Blocks(HTMLParser):
             return
         _, region, article, part, never = self.stack[-1]
         attrs = dict(attrs)
-        marked = is_part(tag, attrs, article)
+        marked = mark(tag, attrs, article)
         if tag in NEVER or marked or tag in CONTAINERS or tag == self.stack[-1][0]:
             if tag not in BLOCKS and (tag in NEVER or marked):
                 self.flush()
             if tag in REGIONS and not article:
                 self.above.append(region)
                 region = len(self.above) - 1
-            if tag in ("article", "main") and not marked:
-                outer = any(x[3] for x in self.stack if x[0] not in AROUND)
-                self.stack.append((tag, region, True, outer, never))
-            else:
-                own = tag in NEVER or marked or (tag in AROUND and not (tag == "header" and article))
-                self.stack.append((tag, region, article, part or own, never or tag in NEVER))
+            around = tag in AROUND and not (tag == "header" and article)
+            if tag in NEVER or marked or around:
+                self.marks.append((part, HARD if tag in NEVER or marked == HARD else KIND if around and tag != "form" else SOFT))
+                part = len(self.marks) - 1
+            elif tag in ("article", "main"):
+                article = True
+                self.articles.append(part)
+            self.stack.append((tag, region, article, part, never or tag in NEVER))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -177,10 +209,36 @@ def parse(html: str) -> Blocks:
     return parser
 
 
+def excluded(page: Blocks) -> list[bool]:
+    """For each mark, whether what it is around is no content: not if it is around the content itself."""
+    marks = page.marks
+
+    def within(m: int) -> set[int]:
+        out = set()
+        while m:
+            out.add(m)
+            m = marks[m][0]
+        return out
+
+    certain = lambda own: any(marks[x][1] == HARD for x in own)
+    chars, every = [0] * len(marks), 0
+    for text, _, _, _, m in page.blocks:
+        if not certain(own := within(m)):
+            every += len(text)
+            for x in own:
+                chars[x] += len(text)
+    seen = [own for m in page.articles if not certain(own := within(m))]
+    around = set.intersection(*seen) if seen else {m for m in range(1, len(marks)) if marks[m][1] == SOFT and 2 * chars[m] > every}
+    out = [False] * len(marks)
+    for m in range(1, len(marks)):  # a mark lies behind the one around it
+        out[m] = out[marks[m][0]] or m not in around
+    return out
+
+
 def main_text(html: str, sigma: float = SIGMA, factor: float = LAMBDA) -> str:
     page = parse(html) if html else Blocks()
-    blocks = page.blocks
-    able = [not b[4] for b in blocks]
+    blocks, gone = page.blocks, excluded(page)
+    able = [not gone[b[4]] for b in blocks]
     if any(a and b[3] for a, b in zip(able, blocks, strict=True)):
         able = [a and b[3] for a, b in zip(able, blocks, strict=True)]
     if not any(able):
@@ -191,6 +249,13 @@ def main_text(html: str, sigma: float = SIGMA, factor: float = LAMBDA) -> str:
     chosen = {blocks[b][2] for x, b in lines if x >= threshold and 2 * blocks[b][1] < len(blocks[b][0])}
     if not chosen:
         chosen = {blocks[max(lines)[1]][2]}
+    # Regions with few words between those of the content, or in an article, belong to it unless they are links.
+    at = [i for i, b in enumerate(blocks) if able[i] and b[2] in chosen]
+    size, linked = {}, {}
+    for i, b in enumerate(blocks):
+        if able[i] and (b[3] or at[0] < i < at[-1]):
+            size[b[2]], linked[b[2]] = size.get(b[2], 0) + len(b[0]), linked.get(b[2], 0) + b[1]
+    chosen |= {r for r in size if 2 * linked[r] < size[r]}
     kept = []
     for region, above in enumerate(page.above):  # a region lies behind the one around it
         kept.append(region in chosen or above > 0 and kept[above])
