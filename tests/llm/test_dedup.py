@@ -274,6 +274,38 @@ def test_the_automaton_decides(monkeypatch):
     assert not len(slot(ks.tolist())[0])
 
 
+def test_windows_are_compared_by_words(spark, monkeypatch):
+    """Where all windows of a slot have one hash, the result is the same."""
+    r = np.random.default_rng(3)
+    flat = r.integers(0, 3, 4000).astype(np.int32)
+    at = np.nonzero(r.random(3980) < 0.7)[0]
+    seen, want = set(), []
+    for i in at.tolist():
+        w = tuple(flat[i : i + 6].tolist())
+        want.append(w not in seen)
+        seen.add(w)
+    assert substring_dedup.firsts(flat, at, 6).tolist() == want
+    real = substring_dedup.windows
+    monkeypatch.setattr(substring_dedup, "windows", lambda hashes, width: real(hashes, width) % np.uint64(5))
+    assert substring_dedup.firsts(flat, at, 6).tolist() == want
+    monkeypatch.setattr(substring_dedup, "windows", lambda hashes, width: real(hashes, width) * np.uint64(0))
+    assert substring_dedup.firsts(flat, at, 6).tolist() == want
+
+
+def test_streamed_texts_are_found_without_their_hashes(monkeypatch):
+    """What a slot reads of a streamed text is its words: forged hashes of them change nothing."""
+    words = ["p%d" % i for i in range(40)]
+    texts = [" ".join(words).encode(), " ".join(["x", *words, "y"]).encode()]
+    flat, starts, counts = substring_dedup.layout(texts)
+    ks = np.unique(substring_dedup.least_seeds(flat, starts, counts)[1][:21]).view(np.int64).tolist()
+    zip_ = zstandard.ZstdCompressor().compress
+    table = pa.table({"id": [1, 2], "mark": [0, 0], "packed": [zip_(t) for t in texts], "ks": pa.array([ks, None], pa.list_(pa.int64())), "stream": [True, True]})
+    want = [x.tolist() for x in np.array(substring_dedup.windows_of(table), dtype=object)[[0, 1, 3]]]
+    real = substring_dedup.WORDS.of
+    monkeypatch.setattr(substring_dedup, "WORDS", type("Forged", (), {"of": staticmethod(lambda lists: real(lists) if lists[0][0] == b"p0" else (np.zeros(sum(map(len, lists)), np.uint64), None))}))
+    assert [x.tolist() for x in np.array(substring_dedup.windows_of(table), dtype=object)[[0, 1, 3]]] == want
+
+
 def test_located_phrases():
     texts = [b"a b c d e f g h i", b"", b"x a b c d e f g h"]
     flat, starts, counts = substring_dedup.layout(texts)

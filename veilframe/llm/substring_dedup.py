@@ -12,16 +12,19 @@ automaton is compiled from the words of its owners, whatever documents it will
 read; shards follow `SHARD_BYTES` of text.
 
 Locate: every document that has a phrase of a shard is streamed whole through
-that shard's automaton, which finds all occurrences: no position is carried to
-it. A shard that very many documents stream through is split into slots, each
-with the automaton and a bounded part of the documents. A window of `WIDTH`
-words belongs to the shard of its least seed, so all of its occurrences meet
-there; the first in (document, start) order stays, the others cover words to
-remove. Slots of a split shard agree on the first by a grouped minimum, to which
-a slot gives a window once.
-
-Windows are compared by 64 bits of hash, so of n candidates about n * n / 2**65
-pairs agree by chance.
+that shard's automaton, whose letters are the words themselves. It alone says
+where phrases occur: no position and no hash of a streamed text is used. Each
+window of `WIDTH` words around an occurrence is a candidate. All occurrences of
+a repeated window meet in the shard of its least seed, and what a shard takes
+for a repeat is one, so the union over shards is exact. The first in (document,
+start) order stays, the others cover words to remove. A shard that very many
+documents stream through is split into slots, each with the automaton and a
+bounded part of the documents; slots agree on the first by a grouped minimum, to
+which a slot gives a window once.
+
+Windows of a slot are compared word by word, those of different slots by 128
+bits of digest. A phrase whose 64-bit hash an unlike phrase shares could be
+missed: of n recurring phrases about n * n / 2**65 pairs do by chance.
 
 Defined results: null and wordless texts have no words and lose none; rows
 without id are passed through whole and count as no earlier occurrence; rows
@@ -33,6 +36,8 @@ an empty table; columns other than those carried are ignored.
 from __future__ import annotations
 
 import re
+from hashlib import blake2b
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -43,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm.common import FAN, arrow_map, begin, checkpoint, col, end, field, join_groups, ship, slices, stored, text_bytes
-from veilframe.llm.shingles import WORDS, sliding, windows
+from veilframe.llm.shingles import WORDS, mix, sliding, windows
 
 WIDTH = 20
 PHRASE = 8
@@ -51,7 +56,6 @@ SHARD_BYTES = 2 << 20
 #: Text that a slot of a split shard reads, as far as documents are of like length.
 SLOT_BYTES = 4 << 20
 
-_MOST = np.iinfo(np.uint64).max
 DIGITS = 3
 
 
@@ -108,6 +112,15 @@ def seeds(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def numbered(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """The words of all texts on end as numbers, each text's first place, its number of words, and the word of each number."""
+    numbers: dict[bytes, int] = {}
+    lists = [[numbers.setdefault(w, len(numbers)) for w in t.split()] for t in texts]
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat = np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum()))
+    return flat, np.cumsum(counts) - counts, counts, list(numbers)
+
+
 def located(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, phrases: np.ndarray) -> np.ndarray:
     """For each place, whether one of the phrases that begin at `phrases` occurs there.
 
@@ -123,8 +136,8 @@ def located(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, phrases: n
     text = letters.tobytes().decode("utf-32-le", "surrogatepass")
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     size = PHRASE * DIGITS
-    for at in (DIGITS * (phrases + shift[phrases])).tolist():
-        automaton.add_word(text[at : at + size])
+    for phrase in {text[at : at + size] for at in (DIGITS * (phrases + shift[phrases])).tolist()}:
+        automaton.add_word(phrase)
     automaton.make_automaton()
     hit = np.zeros(len(letters), bool)
     ends = np.fromiter((end for end, _ in automaton.iter(text)), np.int64)
@@ -132,43 +145,65 @@ def located(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray, phrases: n
     return hit[np.arange(len(flat)) + shift]
 
 
-def compiled(g: np.ndarray, starts: np.ndarray, counts: np.ndarray, owned: list[np.ndarray | None]) -> np.ndarray:
-    """One place of each phrase that the texts own by its hash."""
-    places = []
-    for start, n, ks in zip(starts.tolist(), counts.tolist(), owned, strict=True):
-        if ks is not None and n >= PHRASE:
-            own = g[start : start + n - PHRASE + 1]
-            places.append(start + np.nonzero(np.isin(own, ks))[0])
-    at = np.concatenate(places) if places else np.zeros(0, np.int64)
-    return at[np.unique(g[at], return_index=True)[1]]
+def compiled(texts: list[bytes], starts: np.ndarray, owned: list[np.ndarray | None]) -> np.ndarray:
+    """The places of the phrases that the texts own, which they know by hash."""
+    places = [np.zeros(0, np.int64)]
+    for text, start, ks in zip(texts, starts.tolist(), owned, strict=True):
+        if ks is not None:
+            g = windows(WORDS.of([text.split()])[0], PHRASE)
+            places.append(start + np.nonzero(np.isin(g, ks))[0])
+    return np.concatenate(places)
+
+
+def firsts(flat: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """Whether no window of `width` words before one in `at` has the same words; sorted by hash, compared by words."""
+    if not len(at):
+        return np.zeros(0, bool)
+    hashes = windows(mix(flat.astype(np.uint64) + np.uint64(1)), width)[at]
+    order = np.argsort(hashes, kind="stable")
+    new = np.concatenate([[True], np.diff(hashes[order]) != 0])
+    head = order[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+    out, odd = np.zeros(len(at), bool), []
+    out[order[new]] = True
+    columns = np.arange(width)
+    for i in range(0, len(at), 50_000):
+        own, of = order[i : i + 50_000], head[i : i + 50_000]
+        unlike = (flat[at[own][:, None] + columns] != flat[at[of][:, None] + columns]).any(1)
+        odd += hashes[own[unlike]].tolist()
+    if odd:  # unlike windows of one hash
+        seen = set()
+        for i in np.nonzero(np.isin(hashes, np.array(odd, np.uint64)))[0].tolist():
+            words = flat[at[i] : at[i] + width].tobytes()
+            out[i] = words not in seen
+            seen.add(words)
+    return out
 
 
 def windows_of(table: pa.Table) -> tuple | None:
-    """Of a slot with rows (id, mark, packed, ks, stream), in order: which row and place each candidate window has, its hash, whether it is the slot's first."""
+    """Of a slot with rows (id, mark, packed, ks, stream), in order: which row and place each candidate window has, how to get its digest, and whether it is the slot's first."""
     open_ = zstandard.ZstdDecompressor().decompress
     texts = [open_(z) for z in table.column("packed").to_pylist()]
     owned = [None if ks is None else np.array(ks, np.int64).view(np.uint64) for ks in table.column("ks").to_pylist()]
-    flat, starts, counts = layout(texts)
-    if len(flat) < WIDTH:
+    flat, starts, counts, words = numbered(texts)
+    phrases = compiled(texts, starts, owned)
+    if len(flat) < WIDTH or not len(phrases):
         return None
-    g, least, ok = least_seeds(flat, starts, counts)
-    phrases = compiled(g, starts, counts, owned)
-    if not len(phrases):
-        return None
-    found = located(flat, starts, counts, phrases)[: len(g)]
-    hit = sliding(np.where(found, g, _MOST), WIDTH - PHRASE + 1)
+    found = np.cumsum(np.concatenate([[0], located(flat, starts, counts, phrases)]))
+    span = WIDTH - PHRASE + 1
+    n = len(flat) - WIDTH + 1
     doc = np.repeat(np.arange(len(counts)), counts)
     reads = np.array(table.column("stream").to_pylist(), bool)
-    at = np.nonzero(ok & (hit == least) & reads[doc[: len(least)]])[0]
-    keys = windows(flat, WIDTH)[at]
-    first = np.zeros(len(at), bool)
-    first[np.unique(keys, return_index=True)[1]] = True
-    return doc[at], at - starts[doc[at]], keys, first
+    at = np.nonzero((found[span : span + n] > found[:n]) & whole(n, starts, counts, WIDTH) & reads[doc[:n]])[0]
+
+    def digest(i: int) -> bytes:
+        return blake2b(b" ".join([words[w] for w in flat[at[i] : at[i] + WIDTH].tolist()]), digest_size=16).digest()
+
+    return doc[at], at - starts[doc[at]], digest, firsts(flat, at, WIDTH)
 
 
 def found_rows(routed: DataFrame) -> DataFrame:
     """(k, id, mark, at, length): spans to remove with k null, and with it a window's first place in a slot of a split shard."""
-    schema = T.StructType([T.StructField("k", T.LongType()), routed.schema["id"], routed.schema["mark"], T.StructField("at", T.IntegerType()), T.StructField("length", T.IntegerType())])
+    schema = T.StructType([T.StructField("k", T.BinaryType()), routed.schema["id"], routed.schema["mark"], T.StructField("at", T.IntegerType()), T.StructField("length", T.IntegerType())])
 
     def work(table: pa.Table) -> pa.Table:
         begin("words")
@@ -176,15 +211,15 @@ def found_rows(routed: DataFrame) -> DataFrame:
         found = windows_of(table)
         if found is None:
             none = pa.array([], pa.int32())
-            return pa.Table.from_arrays([none.cast(pa.int64()), table.column("id").slice(0, 0), table.column("mark").slice(0, 0), none, none], names=schema.names)
-        doc, at, keys, first = found
+            return pa.Table.from_arrays([pa.array([], pa.binary()), table.column("id").slice(0, 0), table.column("mark").slice(0, 0), none, none], names=schema.names)
+        doc, at, digest, first = found
         late = np.nonzero(~first)[0]
         new = np.concatenate([[True], (np.diff(at[late]) != 1) | (np.diff(doc[late]) != 0)]) if len(late) else np.zeros(0, bool)
         runs = late[new]
         sizes = np.diff(np.concatenate([np.nonzero(new)[0], [len(late)]])) + WIDTH - 1 if len(late) else runs
         heads = np.nonzero(first)[0] if table.column("slots")[0].as_py() > 1 else runs[:0]
         take = np.concatenate([runs, heads])
-        k = pa.array(keys[take].view(np.int64), mask=np.arange(len(take)) < len(runs))
+        k = pa.array([None] * len(runs) + [digest(i) for i in heads.tolist()], pa.binary())
         row = pa.array(doc[take])
         length = np.concatenate([sizes, np.full(len(heads), WIDTH)]).astype(np.int32)
         return pa.Table.from_arrays([k, table.column("id").take(row), table.column("mark").take(row), pa.array(at[take].astype(np.int32)), pa.array(length)], names=schema.names)
