@@ -110,3 +110,34 @@ def test_queries(spark, sf):
     counts = {r["doc_id"]: r for r in queries.op3_token_counts(spark, sf).collect()}
     assert all(counts[r["doc_id"]]["n_tokens"] == r["n_tokens"] for r in rows)
     assert queries.op3_token_counts(spark, sf).where(F.col("over_limit") != (F.col("n_tokens") > 2048)).count() == 0
+
+
+def test_no_word_is_shuffled(spark, sf, monkeypatch):
+    """Summaries are packed rows, merged a few at a time whatever the number of tasks; the table is that of one pass."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(11)
+    spec, plans = bpe.read_spec(PATH), []
+    real = token_counts.stored
+    monkeypatch.setattr(token_counts, "stored", lambda df: plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or real(df))
+    merged = token_counts.frequent_lengths(docs, spec, text_col="text", table_words=500, merged=3)
+    assert len(plans) == 3 and all(c == ["packed"] for c, _ in plans)
+    assert all("hashpartitioning" not in p and "Aggregate" not in p for _, p in plans)
+    whole = token_counts.frequent_lengths(docs, spec, text_col="text", table_words=500)
+    assert len(token_counts.unpack(merged)) == 500 and len(token_counts.unpack(merged).keys() & token_counts.unpack(whole).keys()) > 400
+
+
+def test_the_tiers_stay_apart():
+    """The table is only read, the cache is bounded and filled by its misses."""
+    codec = bpe.Codec(bpe.read_spec(PATH))
+    table = dict(zip(["the", "and"], codec.pairs.encode([b"the", b"and"])[1].tolist(), strict=True))
+    counts = token_counts.Counts(codec, table, cache_words=40 + len(codec.pairs.specials))
+    texts = [" ".join(f"word{i}x the and" for i in range(k, k + 20)) for k in range(0, 200, 20)]
+    assert [counts.count([t])[0] for t in texts] == [len(codec.encode([t])[0]) for t in texts]
+    assert dict(counts.table) == table and "the" not in counts.cache and len(counts.cache) <= 40 + len(codec.pairs.specials)
+    # A wrong table shows, so it is the table that is asked first.
+    assert token_counts.Counts(codec, {"the": 7}).count(["the the"]) == [14]
+
+
+def test_packed_counts():
+    counts = token_counts.Counter({"a": 3, "é": 2, "b": 2, "x\ny": 9})
+    assert token_counts.unpack_counts(token_counts.pack_counts(counts, 2)) == {"a": 3, "b": 2}
+    assert token_counts.unpack_counts(token_counts.pack_counts(token_counts.Counter(), 2)) == {}
