@@ -302,14 +302,17 @@ def search(index: DataFrame, block: Block, *, slop: int = SLOP, gap: int = gap_o
     return index.mapInArrow(run, schema)
 
 
+def with_matches(found: DataFrame) -> DataFrame:
+    return found.where((F.size("spans") > 0) | (F.size("near_items") > 0))
+
+
 def united(index: DataFrame, found: list[DataFrame]) -> DataFrame:
     """The results of all blocks as one row a text; only texts with a match in a block are gathered."""
     ship(index.sparkSession)
     every = found[0]
     for f in found[1:]:
         every = every.unionByName(f)
-    every = every.where((F.size("spans") > 0) | (F.size("near_items") > 0))
-    every = every.groupBy("shard", "at").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near_items")])
+    every = with_matches(every).groupBy("shard", "at").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "items", "near_items")])
     every = every.select("shard", "at", "spans", F.array_sort(F.array_distinct("items")).alias("items"), F.array_sort(F.array_except("near_items", "items")).alias("near_items"))
     schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("spans", SPAN), *every.schema[3:]])
 
@@ -343,8 +346,8 @@ def matches(
     index = build_index(docs, id_col=id_col, text_col=text_col, gap=gap, shard_bytes=shard_bytes)
     parts = blocks(benchmark, item_col, item_text_col, width, block_words)
     block, found = next(parts), []
-    for following in parts:  # each block's results are written before the next is read
-        found.append(stored(search(index, block, slop=slop, gap=gap)))
+    for following in parts:  # each block's matches are written before the next is read
+        found.append(stored(with_matches(search(index, block, slop=slop, gap=gap))))
         block = following
     last = search(index, block, slop=slop, gap=gap)
     out = united(index, [*found, last]) if found else last

@@ -107,13 +107,25 @@ def describe(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     return arrow_map(docs, [id_col], text_col, kernel, fields, limit=2 << 20, owner="words").withColumnRenamed(id_col, "doc_id")
 
 
+def turned(pairs: DataFrame) -> DataFrame:
+    """The pairs, with sides changed where only `b` is in more than `HEAD_PAIRS` of them."""
+    hot = lambda c: pairs.groupBy(c).count().where(F.col("count") > HEAD_PAIRS).select(F.col(c).alias(f"hot_{c}"))
+    seconds = stored(hot("b"))
+    if seconds.isEmpty():
+        return pairs
+    known = pairs.join(seconds, F.col("b") == F.col("hot_b"), "left").join(stored(hot("a")), F.col("a") == F.col("hot_a"), "left")
+    turn = F.col("hot_b").isNotNull() & F.col("hot_a").isNull()
+    return known.select(F.when(turn, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turn, F.col("a")).otherwise(F.col("b")).alias("b"))
+
+
 def verify(pairs: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Those pairs (a, b) whose full sets reach the threshold. The text of one side joins at a time.
+    """Those pairs (a, b) whose full sets reach the threshold, either side first. The text of one side joins at a time.
 
-    The least document of a large group is in most of its pairs as `a`: beyond `HEAD_PAIRS` its pairs are dealt into
-    parts, each with a copy of its text, so no task gets the texts of a whole group.
+    A document of more than `HEAD_PAIRS` pairs, as the least of a large group or one that many others meet, stands in them
+    as `a`; such pairs are dealt into parts, each with a copy of its text, so no task gets the texts of a whole group.
     """
     ship(docs.sparkSession)
+    pairs = turned(pairs)
     # Only texts of the pairs are dealt out: few ids reach all scans as a table of known size, many join where the texts go anyway.
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).where(F.col("id").isNotNull()).join(wanted, "id", "left_semi")
@@ -162,10 +174,11 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        # A hub has an edge to each node of its component, so both joins deal out its edges.
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = join_groups(both.where("v > u"), least, ["u"], "n", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_groups(large, low, ["u"], "n", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = checkpoint(small.where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
@@ -252,8 +265,12 @@ def links(docs: DataFrame, described: DataFrame, *, id_col: str = "doc_id", text
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    few = placed.where("part <> main").select("band", "key", own.alias("i"), every.alias("j"), F.lit(True).alias("few"), "doc_id", "part")
-    full = placed.select("band", "key", every.alias("i"), own.alias("j"), F.lit(False).alias("few"), "doc_id", "part")
+    outside = placed.where("part <> main")
+    few = outside.select("band", "key", own.alias("i"), every.alias("j"), F.lit(True).alias("few"), "doc_id", "part")
+    # Members go to the blocks of the bucket that hold an outsider, and no others.
+    held = outside.groupBy("band", "key").agg(F.collect_set(own).alias("held"), F.max("n").alias("all"))
+    full = join_groups(placed, held, ["band", "key"], "all", ["doc_id"])
+    full = full.select("band", "key", F.explode("held").alias("i"), own.alias("j"), F.lit(False).alias("few"), "doc_id", "part")
     slots = max(1, -(-2 * placed.count() // SLOT_ROWS))
     rows = few.unionByName(full).join(classes.select("doc_id", "bands", "fine"), "doc_id")
     rows = rows.withColumn("slot", F.pmod(F.xxhash64("band", "key", "i", "j"), F.lit(slots)))

@@ -41,6 +41,8 @@ EDGE = "".join(chr(b) for b in range(128) if not chr(b).isalnum())
 
 COMMON_SHARE = 0.005
 TASK_SHARE = 1e-4
+#: Languages that a task tallies at once.
+TASK_LANGS = 64
 #: Distinct words that a task holds of a language before the rare ones are dropped.
 SUMMARY_WORDS = 100_000
 REFERENCE_DOCS = 10
@@ -139,20 +141,29 @@ def fit(
         for batch in batches:
             for part in slices(batch, "text"):
                 for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    if lang not in found and len(found) == TASK_LANGS:  # sums go on from a new tally
+                        yield told(found)
+                        found.clear()
                     found.setdefault(lang, Tally()).add(text or "")
-        out = [(lang, *r) for lang, t in found.items() for r in t.rows()]
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.float64()))], names=["lang", "kind", "name", "n"])
+        yield told(found)
         end()
 
+    def told(found):
+        out = [(lang, *r) for lang, t in found.items() for r in t.rows()]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.float64()))], names=["lang", "kind", "name", "n"])
+
     sums = stored(rows.mapInArrow(tally, "lang string, kind string, name string, n double").groupBy("lang", "kind", "name").agg(F.sum("n").alias("n")))
-    totals = sums.where("kind = 'words'").select(F.col("lang").alias("of"), F.col("n").alias("total"))
+    # Values of the language column that too few documents or words have are no references, and nothing of them is collected.
+    count = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")))
+    totals = sums.where("kind IN ('docs', 'words')").groupBy(F.col("lang").alias("of")).agg(count("docs").alias("docs"), count("words").alias("total"))
+    totals = totals.where((F.col("docs") >= reference_docs) & (F.col("total") >= reference_words)).select("of", "total")
     # Words that are rare in one language may be common in another, so a name counts if it is common anywhere.
     sums = sums.join(totals, F.col("lang") == F.col("of")).withColumn("share", F.when(F.col("kind") == "word", F.col("n") / F.greatest("total", F.lit(1.0))).otherwise(1.0))
     wanted = sums.withColumn("most", F.max("share").over(Window.partitionBy("kind", "name"))).where(F.col("most") >= common_share)
     found: dict[str, dict[tuple[str, str], float]] = {}
     for r in wanted.select("lang", "kind", "name", "n").toLocalIterator():
         found.setdefault(r["lang"], {})[r["kind"], r["name"]] = r["n"]
-    found = {k: v for k, v in sorted(found.items()) if v["docs", ""] >= reference_docs and v["words", ""] >= reference_words}
+    found = dict(sorted(found.items()))
     out = References()
     out.words = tuple(sorted({name for v in found.values() for (kind, name), n in v.items() if kind == "word" and n >= common_share * v["words", ""]}))
     for lang, v in found.items():

@@ -121,7 +121,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         some = known.where(F.col("y") == y).withColumn("h", F.xxhash64("lid")).orderBy("h", "lid").limit(rows)
         chosen = some if chosen is None else chosen.unionByName(some)
     texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).where(F.col("text") != "")
-    rows_ = texts.join(F.broadcast(chosen), F.col("id") == F.col("lid")).select("y", "h", "text").collect()
+    # One text of each id, the least, so that repeated ids bring no more rows than were chosen.
+    chosen = chosen.distinct()
+    rows_ = texts.join(F.broadcast(chosen), F.col("id") == F.col("lid")).groupBy("y", "h", "lid").agg(F.min("text").alias("text")).select("y", "h", "text").collect()
     rows_.sort(key=lambda r: (r["h"], r["text"]))
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 0.5
     return [(r["y"], r["text"].encode()) for r in rows_], share
