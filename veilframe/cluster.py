@@ -31,6 +31,12 @@ def ship(spark: SparkSession) -> None:
     sc._veilframe_shipped = True
 
 
+def ship_active() -> None:
+    """For functions of columns, which know no session."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship(spark)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where it is unset, a temporary one in local mode only."""
     sc = spark.sparkContext
@@ -43,7 +49,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp()
     sc.setCheckpointDir(named)
-    return sc._jsc.sc().getCheckpointDir().get()
+    current = sc._jsc.sc().getCheckpointDir().get()
+    delete_at_end(spark, current)  # a folder of this context alone
+    return current
+
+
+def delete_at_end(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -57,8 +70,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     name = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(name)
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    delete_at_end(spark, name)
     return spark.read.schema(df.schema).parquet(name)
 
 

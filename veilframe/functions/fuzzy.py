@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilframe.cluster import ship_active
 from veilframe.functions.text import long_enough, quote
 
 
@@ -202,6 +203,7 @@ def fuzzy_hit(text: Column, terms: list[str], threshold: float) -> Column:
                     out[i] = True
         return pd.Series(out)
 
+    ship_active()
     return hit(text)
 
 
@@ -213,6 +215,7 @@ def scores(text: Column, term: str) -> Column:
         rows = [(None, None) if t is None else (token_set_ratio(term, t), partial_ratio(term, t)) for t in texts]
         return pd.DataFrame(rows, columns=["token_set", "partial"])
 
+    ship_active()
     return both(text)
 
 

@@ -43,6 +43,12 @@ def words_of(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
 
 
+def set_sizes(term: Column, text: Column) -> tuple[Column, Column, Column]:
+    """The numbers of distinct words that both have, that only the text has, and that only the term has."""
+    x, y = words_of(term), words_of(text)
+    return F.size(F.array_intersect(x, y)), F.size(F.array_except(y, x)), F.size(F.array_except(x, y))
+
+
 def letter_keys(text: Column) -> Column:
     """Each letter but blanks, numbered by occurrence."""
     letters = F.array_sort(F.split(F.regexp_replace(text, r"\s+", ""), ""))
@@ -112,7 +118,8 @@ def candidates(terms: DataFrame, texts: DataFrame, threshold: float, *, heavy: i
     line = lambda words: F.array_join(words, " ")
     both = F.array_intersect(x, y)
     one, two, common = F.length(line(x)), F.length(line(y)), F.length(line(both))
-    subset = (F.size(both) > 0) & ((F.size(both) == F.size(x)) | (F.size(both) == F.size(y)))
+    n_both, n_text, n_term = set_sizes(term, text)
+    subset = (n_both > 0) & ((n_text == 0) | (n_term == 0))
     cover = (F.size(both) > 0) & (common * (2 - threshold) >= threshold * F.least(one, two) - SLACK)
     shared = F.size(F.array_intersect(letter_keys(line(x)), letter_keys(line(y)))) + F.least(F.size(x), F.size(y))
     alike = 2 * F.least(one, two, shared) >= threshold * (one + two) - SLACK

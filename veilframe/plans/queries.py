@@ -317,11 +317,18 @@ def ner_card_luhn(spark, sf):
     return detect.detect_entities(spans(spark, sf), ["CREDIT_CARD"]).select("doc_id", "ord", "text")
 
 
-@query(rf"""WITH t AS (SELECT c_custkey AS doc_id, 'Met Dr. ' || c_mktsegment || ' Jones at ' || c_custkey || ' Old Mill Road, today' AS text FROM customer)
-SELECT doc_id, 'PERSON' AS entity_type, 'Dr. ' || regexp_extract(text, 'Dr. (.*) at', 1) AS text, 1.0::DOUBLE AS score FROM t UNION ALL SELECT doc_id, 'LOCATION', doc_id || ' Old Mill Road', 0.6::DOUBLE FROM t""")
+@query("""WITH t AS (SELECT o_orderkey AS doc_id, CASE o_custkey % 4 WHEN 0 THEN 'Met Dr. ' WHEN 1 THEN 'Saw Mrs ' WHEN 2 THEN 'Told dr ' ELSE 'By Prof. ' END AS head, upper(left(split_part(p_name, ' ', 1), 1)) || substr(split_part(p_name, ' ', 1), 2) AS name, o_custkey || CASE o_custkey % 3 WHEN 0 THEN ' Old Mill Road' WHEN 1 THEN ' Oak St' ELSE ' oak st' END AS place, o_custkey AS k
+FROM orders JOIN part ON p_partkey = o_custkey % 100 + 1)
+SELECT doc_id, 'PERSON' AS entity_type, substr(head, instr(head, ' ') + 1) || name AS text, 1.0::DOUBLE AS score FROM t WHERE k % 4 <> 2 UNION ALL SELECT doc_id, 'LOCATION', place, 0.6::DOUBLE FROM t WHERE k % 3 <> 2""")
 def ner_people_and_places(spark, sf):
-    text = F.concat(F.lit("Met Dr. "), "c_mktsegment", F.lit(" Jones at "), F.col("c_custkey").cast("string"), F.lit(" Old Mill Road, today"))
-    rows = S.lines(table(spark, sf, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text")
+    """Lines made of orders and part names: forms of address and streets, and some that only look like them."""
+    k = F.col("o_custkey")
+    first = F.split("p_name", " ")[0]
+    head = F.when(k % 4 == 0, "Met Dr. ").when(k % 4 == 1, "Saw Mrs ").when(k % 4 == 2, "Told dr ").otherwise("By Prof. ")
+    street = F.when(k % 3 == 0, " Old Mill Road").when(k % 3 == 1, " Oak St").otherwise(" oak st")
+    text = F.concat(head, F.upper(F.left(first, F.lit(1))), F.substr(first, F.lit(2), F.length(first)), F.lit(" at "), k.cast("string"), street)
+    o = table(spark, sf, "orders").join(table(spark, sf, "part"), F.col("p_partkey") == k % 100 + 1)
+    rows = S.lines(o.select("o_orderkey", text.alias("text")), "o_orderkey", "text")
     return detect.detect_entities(rows, ["PERSON", "LOCATION"]).select("doc_id", "entity_type", "text", "score")
 
 
@@ -938,13 +945,15 @@ def batch_failures(spark, sf):
     return batch(spark, sf)[1].drop("doc_id")
 
 
-@query("""WITH w AS (SELECT DISTINCT p_name FROM part), s AS (SELECT p_name, list_distinct(string_split(p_name, ' ')) AS a, ['red', 'widget', 'small'] AS b FROM w)
+@query("""WITH w AS (SELECT DISTINCT lower(p_name) AS p_name FROM part), s AS (SELECT p_name, list_distinct(string_split(p_name, ' ')) AS a, ['red', 'widget', 'small'] AS b FROM w)
 SELECT p_name, len(list_intersect(a, b))::INT AS shared, (len(a) - len(list_intersect(a, b)))::INT AS own, len(list_intersect(a, b)) > 0 AND (len(a) = len(list_intersect(a, b)) OR len(list_intersect(a, b)) = 3) AS subset FROM s""")
 def token_sets(spark, sf):
-    a, b = F.array_distinct(F.split("p_name", " ")), F.array(F.lit("red"), F.lit("widget"), F.lit("small"))
-    shared = F.size(F.array_intersect(a, b))
-    names = table(spark, sf, "part").select("p_name").distinct()
-    return names.select("p_name", shared.alias("shared"), F.size(F.array_except(a, b)).alias("own"), ((shared > 0) & ((F.size(F.array_except(a, b)) == 0) | (shared == 3))).alias("subset"))
+    """The sets of words that the token-set ratio compares, and whether it is full because one holds the other."""
+    wanted = "red widget small"
+    shared, own, other = similar.set_sizes(F.lit(wanted), F.col("p_name"))
+    names = table(spark, sf, "part").select(F.lower("p_name").alias("p_name")).distinct()
+    scored = names.select("p_name", shared.alias("shared"), own.alias("own"), fuzzy.scores(F.col("p_name"), wanted).alias("s"))
+    return scored.select("p_name", "shared", "own", (F.col("s.token_set") >= 100).alias("subset"))
 
 
 # The flagship.

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe import model
+from veilframe.cluster import ship_active
 
 FORMATS = ("parquet", "orc", "json", "csv", "text", "binaryFile")
 
@@ -52,6 +53,7 @@ def parsed_with(parser: Callable[[bytes], str]):
                 rows.append((None, str(e) or type(e).__name__))
         return pd.DataFrame(rows, columns=["text", "error"])
 
+    ship_active()
     return parse
 
 
