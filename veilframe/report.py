@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import text as X
+from veilframe.sources.files import write_files
 
 #: Titles, table heads and labels of the reports, here and in the functions below.
 TITLE, BATCH_TITLE, FOOTER = "# Redaction Report", "# Redaction Batch Summary", "*Generated by veilframe*"
@@ -84,9 +85,20 @@ def batch_json(results: DataFrame, errors: DataFrame) -> DataFrame:
     return ok.unionByName(bad)
 
 
+def report_files(records: DataFrame) -> DataFrame:
+    """(name, content): both reports of every record, named after its output; where records share a name, the file's hash tells them apart."""
+    stem = F.regexp_replace(base_name(F.col("output_filename")), r"(.)\.[^.]*$", "$1")
+    rows = records.withColumn("_stem", stem)
+    shared = rows.groupBy(F.col("_stem").alias("_again")).count().where("count > 1").select("_again")
+    own = F.when(F.col("_again").isNull(), F.col("_stem")).otherwise(F.concat("_stem", F.lit("-"), F.left("file_hash", F.lit(12))))
+    file = lambda end, content: F.struct(F.concat(own, F.lit(end)).alias("name"), content.alias("content"))
+    each = rows.join(shared, F.col("_stem") == F.col("_again"), "left").select(F.explode(F.array(file(".report.md", markdown()), file(".report.json", json()))).alias("f"))
+    return each.select("f.name", "f.content")
+
+
 def write_reports(records: DataFrame, path: str) -> None:
-    """Both reports of every record, as Parquet by output name."""
-    records.select("output_filename", markdown().alias("report_md"), json().alias("report_json")).write.mode("overwrite").parquet(path)
+    """A file .report.md and one .report.json for every record; a job that fails leaves none."""
+    write_files(report_files(records), path, overwrite=True)
 
 
 def write_batch_summary(results: DataFrame, errors: DataFrame, folder: str, run_ts: str) -> tuple[str, str]:
