@@ -248,6 +248,62 @@ def test_a_broken_write_leaves_the_subjects(spark, tmp_path):
     assert {r["id"] for r in AuditLog(spark, str(tmp_path / "audit")).subjects().collect()} == {"a", "b", "c"}
 
 
+def read_files(df):
+    return {f.split("/audit/")[1] for f in df.inputFiles()}
+
+
+def test_a_run_is_looked_up_in_one_file(spark, tmp_path):
+    log = AuditLog(spark, str(tmp_path / "audit"))
+    for n in (30, 1, 40):
+        log.log_runs(record(spark, n, "").repartition(4))
+    files = log.manifest()["runs"]
+    assert log.manifest()["last"] == 71 and len(files) >= 7
+    assert sorted(i for f in files for i in range(f["first"], f["last"] + 1)) == list(range(1, 72))
+    for id_ in (1, 30, 31, 32, 71):
+        assert len(read_files(log.run(id_))) == 1 and [r["id"] for r in log.run(id_).collect()] == [id_]
+    assert log.run(72).count() == 0
+    assert [r["id"] for r in log.recent(limit=12).collect()] == list(range(71, 59, -1))
+    assert len(read_files(log.recent(limit=12))) < len(files)
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    log = AuditLog(spark, str(tmp_path / "audit"))
+    log.log_runs(record(spark, 300).withColumn("subject_id", F.concat(F.lit("s"), F.col("id").cast("string"))))
+    before = log.manifest()["buckets"]
+    log.log_runs(record(spark, 4, "s7"))
+    after = log.manifest()["buckets"]
+    changed = [k for k in after if after[k] != before.get(k)]
+    assert len(before) > 50 and len(changed) == 1
+    counts = {r["id"]: r["document_count"] for r in log.subjects().collect()}
+    assert len(counts) == 300 and counts["s7"] == 5 and sum(counts.values()) == 304
+    assert len({f.rsplit("/", 1)[0] for f in log.subject("s7").inputFiles()}) == 1 and log.subject("s7").first()["document_count"] == 5
+
+
+def test_two_writers_cannot_both_win(spark, tmp_path):
+    one, other = AuditLog(spark, str(tmp_path / "audit")), AuditLog(spark, str(tmp_path / "audit"))
+    one.create()
+    real, met = one._merged, []
+
+    def meanwhile(*a):
+        if not met:  # another run is logged while this one is at work
+            met.append(other.log_runs(record(spark, 3, "x")))
+        return real(*a)
+
+    one._merged = meanwhile
+    one.log_runs(record(spark, 2, "x"))
+    assert sorted(r["id"] for r in one.runs().collect()) == [1, 2, 3, 4, 5]
+    assert one.subject("x").first()["document_count"] == 5 and one.manifest()["last"] == 5
+
+
+def test_a_half_written_manifest_is_passed_over(spark, tmp_path):
+    log = AuditLog(spark, str(tmp_path / "audit"))
+    log.log_runs(record(spark, 2, "a"))
+    (tmp_path / "audit" / "manifests" / "000000000007.json").write_text('{"last": 9, "ru')
+    assert log.manifest()["last"] == 2
+    log.log_runs(record(spark, 1, "a"))
+    assert log.manifest()["number"] == 8 and log.subject("a").first()["document_count"] == 3
+
+
 SHOUT = """def shout(content):
     if b"broken" in content:
         raise ValueError("cannot parse")
