@@ -21,6 +21,8 @@ from veilframe.cluster import ship, stored
 from veilframe.functions import address as A
 from veilframe.functions import fuzzy
 from veilframe.functions import text as X
+from veilframe.operators.tagger import ENTITIES as TAGGED
+from veilframe.operators.tagger import Tagger
 from veilframe.profile import AccountNumber, CustomPattern, Profile, name_terms
 
 COLUMNS = ["doc_id", "page_num", "ord", "text", "entity_type", "score", "bbox", "preserve_last", "detector", "start", "size"]
@@ -130,8 +132,9 @@ def luhn(number: Column) -> Column:
     return F.call_function("luhn_check", number)
 
 
-def entity_hits(text: Column, entities: list[str], threshold: float, recognise=None) -> Column:
-    """Rule recognisers; `recognise`, a pandas UDF from text to array<struct<entity, match, score>>, may add learned ones, each hiding what it matched first."""
+def entity_hits(text: Column, entities: list[str], threshold: float, recognise=None, tagged=None) -> Column:
+    """Rule recognisers. `tagged`, a function from text to array<struct<entity, match, score, start>>, takes the place of the rules for
+    the entities that it knows; `recognise`, one without starts, adds to them and hides what it matched first."""
 
     def recognised(e: str) -> Column:
         letters, digits = GATES[e]
@@ -142,7 +145,10 @@ def entity_hits(text: Column, entities: list[str], threshold: float, recognise=N
         score = 0.6 if e in ("DATE_TIME", "IP_ADDRESS", "LOCATION") else 1.0
         return F.when(able, F.transform(found, lambda m: hit(e, m["match"], m["start"], score=score, detector="entity"))).otherwise(no_hits())
 
-    hits = [recognised(e) for e in entities if e in RECOGNISERS]
+    hits = [recognised(e) for e in entities if e in RECOGNISERS and not (tagged is not None and e in TAGGED)]
+    if tagged is not None and (own := [e for e in TAGGED if e in entities]):
+        learned = F.filter(tagged(text), lambda m: m["entity"].isin(own))
+        hits.append(F.transform(learned, lambda m: hit(m["entity"], m["match"], m["start"], score=m["score"], detector="entity")))
     if recognise is not None:
         learned = F.filter(recognise(text), lambda m: F.instr(text, m["match"]) > 0)
         hits.append(F.transform(learned, lambda m: hit(m["entity"], m["match"], F.instr(text, m["match"]) - 1, score=m["score"], detector="entity")))
@@ -198,8 +204,9 @@ def detect_contacts(spans: DataFrame, profile: Profile) -> DataFrame:
     return detect_patterns(spans, contact_patterns(profile))
 
 
-def detect_entities(spans: DataFrame, entities: list[str] | None = None, threshold: float = 0.5, recognise=None) -> DataFrame:
-    return detections(with_hits(spans, [entity_hits(F.col("text"), entities or DEFAULT_ENTITIES, threshold, recognise)]))
+def detect_entities(spans: DataFrame, entities: list[str] | None = None, threshold: float = 0.5, recognise=None, tagger: Tagger | None = None) -> DataFrame:
+    tagged = tagger.found(spans.sparkSession) if tagger is not None else None
+    return detections(with_hits(spans, [entity_hits(F.col("text"), entities or DEFAULT_ENTITIES, threshold, recognise, tagged)]))
 
 
 # Addresses over several lines.
@@ -265,19 +272,19 @@ def detect_addresses(spans: DataFrame, profile: Profile) -> DataFrame:
 # All detectors.
 
 
-def line_hits(spans: DataFrame, profile: Profile, contacts: bool = False, entities: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
+def line_hits(spans: DataFrame, profile: Profile, contacts: bool = False, entities: list[str] | None = None, threshold: float = 0.5, tagger: Tagger | None = None) -> DataFrame:
     """Hits of all detectors that look at one span: one scan, one explode."""
     text, s = F.col("text"), profile.subject
     patterns = [*s.custom_patterns, *(contact_patterns(profile) if contacts else [])]
     hits = [account_hits(text, F.col("bbox"), s.account_numbers)] if s.account_numbers else []
     hits += [pattern_hits(text, patterns)] if patterns else []
-    hits += [entity_hits(text, entities, threshold)] if entities else []
+    hits += [entity_hits(text, entities, threshold, tagged=tagger.found(spans.sparkSession) if tagger is not None else None)] if entities else []
     return detections(with_hits(spans, hits, profile))
 
 
-def every_hit(spans: DataFrame, profile: Profile, contacts: bool = False, entities: list[str] | None = None, threshold: float = 0.5, documents: DataFrame | None = None) -> DataFrame:
+def every_hit(spans: DataFrame, profile: Profile, contacts: bool = False, entities: list[str] | None = None, threshold: float = 0.5, documents: DataFrame | None = None, tagger: Tagger | None = None) -> DataFrame:
     """Hits before any are merged; addresses are looked for in `documents`, the spans themselves if none."""
-    out = line_hits(spans, profile, contacts, entities, threshold)
+    out = line_hits(spans, profile, contacts, entities, threshold, tagger)
     return out.unionByName(detect_addresses(spans if documents is None else documents, profile)) if any(a.strip() for a in profile.subject.addresses) else out
 
 
@@ -327,10 +334,10 @@ def wanted_entities(profile: Profile) -> list[str]:
     return d.presidio_entities if d.use_presidio else []
 
 
-def detect_all(spans: DataFrame, profile: Profile, threshold: float = 0.5, contacts: bool = False) -> DataFrame:
+def detect_all(spans: DataFrame, profile: Profile, threshold: float = 0.5, contacts: bool = False, tagger: Tagger | None = None) -> DataFrame:
     """Profile detectors, entity recognisers if switched on, merged; merging reads the hits more than once, so they are stored."""
     entities = wanted_entities(profile)
-    hits = every_hit(spans, profile, contacts, entities, threshold)
+    hits = every_hit(spans, profile, contacts, entities, threshold, tagger=tagger)
     return merged(stored(hits)) if entities else hits
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import text as X
 from veilframe.operators.detect import detect_all
+from veilframe.operators.tagger import Tagger
 from veilframe.profile import Profile
 
 
@@ -17,9 +18,9 @@ def drop_kept_suffixes(survivors: DataFrame, originals: DataFrame) -> DataFrame:
     return own.join(kept.withColumnRenamed("doc_id", "_doc"), (F.col("doc_id") == F.col("_doc")) & (F.col("_own") == F.col("_kept")), "left_anti").drop("_own")
 
 
-def verify(redacted: DataFrame, profile: Profile, originals: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
+def verify(redacted: DataFrame, profile: Profile, originals: DataFrame | None = None, threshold: float = 0.5, tagger: Tagger | None = None) -> DataFrame:
     """The surviving detections."""
-    found = detect_all(redacted.select("doc_id", "page_num", "ord", "text", "bbox", "block_type"), profile, threshold)
+    found = detect_all(redacted.select("doc_id", "page_num", "ord", "text", "bbox", "block_type"), profile, threshold, tagger=tagger)
     return found if originals is None else drop_kept_suffixes(found, originals)
 
 

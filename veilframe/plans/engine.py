@@ -19,6 +19,7 @@ from veilframe.cluster import checkpoint, stored
 from veilframe.errors import NoTextLayerError, RedactionError, VerificationError
 from veilframe.operators import detect, ocr, redact, summaries, verify
 from veilframe.operators.redact import KEY
+from veilframe.operators.tagger import Tagger
 from veilframe.profile import Profile
 from veilframe.sources import spans as sources
 
@@ -49,11 +50,12 @@ class Engine:
     guards: bool = False
     granularity: str = "span"
     force_ocr: bool = False
+    tagger: Tagger | None = None
 
     def found(self, delta: DataFrame, documents: DataFrame | None, n: int) -> tuple[DataFrame, int]:
         """(hits of a pass before merging, stored; the spans searched)."""
         seen = Observation(f"pass {n}")
-        every = detect.every_hit(delta.observe(seen, F.count(F.lit(1)).alias("spans")), self.profile, self.contacts, detect.wanted_entities(self.profile), self.threshold, documents)
+        every = detect.every_hit(delta.observe(seen, F.count(F.lit(1)).alias("spans")), self.profile, self.contacts, detect.wanted_entities(self.profile), self.threshold, documents, self.tagger)
         every = stored(every)
         return every, seen.get["spans"]
 
@@ -100,7 +102,7 @@ class Engine:
         # Totals, reports and the audit log all read the survivors, so they are looked for once.
         survivors = hits.where("false").drop("pass_num")
         if check:
-            again = checkpoint(verify.verify(settled, self.profile, hits, self.threshold))
+            again = checkpoint(verify.verify(settled, self.profile, hits, self.threshold, self.tagger))
             # What a hit was to hide and still shows, on spans where a second search finds nothing.
             shown = redact.exposed(settled, ranged.drop("pass_num"), self.granularity).dropDuplicates([*KEY, "start", "size"]).join(again, KEY, "left_anti")
             survivors = checkpoint(again.unionByName(shown))
