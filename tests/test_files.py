@@ -103,3 +103,22 @@ def test_a_report_for_each_document(spark, sf, tmp_path):
     assert len(names) == 2 * n + 2 and sum(x.endswith(".report.md") for x in names) == n + 1 and sum(x.startswith("3_redacted-") for x in names) == 4
     own = records.where("id = 4").select(report.markdown().alias("m"), report.json().alias("j")).first()
     assert (tmp_path / "r" / "4_redacted.report.md").read_text() == own["m"] and (tmp_path / "r" / "4_redacted.report.json").read_text() == own["j"]
+
+
+def test_reports_of_files_of_one_name(spark, tmp_path, monkeypatch):
+    """Files of one name and content keep a report each, with the hash of their content in the log."""
+    import hashlib
+
+    from veilframe import cli
+    from veilframe.audit import AuditLog
+
+    monkeypatch.setenv("VEILFRAME_HOME", str(tmp_path / "home"))
+    monkeypatch.setattr(cli, "session", lambda: spark)
+    (tmp_path / "p.yaml").write_text("subject:\n  display_name: Jane Corpus\n")
+    for d in ("a", "b"):
+        (tmp_path / "in" / d).mkdir(parents=True)
+        (tmp_path / "in" / d / "x.txt").write_text("Jane Corpus was here")
+    assert cli.main(["run", str(tmp_path / "in"), "--glob", "*.txt", "-p", str(tmp_path / "p.yaml"), "-o", str(tmp_path / "out"), "-q", "--reports"]) == 0
+    assert len(os.listdir(tmp_path / "out" / "reports")) == 4
+    rows = AuditLog(spark, cli.audit_path()).runs().collect()
+    assert {r["file_hash"] for r in rows} == {hashlib.sha256(b"Jane Corpus was here").hexdigest()} and {r["pages_processed"] for r in rows} == {1}

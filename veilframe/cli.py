@@ -76,7 +76,7 @@ def loaded_parser(name: str | None):
 
 
 def documents(spark: SparkSession, path: str, glob: str, parser=None, images: DataFrame | None = None) -> DataFrame:
-    """(doc_id, path, text, has_images, error_kind, error); ids are hashes of paths, so nothing is sorted in one task.
+    """(doc_id, path, text, has_images, error_kind, error, file_hash); ids are hashes of paths, so nothing is sorted in one task.
 
     Documents with recognised words in `images` have pictures.
     """
@@ -90,11 +90,11 @@ def documents(spark: SparkSession, path: str, glob: str, parser=None, images: Da
 def _documents(spark: SparkSession, path: str, glob: str, parser) -> DataFrame:
     if path.endswith(".parquet"):
         docs = sources.read(spark, path)
-        return docs.select("doc_id", F.concat(F.lit(path + "#"), F.col("doc_id").cast("string")).alias("path"), "text", F.lit(False).alias("has_images"), F.lit(None).cast("string").alias("error_kind"), F.lit(None).cast("string").alias("error"))
+        return docs.select("doc_id", F.concat(F.lit(path + "#"), F.col("doc_id").cast("string")).alias("path"), "text", F.lit(False).alias("has_images"), F.lit(None).cast("string").alias("error_kind"), F.lit(None).cast("string").alias("error"), F.sha2("text", 256).alias("file_hash"))
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     files = (reader.option("pathGlobFilter", glob) if os.path.isdir(path) else reader).load(path)
     opened = sources.open_documents(files, parser)
-    return opened.select(F.xxhash64("path").alias("doc_id"), "path", "text", F.lit(False).alias("has_images"), "error_kind", "error")
+    return opened.select(F.xxhash64("path").alias("doc_id"), "path", "text", F.lit(False).alias("has_images"), "error_kind", "error", "file_hash")
 
 
 def show(rows: Iterable[dict]) -> int:
@@ -128,15 +128,16 @@ def cmd_run(args) -> int:
     run = engine.run_batch(docs, allow_ocr=not args.no_ocr, ocr_raw=words, check=not args.no_verify)
     out = args.output or f"{args.path.rstrip('/')}_redacted"
     run.spans.write.mode("overwrite").parquet(f"{out}/spans")
-    paths = docs.select("doc_id", F.col("path").alias("input"))
-    results = run.results.join(paths, "doc_id").withColumn("output", report.output_path(F.col("input"), args.output, True))
+    paths = docs.select("doc_id", F.col("path").alias("input"), "file_hash")
+    pages = run.spans.groupBy("doc_id").agg(F.max("page_num").alias("last_page"))
+    results = run.results.join(paths, "doc_id").join(pages, "doc_id", "left").withColumn("output", report.output_path(F.col("input"), args.output, True))
     sources.span_documents(run.spans).join(results.select("doc_id", "output"), "doc_id").write.mode("overwrite").parquet(f"{out}/documents")
     totals = summaries.batch_totals(results, run.errors).first()
     now = datetime.now(UTC)
     left = run.survivors.groupBy(F.col("doc_id").alias("_doc")).agg(F.array_sort(F.collect_list("text")).alias("left"))
     records = results.join(left, F.col("doc_id") == F.col("_doc"), "left").select(
-        F.sha2("input", 256).alias("file_hash"), report.base_name(F.col("input")).alias("original_filename"), report.base_name(F.col("output")).alias("output_filename"), F.lit(now).alias("processed_at"),
-        F.lit(profile.name or profile.subject.display_name).alias("profile_name"), F.lit(args.subject or "").alias("subject_id"), F.lit(1).alias("pages_processed"), F.col("detections").alias("items_detected"),
+        "doc_id", "file_hash", report.base_name(F.col("input")).alias("original_filename"), report.base_name(F.col("output")).alias("output_filename"), F.lit(now).alias("processed_at"),
+        F.lit(profile.name or profile.subject.display_name).alias("profile_name"), F.lit(args.subject or "").alias("subject_id"), (F.coalesce("last_page", F.lit(0)) + 1).alias("pages_processed"), F.col("detections").alias("items_detected"),
         F.col("detections").alias("items_redacted"), "verification_passed", F.coalesce(F.to_json("left"), F.lit("[]")).alias("verification_survivors_json"), F.lit(int(1000 * (time.monotonic() - began))).alias("duration_ms"), F.lit("").alias("notes"),
     )
     AuditLog(spark, audit_path()).log_runs(records)
@@ -145,7 +146,7 @@ def cmd_run(args) -> int:
     if not args.no_report:
         report.write_batch_summary(results, run.errors, f"{out}/redacted-reports", now.strftime("%Y-%m-%d-%H%M"))
     if args.json:
-        show(chain(stream(results), (r | {"error": True} for r in stream(run.errors))))
+        show(chain(stream(results.drop("file_hash", "last_page")), (r | {"error": True} for r in stream(run.errors))))
     elif not args.quiet:
         print(f"{totals['ok']} processed, {totals['errored']} errored, {totals['total_detections']} detections -> {out}")
         for r in stream(run.errors):

@@ -86,11 +86,12 @@ def batch_json(results: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def report_files(records: DataFrame) -> DataFrame:
-    """(name, content): both reports of every record, named after its output; where records share a name, the file's hash tells them apart."""
+    """(name, content): both reports of every record, named after its output; where records share a name, the document's id tells them apart, or the file's hash."""
+    told = F.hex("doc_id") if "doc_id" in records.columns else F.left("file_hash", F.lit(12))
     stem = F.regexp_replace(base_name(F.col("output_filename")), r"(.)\.[^.]*$", "$1")
     rows = records.withColumn("_stem", stem)
     shared = rows.groupBy(F.col("_stem").alias("_again")).count().where("count > 1").select("_again")
-    own = F.when(F.col("_again").isNull(), F.col("_stem")).otherwise(F.concat("_stem", F.lit("-"), F.left("file_hash", F.lit(12))))
+    own = F.when(F.col("_again").isNull(), F.col("_stem")).otherwise(F.concat("_stem", F.lit("-"), told))
     file = lambda end, content: F.struct(F.concat(own, F.lit(end)).alias("name"), content.alias("content"))
     each = rows.join(shared, F.col("_stem") == F.col("_again"), "left").select(F.explode(F.array(file(".report.md", markdown()), file(".report.json", json()))).alias("f"))
     return each.select("f.name", "f.content")

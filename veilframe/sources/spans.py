@@ -58,7 +58,7 @@ def parsed_with(parser: Callable[[bytes], str]):
 
 
 def open_documents(files: DataFrame, parser: Callable[[bytes], str] | None = None) -> DataFrame:
-    """(path, text, error_kind, error) of binaryFile rows: UTF-8 text is read, other content goes to the parser or is an error, never an exception."""
+    """(path, text, error_kind, error, file_hash) of binaryFile rows: UTF-8 text is read, other content goes to the parser or is an error, never an exception."""
     content = F.col("content")
     head = F.substring(content, 1, 5).cast("string")
     encrypted = head.startswith("%PDF") & F.contains(content, F.lit(b"/Encrypt"))
@@ -70,7 +70,7 @@ def open_documents(files: DataFrame, parser: Callable[[bytes], str] | None = Non
         files = files.withColumn("_parsed", parsed_with(parser)(F.when(binary & ~encrypted, content)))
         error = F.when(encrypted, "document is encrypted").otherwise(F.col("_parsed.error"))
         text = F.when(error.isNull(), F.when(binary, F.col("_parsed.text")).otherwise(content.cast("string")))
-    return files.select("path", text.alias("text"), F.when(error.isNotNull(), "extraction").alias("error_kind"), error.alias("error"))
+    return files.select("path", text.alias("text"), F.when(error.isNotNull(), "extraction").alias("error_kind"), error.alias("error"), F.sha2(content, 256).alias("file_hash"))
 
 
 def place(ord_: Column, text: Column) -> Column:
