@@ -215,9 +215,9 @@ def cmd_subject(args) -> int:
 def cmd_init(args) -> int:
     home().mkdir(parents=True, exist_ok=True)
     AuditLog(session(), audit_path()).create()
-    if not profile_path().exists():
-        profile_path().write_text(template(), encoding="utf-8")
     print(f"ready: {home()}")
+    known = f"{profile_path()} is in use; a vault keeps profiles sealed" if profile_path().exists() else "no profile yet: `profile template --output FILE` writes one to fill in"
+    print(f"{known}: `profile add CLIENT --from FILE`", file=sys.stderr)
     return 0
 
 
