@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T_
 
+from veilframe.llm import common
 from veilframe.llm.common import FAN, arrow_map, begin, checkpoint, col, end, field, join_groups, ship, stored, text_bytes
 from veilframe.llm.shingles import LOWER, WORDS, mix, shingle_sets
 
@@ -171,19 +172,20 @@ def verify(pairs: DataFrame, docs: DataFrame, *, id_col: str = "doc_id", text_co
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b): the least node that it reaches."""
     edges = checkpoint(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state = None
+    state, total = None, edges.count()
     while True:
+        # A hub has an edge to each node of its component, so both joins deal out its edges, if there are as many at all.
+        meet = join_groups if total > common.HEAVY_ROWS else lambda rows, groups, on, *_: rows.join(groups, on)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # A hub has an edge to each node of its component, so both joins deal out its edges.
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
-        large = join_groups(both.where("v > u"), least, ["u"], "n", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = meet(both.where("v > u"), least, ["u"], "n", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = join_groups(large, low, ["u"], "n", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        small = meet(large, low, ["u"], "n", ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = checkpoint(small.where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
-        state = now
+        state, total = now, now[0]
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
