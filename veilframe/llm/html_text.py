@@ -27,6 +27,7 @@ empty table; other columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -72,6 +73,7 @@ ALONE = frozenset("ad ads advert adverts advertisement advertisements adsbygoogl
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+@lru_cache(maxsize=20_000)
 def names_part(name: str, article: bool) -> bool:
     """Whether a class or an id names a page part and nothing else."""
     words = [w for w in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])|(?<=[a-z])(?=[0-9])", name) if w]
@@ -220,17 +222,20 @@ def excluded(page: Blocks) -> list[bool]:
             m = marks[m][0]
         return out
 
-    certain = lambda own: any(marks[x][1] == HARD for x in own)
+    certain = [False] * len(marks)
+    for m in range(1, len(marks)):  # a mark lies behind the one around it
+        certain[m] = marks[m][1] == HARD or certain[marks[m][0]]
     chars, every = [0] * len(marks), 0
     for text, _, _, _, m in page.blocks:
-        if not certain(own := within(m)):
+        if not certain[m]:
             every += len(text)
-            for x in own:
-                chars[x] += len(text)
-    seen = [own for m in page.articles if not certain(own := within(m))]
+            chars[m] += len(text)
+    for m in range(len(marks) - 1, 0, -1):
+        chars[marks[m][0]] += chars[m]
+    seen = [within(m) for m in page.articles if not certain[m]]
     around = set.intersection(*seen) if seen else {m for m in range(1, len(marks)) if marks[m][1] == SOFT and 2 * chars[m] > every}
     out = [False] * len(marks)
-    for m in range(1, len(marks)):  # a mark lies behind the one around it
+    for m in range(1, len(marks)):
         out[m] = out[marks[m][0]] or m not in around
     return out
 
