@@ -86,3 +86,18 @@ def test_blocks_store_matches_only(spark, monkeypatch):
     few = {tuple(x[:2]) for x in decontam.contaminated(d, b, block_words=15).select("doc_id", "n_hit").collect()}
     assert len(sizes) > 2 and sum(sizes) <= 20
     assert few == {tuple(x[:2]) for x in decontam.contaminated(d, b).select("doc_id", "n_hit").collect()}
+
+
+def test_counts_by_bytes_and_by_places():
+    """Class counts over bytes and word counts over places are those over code points and distinct words."""
+    import numpy as np
+
+    r = random.Random(4)
+    letters = "aZ09 .,#\n\té漢Ω­\U0001f600 İß"
+    places = quality_rules.Places(["the", "é", "a"])
+    for _ in range(300):
+        text = "".join(r.choice(letters) for _ in range(r.randrange(0, 60))) + r.choice(("", " the (The) 'é' a"))
+        codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        assert (quality_rules.class_counts(text) == np.bincount(quality_rules.class_table()[codes], minlength=len(quality_rules.CLASSES))).all()
+        found = quality_rules.word_counts(text)
+        assert places.counts(text).tolist() == [found["the"], found["é"], found["a"], sum(found.values()) - found["the"] - found["é"] - found["a"]]

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from collections.abc import Sequence
 from functools import cache
 from itertools import chain
 
@@ -73,25 +74,50 @@ def class_table() -> np.ndarray:
     return out
 
 
+_ASCII = bytes(range(128))
+
+
 def class_counts(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.bincount(class_table()[codes], minlength=len(CLASSES)).astype(np.float64)
+    """The number of code points of each class; ASCII ones are counted as bytes, which most are."""
+    data = text.encode("utf-8", "surrogatepass")
+    table = class_table()
+    out = np.bincount(table[:128], np.bincount(np.frombuffer(data, np.uint8), minlength=256)[:128], len(CLASSES))
+    if not text.isascii():
+        rest = data.translate(None, _ASCII).decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass")
+        out += np.bincount(table[np.frombuffer(rest, np.uint32)], minlength=len(CLASSES))
+    return out
 
 
-def word_counts(text: str) -> Counter[str]:
-    """The lower-case words without ASCII marks at their edges."""
+def bare(found: Counter[str]) -> Counter[str]:
+    """The words without ASCII marks at their edges."""
     out: Counter[str] = Counter()
-    for w, n in Counter(text.lower().split()).items():
+    for w, n in found.items():
         out[w.strip(EDGE)] += n
     return out
 
 
-def common_counts(found: Counter[str], number: dict[str, int]) -> np.ndarray:
-    """How often each common word stands, and last all others."""
-    out = np.zeros(len(number) + 1)
-    for w, n in found.items():
-        out[number.get(w, -1)] += n
-    return out
+def word_counts(text: str) -> Counter[str]:
+    """The lower-case words without ASCII marks at their edges."""
+    return bare(Counter(text.lower().split()))
+
+
+class Places(dict):
+    """The place of a word in the histogram, by the word as it stands: that of its common form, or the last."""
+
+    def __init__(self, common: Sequence[str]):
+        super().__init__()
+        self.number = {w: i for i, w in enumerate(common)}
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > SUMMARY_WORDS:
+            self.clear()
+        self[word] = place = self.number.get(word.strip(EDGE), len(self.number))
+        return place
+
+    def counts(self, text: str) -> np.ndarray:
+        """How often each common word stands, and last all others."""
+        words = text.lower().split()
+        return np.bincount(np.fromiter(map(self.__getitem__, words), np.int64, len(words)), minlength=len(self.number) + 1).astype(np.float64)
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -113,11 +139,11 @@ class Tally:
         self.classes, self.words = np.zeros(len(CLASSES)), Counter()
 
     def add(self, text: str) -> None:
-        found = word_counts(text)
+        words = text.lower().split()
         self.docs += 1
-        self.total += sum(found.values())
+        self.total += len(words)
         self.classes += class_counts(text)
-        self.words.update(found)
+        self.words.update(words)  # as they stand; their edges come off once, in the end
         if len(self.words) > SUMMARY_WORDS:
             self.words = Counter({w: n for w, n in self.words.items() if n > max(1, TASK_SHARE * self.total)})
 
@@ -125,7 +151,7 @@ class Tally:
         """(kind, word or class, number)"""
         out = [("docs", "", float(self.docs)), ("words", "", float(self.total))]
         out += [("class", c, v) for c, v in zip(CLASSES, self.classes.tolist(), strict=True)]
-        return out + [("word", w, float(n)) for w, n in self.words.items() if n >= TASK_SHARE * self.total and w]
+        return out + [("word", w, float(n)) for w, n in bare(self.words).items() if n >= TASK_SHARE * self.total and w]
 
 
 def fit(
@@ -227,10 +253,10 @@ def judge(
     common = np.array([r[1] for r in references.values()]).reshape(-1, len(names_) + 1)
 
     def kernel():
-        number = {w: i for i, w in enumerate(names_)}
+        places = Places(names_)
 
         def one(text: str, words: list[bytes]):
-            chars, found = class_counts(text), common_counts(word_counts(text), number)
+            chars, found = class_counts(text), places.counts(text)
             a = float(distance(chars, classes).min()) if len(classes) and chars.sum() >= min_chars else None
             b = float(distance(found, common).min()) if len(common) and len(words) >= min_words and found.sum() else None
             return a, b
