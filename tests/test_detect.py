@@ -161,6 +161,17 @@ def test_a_second_pass_finds_what_the_first_left_to_another(spark):
     assert "2024" not in "".join(r["text"] for r in run.spans.collect())
 
 
+def test_no_table_of_a_run_is_broadcast(spark):
+    """All tables of a run grow with its documents, and their files tell too little of their size in memory."""
+    p = profile(custom_patterns=[{"name": "N", "regex": "77"}], detection={"use_presidio": True, "presidio_entities": ["DATE_TIME"]})
+    s = tall(spark, "x 77", "on 2024-01-02", "clean")
+    run = Engine(p, guards=True).run(s)
+    again = detect.merged(run.detections.drop("pass_num"))
+    for df in (run.results, again, redact.redact_spans(s, again), redact.exposed(s, again), redact.guarded(again, s)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_addresses_are_looked_for_again_around_changes(spark):
     p = profile(addresses=[ADDRESS], custom_patterns=[{"name": "N", "regex": "77"}])
     s = spans(spark, "123 Main St.", "Springfield, IL 62701", "x 77", "neutral")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe import model
+from veilframe.cluster import merging
 from veilframe.profile import Profile, ocr_terms
 
 MIN_CONFIDENCE = 60
@@ -33,7 +34,7 @@ def word_heights(raw: DataFrame) -> DataFrame:
 def ocr_words(raw: DataFrame, dpi: int = DPI) -> DataFrame:
     """Sure, non-blank words in points whose boxes pass both guards."""
     sure = with_confidence(raw).where((F.col("conf") >= MIN_CONFIDENCE) & (F.trim("text") != ""))
-    placed = to_points(sure, dpi).join(word_heights(raw), ["doc_id", "page_num"], "left")
+    placed = to_points(sure, dpi).join(merging(word_heights(raw)), ["doc_id", "page_num"], "left")
     b = F.col("bbox")
     area = (b["x1"] - b["x0"]) * (b["y1"] - b["y0"])
     line = F.coalesce(F.col("median_px"), F.lit(12.0)) * (72.0 / dpi)
@@ -48,7 +49,7 @@ def low_confidence(raw: DataFrame) -> DataFrame:
 
 def restricted(raw: DataFrame, image_pages: DataFrame, force: bool = False) -> DataFrame:
     """Words of image pages only, or of all if forced."""
-    return raw if force else raw.join(image_pages, ["doc_id", "page_num"], "left_semi")
+    return raw if force else raw.join(merging(image_pages), ["doc_id", "page_num"], "left_semi")
 
 
 def page_results(words: DataFrame) -> DataFrame:

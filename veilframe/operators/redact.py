@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe import model
+from veilframe.cluster import merging
 from veilframe.functions import text as X
 
 BLOCK = "█"
@@ -49,7 +50,7 @@ def redact_spans(spans: DataFrame, detections: DataFrame, granularity: str = "sp
     """
     by_span = detections.groupBy(*KEY).agg(F.count("*").alias("hits"), F.array_sort(F.collect_set(hidden_range(granularity))).alias("found"))
     whole = F.exists("found", lambda r: r["end"].isNull())
-    out = spans.join(by_span, KEY, "left")
+    out = spans.join(merging(by_span), KEY, "left")
     text = F.when(F.col("found").isNull(), F.col("text")).when(whole, blank(F.col("text"))).otherwise(blank_ranges(F.col("text"), F.col("found")))
     return out.select(*[text.alias("text") if c == "text" else F.col(c) for c in spans.columns], F.coalesce("hits", F.lit(0)).cast("long").alias("hits"))
 
@@ -60,7 +61,7 @@ def exposed(redacted: DataFrame, detections: DataFrame, granularity: str = "span
     now = redacted.select(*KEY, F.col("text").alias("_now"))
     start = F.when(F.col("_range.end").isNull(), F.lit(0)).otherwise(F.col("_range.start"))
     size = F.when(F.col("_range.end").isNull(), F.length("_now")).otherwise(F.col("_range.end") - F.col("_range.start"))
-    shown = hits.join(now, KEY).withColumn("_shown", F.substr("_now", start + 1, size))
+    shown = hits.join(merging(now), KEY).withColumn("_shown", F.substr("_now", start + 1, size))
     shown = shown.where(F.translate("_shown", BLOCK, "") != "")
     return shown.select(*[F.col("_shown").alias("text") if c == "text" else F.col(c) for c in detections.columns])
 
@@ -72,7 +73,7 @@ def median_heights(spans: DataFrame) -> DataFrame:
 
 def guarded(detections: DataFrame, spans: DataFrame, pages: DataFrame | None = None, heights: DataFrame | None = None) -> DataFrame:
     """Detections with `rejected`: null, `area` (over 30 % of the page) or `height` (over four median lines); `heights` of the spans, if known."""
-    out = detections.join(median_heights(spans) if heights is None else heights, ["doc_id", "page_num"], "left")
+    out = detections.join(merging(median_heights(spans) if heights is None else heights), ["doc_id", "page_num"], "left")
     area = F.lit(model.PAGE_WIDTH * model.PAGE_HEIGHT)
     if pages is not None:
         out = out.join(pages.select("doc_id", "page_num", (F.col("width") * F.col("height")).alias("_area")), ["doc_id", "page_num"], "left")

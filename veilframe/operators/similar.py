@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.cluster import grams, join_groups, ship, stored
+from veilframe.cluster import grams, join_groups, merging, ship, stored
 from veilframe.functions import fuzzy
 
 #: Roundings of a threshold must not lose a pair.
@@ -72,7 +72,7 @@ def all_keys(text: Column) -> Column:
 def chosen_rarest(strings: DataFrame, counts: DataFrame, keys: Column, needed: Column, weight: Column | None = None) -> DataFrame:
     """(text, key): of each string's keys the rarest, as many as `needed`, or until their weights exceed it."""
     each = strings.select("text", keys.alias("keys"), needed.alias("needed")).select("text", "needed", F.explode("keys").alias("key"))
-    weighed = each.join(counts, "key", "left").groupBy("text").agg(F.first("needed").alias("needed"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key"))).alias("keys"))
+    weighed = each.join(merging(counts), "key", "left").groupBy("text").agg(F.first("needed").alias("needed"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key"))).alias("keys"))
     if weight is None:
         return weighed.select("text", F.explode(F.slice("keys", F.lit(1), F.greatest(F.col("needed"), F.lit(1)))).alias("k")).select("text", "k.key")
     # A word counts while the rarer ones before it could all be missing.
@@ -106,8 +106,8 @@ def candidates(terms: DataFrame, texts: DataFrame, threshold: float, *, heavy: i
     own = stored(keyed(terms).groupBy("key").agg(F.count("*").alias("n")))
     by_term = probes(terms, counts, threshold, sets=True).withColumnRenamed("text", "term")
     by_text = probes(texts, own, threshold, sets=False)
-    one = join_groups(keyed(texts), by_term.join(counts, "key"), ["key"], "n", ["text"], heavy=heavy).select("term", "text")
-    two = join_groups(keyed(terms).withColumnRenamed("text", "term"), by_text.join(own, "key"), ["key"], "n", ["term"], heavy=heavy).select("term", "text")
+    one = join_groups(keyed(texts), by_term.join(merging(counts), "key"), ["key"], "n", ["text"], heavy=heavy).select("term", "text")
+    two = join_groups(keyed(terms).withColumnRenamed("text", "term"), by_text.join(merging(own), "key"), ["key"], "n", ["term"], heavy=heavy).select("term", "text")
     pairs = one.unionByName(two).distinct()
     term, text = F.col("term"), F.col("text")
     long_enough = F.length(F.trim(text)) >= F.greatest(F.length(term) * 0.5, F.lit(3.0))

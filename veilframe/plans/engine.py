@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from veilframe.cluster import checkpoint, stored
+from veilframe.cluster import checkpoint, merging, stored
 from veilframe.errors import NoTextLayerError, RedactionError, VerificationError
 from veilframe.operators import detect, ocr, redact, summaries, verify
 from veilframe.operators.redact import KEY
@@ -81,12 +81,12 @@ class Engine:
                 break
             touched = found.select(*KEY).distinct()
             if looks_around:
-                changed = spans.join(every.select("doc_id").distinct(), "doc_id", "left_semi")
+                changed = spans.join(merging(every.select("doc_id").distinct()), "doc_id", "left_semi")
                 documents = stored(redact.redact_spans(changed, every, self.granularity).drop("hits"))
-                delta = documents.join(touched, KEY, "left_semi")
+                delta = documents.join(merging(touched), KEY, "left_semi")
                 # A line outside may be hit by an address alone, and then has no hits of its own.
             else:
-                delta = stored(redact.redact_spans(delta.join(touched, KEY, "left_semi"), hits, self.granularity).drop("hits"))
+                delta = stored(redact.redact_spans(delta.join(merging(touched), KEY, "left_semi"), hits, self.granularity).drop("hits"))
         settled = checkpoint(redact.redact_spans(spans, every, self.granularity).drop("hits"))
         return settled, every, unsettled if unsettled is not None else every.where("false").select("doc_id"), searched
 
@@ -96,7 +96,7 @@ class Engine:
         if ocr_raw is not None:
             text = settled.groupBy("doc_id", "page_num").agg(F.sum(F.length(F.trim("text"))).alias("n"))
             textual = text.where("n >= 50").select("doc_id", "page_num")
-            pages = ocr_raw.select("doc_id", "page_num").distinct().join(textual, ["doc_id", "page_num"], "left_anti")
+            pages = ocr_raw.select("doc_id", "page_num").distinct().join(merging(textual), ["doc_id", "page_num"], "left_anti")
             words = ocr.matches(ocr.ocr_words(ocr.restricted(ocr_raw, pages, self.force_ocr)), self.profile)
             hits = hits.unionByName(ocr.detections(words).withColumn("pass_num", F.lit(0)))
         # Totals, reports and the audit log all read the survivors, so they are looked for once.
@@ -104,7 +104,7 @@ class Engine:
         if check:
             again = checkpoint(verify.verify(settled, self.profile, hits, self.threshold, self.tagger))
             # What a hit was to hide and still shows, on spans where a second search finds nothing.
-            shown = redact.exposed(settled, ranged.drop("pass_num"), self.granularity).dropDuplicates([*KEY, "start", "size"]).join(again, KEY, "left_anti")
+            shown = redact.exposed(settled, ranged.drop("pass_num"), self.granularity).dropDuplicates([*KEY, "start", "size"]).join(merging(again), KEY, "left_anti")
             survivors = checkpoint(again.unionByName(shown))
         return Run(settled, hits, survivors, self.results(spans, hits, survivors, check), unsettled=unsettled, searched=searched)
 
@@ -112,7 +112,7 @@ class Engine:
         """(doc_id, detections, safety_passes, verification_passed or null, survivors)."""
         found = hits.groupBy("doc_id").agg(F.count("*").alias("detections"), F.greatest(F.max("pass_num") - 1, F.lit(0)).alias("safety_passes"))
         left = survivors.groupBy("doc_id").agg(F.count("*").alias("left"))
-        out = spans.select("doc_id").distinct().join(found, "doc_id", "left").join(left, "doc_id", "left")
+        out = spans.select("doc_id").distinct().join(merging(found), "doc_id", "left").join(merging(left), "doc_id", "left")
         passed = F.col("left").isNull() if check else F.lit(None).cast("boolean")
         return out.select(
             "doc_id", F.coalesce("detections", F.lit(0)).cast("long").alias("detections"), F.coalesce("safety_passes", F.lit(0)).cast("int").alias("safety_passes"),
