@@ -87,3 +87,26 @@ def test_a_shared_term_stands_once(spark):
     book = subjects.dictionary(frame(spark, PEOPLE))
     assert book.terms.where("norm = 'fay'").count() == 1 and book.owners.where("norm = 'fay'").count() == 2
     assert book.terms.where(F.col("norm") == "12345678").count() == 1
+
+
+@pytest.mark.parametrize("heavy", [None, 0])
+def test_classes_and_members_say_what_each_subject_finds(spark, heavy):
+    spans = sources.lines(spark.createDataFrame(list(enumerate(LINES)), "doc_id long, text string"), "doc_id", "text")
+    book = subjects.dictionary(frame(spark, PEOPLE))
+    hits, who = subjects.find_classes(spans, book, heavy=heavy), subjects.members(book)
+    assert told(hits.drop("representative", "subjects").join(who, ["entity_type", "term", "preserve_last"])) == one_by_one(spans, PEOPLE)
+    fay = hits.where("term = 'fay'").collect()
+    assert [(r["doc_id"], r["representative"], r["subjects"]) for r in fay] == [(3, 1, 2)]
+    assert {(r["term"], r["subject_id"]) for r in who.where("subjects > 1").collect()} == {("fay", 1), ("fay", 2)}
+
+
+def test_a_term_that_all_share_is_not_multiplied_out(spark):
+    spans = sources.lines(spark.range(50).selectExpr("id", "'paid by fay' as text"), "id", "text")
+    book = subjects.dictionary(frame(spark, {i: {"display_name": "fay"} for i in range(40)}))
+    assert subjects.find_classes(spans, book).count() == 50 and subjects.members(book).count() == 40 and subjects.find_terms(spans, book).count() == 2000
+
+
+def test_no_terms_no_classes(spark):
+    spans = sources.lines(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), "doc_id", "text")
+    book = subjects.dictionary(frame(spark, {1: {"display_name": "x"}}))
+    assert subjects.find_classes(spans, book).count() == subjects.members(book).count() == 0
