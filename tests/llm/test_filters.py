@@ -402,6 +402,36 @@ def test_mining_is_bounded(spark):
     assert url_rules.mine(p, lab, max_items=3).count() == 1 and url_rules.mine(p, lab.where("doc_id < 10")).count() == 0
 
 
+def test_no_item_of_a_long_url_is_cut(spark):
+    """A pair that tells only together, in URLs of twelve tokens that each tell more alone."""
+    r = random.Random(3)
+    rows = []
+    for i in range(400):
+        bad = i % 2 == 0
+        pair = ["xx", "yy"] if bad else [r.choice(["xx", "yy"])]
+        # Tokens of the other ten in two thirds of the bad URLs and a third of the good.
+        rows.append((i, "http://" + ".".join(pair + ["t%d" % k + "k" for k in range(10) if r.random() < (0.66 if bad else 0.34)]), 0 if bad else 1))
+    p = spark.createDataFrame([x[:2] for x in rows], "page_id long, url string")
+    lab = spark.createDataFrame([(x[0], x[2]) for x in rows], "doc_id long, quality int")
+    rules = url_rules.mine(p, lab)
+    found = {tuple(sorted(x["tokens"])) for x in rules.collect()}
+    assert ("xx", "yy") in found
+    held = [(set(u[7:].split(".")), q == 0) for _, u, q in rows]
+    assert {x for x in found if len(x) <= 3} == brute_rules(held, 20, 0.9, 1.5)
+    for x in url_rules.judge(p, rules, listed_rules=()).collect():
+        assert x["mined"] == any(set(w) <= held[x["page_id"]][0] for w in found)
+
+
+def test_no_token_and_no_rule_is_cut(spark):
+    pages = spark.range(2400).selectExpr("id as page_id", "concat('http://w', translate(cast(id % 1200 as string), '0123456789', 'abcdefghij'), 'z.net') as url")
+    lab = spark.range(2400).selectExpr("id as doc_id", "cast(id % 1200 >= 600 as int) as quality")
+    rules = url_rules.mine(pages, lab, min_pages=2)
+    assert rules.count() == 600
+    for most in (500, 600):  # a table, a literal
+        found = url_rules.judge(pages, rules, listed_rules=(), max_rules=most)
+        assert found.count() == 2400 and found.where("mined <> (page_id % 1200 < 600)").isEmpty()
+
+
 def test_rules_are_mined_from_listed_verdicts(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     labelled = url_rules.listed_labels(pages)
