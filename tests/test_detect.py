@@ -324,3 +324,21 @@ def test_fuzzy_names_of_all_lines_against_brute_force(spark, sf):
         if fits or "clown" in words:
             want.add(i)
     assert found == want and len(want) >= 5
+
+
+def test_an_address_is_scored_once(monkeypatch):
+    """Texts that repeat, and those that the scan rules out, cost no exact score; the scores are those of the long way."""
+    import random
+
+    from veilframe.functions import fuzzy
+
+    r = random.Random(5)
+    near = ["".join(c for c in ADDRESS.lower().replace(",", "") if r.random() < 0.95) + r.choice(("", " tel 5", " and a way to go")) for _ in range(60)]
+    texts = [*near, *("%d far away road" % i * 4 for i in range(60)), "x", ""]
+    wanted = [ADDRESS.lower().replace(",", ""), "1 far away road"]
+    needles = [fuzzy.Needle(w, 0.85) for w in wanted]
+    want = {t: next((s / 100 for w in wanted if (s := fuzzy.partial_ratio(w, t)) >= 85), None) for t in texts}
+    scored, real = [], fuzzy.Needle.partial
+    monkeypatch.setattr(fuzzy.Needle, "partial", lambda n, t: scored.append(t) or real(n, t))
+    assert detect.first_fits(texts, needles) == want
+    assert 20 < sum(v is not None for v in want.values()) < len(want) and len(scored) < 2 * len(texts)
