@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from veilframe.llm import common, near_dedup, queries, substring_dedup
 
@@ -332,3 +333,22 @@ def test_sql_of_exact_operators(spark, sf):
         columns = [d[0] for d in found.description]
         assert sorted(columns) == sorted(df.columns)
         assert sorted(map(tuple, df.select(*columns).collect())) == sorted(map(tuple, found.fetchall()))
+
+
+def test_slots_exchange_windows_of_own_seeds_only(spark):
+    """A passage in all documents, each else of words of its own: of the windows that reach out of it about half are exchanged, all repeats are found."""
+    r = random.Random(11)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    passage = fresh(30)
+    texts = {i: [*fresh(40), *passage, *fresh(40)] for i in range(60)}
+    docs = spark.createDataFrame([(i, 0, " ".join(t)) for i, t in texts.items()], "id long, mark long, text string")
+    plan = substring_dedup.routes(substring_dedup.seeds(docs), 1, 6)
+    packed = docs.select("id", "mark", F.encode("text", "utf-8").alias("text"))
+    zip_ = F.udf(lambda t: substring_dedup.zstandard.ZstdCompressor().compress(bytes(t)), "binary")
+    found = substring_dedup.found_rows(plan.join(packed.select("id", "mark", zip_("text").alias("packed")), ["id", "mark"])).collect()
+    heads = [(x["id"], x["at"]) for x in found if x["k"] is not None]
+    slots = plan.select("slot").distinct().count()
+    assert slots > 5 and len(heads) < 0.75 * (24 * 60 + 11 * slots)
+    assert len({x["id"] for x in found if x["k"] is not None and 40 <= x["at"] <= 50}) >= slots - 1
+    out = substring_dedup.remove_repeats(docs.selectExpr("id as doc_id", "text"), slot_bytes=4096).collect()
+    assert {x["doc_id"]: x["n_removed"] for x in out} == {i: 30 if i else 0 for i in texts}
