@@ -352,3 +352,41 @@ def test_slots_exchange_windows_of_own_seeds_only(spark):
     assert len({x["id"] for x in found if x["k"] is not None and 40 <= x["at"] <= 50}) >= slots - 1
     out = substring_dedup.remove_repeats(docs.selectExpr("id as doc_id", "text"), slot_bytes=4096).collect()
     assert {x["doc_id"]: x["n_removed"] for x in out} == {i: 30 if i else 0 for i in texts}
+
+
+def slots_found(docs, per_slot):
+    """The plan of one shard of texts by id, and what its slots find."""
+    plan = substring_dedup.routes(substring_dedup.seeds(docs), 1, per_slot)
+    zip_ = F.udf(lambda t: substring_dedup.zstandard.ZstdCompressor().compress(t.encode()), "binary")
+    return plan, substring_dedup.found_rows(plan.join(docs.select("id", "mark", zip_("text").alias("packed")), ["id", "mark"])).collect()
+
+
+def test_phrases_of_few_documents_exchange_nothing(spark):
+    """A shard that is large by the number of its phrases is dealt out by owners, so no window has to be agreed on."""
+    r = random.Random(21)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    shared = [fresh(30) for _ in range(40)]
+    texts = {i: " ".join([*fresh(30), *shared[i % 40], *fresh(30)]) for i in range(120)}
+    docs = spark.createDataFrame([(i, 0, t) for i, t in texts.items()], "id long, mark long, text string")
+    plan, found = slots_found(docs, 40)
+    assert plan.select("shard").distinct().count() > 3 and not [x for x in found if x["k"] is not None]
+    out = substring_dedup.remove_repeats(docs.selectExpr("id as doc_id", "text"), slot_bytes=20_000).collect()
+    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_words"]) for x in out} == removed(texts.items())
+
+
+def test_a_common_line_alone_is_not_exchanged(spark):
+    """Of a line in all documents only places go to a slot that have more words in common, and there only windows that hold them."""
+    r = random.Random(22)
+    fresh = lambda n: [f"w{r.randrange(10**9)}" for _ in range(n)]
+    line, before, after = fresh(10), fresh(10), fresh(10)
+    texts = {}
+    for i in range(90):
+        mid = {0: [*before, *line], 1: [*line, *after], 2: [*before[4:], *line, *after[:4]]}.get(i % 15, line)
+        texts[i] = " ".join([*fresh(30), *mid, *fresh(30), *(line if i % 7 == 3 else []), *fresh(25)])
+    texts |= {90: " ".join([*before[:4], *line, *fresh(20)]), 91: " ".join([*fresh(20), *line, *after[:7]]), 92: " ".join([*fresh(3), *line, *after]), 93: " ".join(line * 6)}
+    docs = spark.createDataFrame([(i, 0, t) for i, t in texts.items()], "id long, mark long, text string")
+    plan, found = slots_found(docs, 4)
+    heads = [x for x in found if x["k"] is not None]
+    assert plan.where("stream").select("id").distinct().count() < 30 and 0 < len(heads) < 90
+    out = substring_dedup.remove_repeats(docs.selectExpr("id as doc_id", "text"), slot_bytes=4096).collect()
+    assert {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_words"]) for x in out} == removed(texts.items())
